@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casenet.operators import extract, graph, resolve
+from casenet.plans.shared import SharedTables
 
 TOKENS_SQL = """
 SELECT CAST(c.c_nationkey AS BIGINT) AS case_id, l.l_orderkey AS fir_id, l.l_orderkey AS evidence_id, l.l_orderkey AS image_id,
@@ -67,6 +68,7 @@ def resolutions(spark: SparkSession, sf_dir: str, merge_persons: bool = False) -
 
 
 def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Resolutions, entities and co-occurrence edges."""
-    resolved = resolutions(spark, sf_dir)
-    return resolved, resolve.entities(resolved), graph.cooccurrence_edges(graph.presence(resolved))
+    """Resolutions, entities and co-occurrence edges, each written once as several branches of a plan read them."""
+    tables = SharedTables(spark)
+    resolved = tables.write(resolutions(spark, sf_dir), "resolutions")
+    return resolved, tables.write(resolve.entities(resolved), "entities"), tables.write(graph.cooccurrence_edges(graph.presence(resolved)), "edges")

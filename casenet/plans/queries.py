@@ -16,6 +16,7 @@ from casenet.operators import crossval, extract, graph, layout, profile, report,
 from casenet.plans import case_tables as C
 from casenet.plans import graph_metrics, oracle
 from casenet.plans.oracle import sql
+from casenet.plans.shared import SharedTables
 from casenet.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,7 +381,8 @@ def star_patterns(spark, sf_dir):
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, ents, edges = C.network(spark, sf_dir)
-    return ents, edges, graph.risk_scores(ents, graph.degree_centrality(ents, edges), graph_metrics.pagerank(ents, edges, rounds=5))
+    scores = graph.risk_scores(ents, graph.degree_centrality(ents, edges), graph_metrics.pagerank(ents, edges, rounds=5))
+    return ents, edges, SharedTables(spark).write(scores, "scores")
 
 
 _SCORED = oracle.pagerank_steps(5) | {
