@@ -8,11 +8,11 @@ not see the row, as a later model would otherwise learn to trust fitted labels.
 The label table has one toxic column, so the further categories are defined on
 it: ``severe`` is a toxic text in which at least ``SEVERE`` in a thousand words
 are toxic terms, ``spread`` one that holds three different ones or more. Toxic
-terms are the features that the first pass over all labelled rows selects.
+terms are the features that the first pass over the labelled sample selects.
 
-Features are lower-cased words and their beginnings, hashed; one pass over all
-labelled training rows counts them, the most telling ones are selected, and the
-chain is fitted on a bounded sample.
+Features are lower-cased words and their beginnings, hashed; they are counted
+over a bounded sample of labelled rows, the most telling ones are selected, and
+the chain is fitted on them.
 
 Edge cases: null and empty texts have no features and get the base rate;
 repeated rows are scored alike; labels that are null, not 0/1 or in conflict
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from casenet.llm import textkernel as tk
 from casenet.llm.linemodel import held_out
+from casenet.plans.shared import SharedTables
 
 BITS, PREFIXES = 20, (4, 5, 6, 8)
 SEVERE, CATEGORIES = 5, ("toxic", "severe", "spread")
@@ -151,17 +152,20 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 5) -> list[np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int = 8000, threshold: float = 0.5) -> ToxicityModel:
-    """Select features over all labelled training rows, then fit the chain on at most ``max_docs`` of them.
+    """Select features and fit the chain on at most ``max_docs`` labelled documents, chosen by a hash of the id.
 
-    The driver receives ``n_features`` rows of counts and the selected features
-    of the sample, not texts. Half of the sample is toxic where there is enough.
+    Half of them are toxic where there are enough. Only their ids and labels are
+    broadcast, so the texts of the corpus are not shuffled; the driver receives
+    ``n_features`` rows of counts and the selected features of the sample.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
-    texts = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic")
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    take = lambda label, n: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = SharedTables(docs.sparkSession).write(take(1, max_docs // 2).union(take(0, max_docs // 2)), "labelled")
+    totals = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
-    counts = texts.select("text", "toxic").mapInArrow(_counts, "bucket bigint, n_clean bigint, n_toxic bigint").groupBy("bucket").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    counts = texts.mapInArrow(_counts, "bucket bigint, n_clean bigint, n_toxic bigint").groupBy("bucket").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
     lift = F.log((F.col("n_toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n_clean") + 0.5) / (n_clean + 1.0))
     best = counts.withColumn("lift", lift).withColumn("gain", F.col("n_toxic") * F.col("lift")).where("n_toxic >= 3 and lift > 1").orderBy(F.desc("gain"), "bucket").limit(n_features).collect()
     column = np.full(1 << BITS, -1, dtype=np.int16)
@@ -177,9 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs[:, 1], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), lists, pa.array(rate), pa.array(kinds, pa.int64())], names=["toxic", "columns", "rate", "kinds"])
 
-    take = lambda label, n: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = take(1, max_docs // 2).union(take(0, max_docs // 2))
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").mapInArrow(rows, "toxic int, columns array<int>, rate double, kinds bigint").limit(2 * max_docs).toArrow().to_pylist()
+    got = texts.mapInArrow(rows, "toxic int, columns array<int>, rate double, kinds bigint").limit(2 * max_docs).toArrow().to_pylist()
     got.sort(key=lambda r: (r["toxic"], r["columns"], r["rate"], r["kinds"]))
     pairs = np.array([(i, c) for i, r in enumerate(got) for c in r["columns"]], dtype=np.int64).reshape(-1, 2)
     y = np.array([(r["toxic"], r["toxic"] and r["rate"] >= SEVERE, r["toxic"] and r["kinds"] >= 3) for r in got], dtype=float).reshape(-1, 3)
