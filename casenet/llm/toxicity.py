@@ -151,7 +151,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 5) -> list[np.ndar
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int = 8000, threshold: float = 0.5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int = 8000, threshold: float = 0.3) -> ToxicityModel:
     """Select features and fit the chain on at most ``max_docs`` labelled documents, chosen by a hash of the id.
 
     Half of them are toxic where there are enough. Only their ids and labels are
