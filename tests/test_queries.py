@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import os
 import shutil
 import subprocess
 import sys
 
 import duckdb
 import pytest
-from conftest import DATA, ROOT
 
 from casenet.plans.queries import ORACLES, QUERIES
 
+DATA, ROOT = "/root/testdata/sf0.001", os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHEAP = ["validate_tokens", "quarantine_reasons", "id_name_conflicts", "dataset_profile", "name_pattern_hist", "import_plan", "normalize_statute", "plausible_name", "extract_mentions", "section_identifiers", "resolve_decisions", "entities", "resolve_incremental", "cooccurrence_edges", "structured_edges", "degree", "doc_reference_resolve", "identifiers_in_text", "alert_triage", "case_kpis", "traceability"]
 
