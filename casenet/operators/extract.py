@@ -18,33 +18,37 @@ def _mention(entity_type: str, raw: Column, normal: Column, start: Column, confi
     return F.struct(F.lit(entity_type).alias("entity_type"), raw.alias("raw_value"), normal.alias("normalized_value"), start.cast("int").alias("start_char"), F.lit(confidence).alias("extraction_confidence"), F.lit(method).alias("extraction_method"))
 
 
-def mention_array(text: Column, category: Column) -> Column:
-    """Mentions of one token: category 0 a station, 2 statutes, 3 a person or "person, station"; others none."""
-    raw, start = T.core(text), T.core_start(text)
-    tail = F.regexp_extract(text, SPLIT, 1)
-    comma = F.length(text) - F.length(F.regexp_extract(text, SPLIT, 0))
-    head = F.substring(text, F.lit(1), comma)
-    person, person_start = T.core(head), T.core_start(head)
-    station = T.core(tail)
-    station_start = F.length(text) - F.length(tail) + T.core_start(tail)
-    pair = F.array_compact(F.array(
-        F.when(T.plausible_name(person), _mention("PERSON", person, T.person_name(person), person_start, 0.90, "category_3_person_split")),
-        F.when(station != "", _mention("POLICE_STATION", station, T.police_station(station), station_start, 0.92, "category_3_station_split")),
-    ))
-    one = lambda condition, *args: F.array_compact(F.array(F.when(condition, _mention(*args))))
-    return (
-        F.when(category == 0, one(raw != "", "POLICE_STATION", raw, T.police_station(raw), start, 0.95, "category_0_station"))
-        .when(category == 2, one(raw != "", "STATUTE", raw, T.statute(raw), start, 0.95, "category_2_statute"))
-        .when((category == 3) & (F.regexp_extract(text, SPLIT, 0) != ""), pair)
-        .when(category == 3, one(T.plausible_name(raw), "PERSON", raw, T.person_name(raw), start, 0.92, "category_3_person"))
+def with_mentions(tokens: DataFrame) -> DataFrame:
+    """Add ``ms``, the mentions of each token: category 0 a station, 2 statutes, 3 a person or "person, station"; others none.
+
+    Each costly expression is a column of its own step, so it runs once for a
+    row, and only for rows of a category that needs it.
+    """
+    text, category = F.col("text"), F.col("category_id")
+    rows = tokens.withColumns({"__raw": F.when(category.isin(0, 2, 3), T.core(text)), "__pair": F.when(category == 3, F.regexp_extract(text, SPLIT, 0)), "__tail": F.when(category == 3, F.regexp_extract(text, SPLIT, 1))})
+    split = F.col("__pair") != ""
+    rows = rows.withColumn("__head", F.when(split, F.substring(text, F.lit(1), F.length(text) - F.length("__pair"))))
+    rows = rows.withColumns({"__person": F.when(split, T.core(F.col("__head"))).when(category == 3, F.col("__raw")), "__station": F.when(split, T.core(F.col("__tail"))).when(category == 0, F.col("__raw"))})
+    rows = rows.withColumns({"__named": T.plausible_name(F.col("__person")), "__normal_station": F.when(F.col("__station") != "", T.police_station(F.col("__station"))), "__normal_statute": F.when((category == 2) & (F.col("__raw") != ""), T.statute(F.col("__raw")))})
+    rows = rows.withColumn("__normal_person", F.when(F.col("__named"), T.person_name(F.col("__person"))))
+    begin = lambda whole, part: F.instr(F.col(whole), F.col(part)) - 1
+    station_at = F.when(split, F.length(text) - F.length("__tail") + begin("__tail", "__station")).otherwise(begin("text", "__raw"))
+    person = lambda start, confidence, method: F.when(F.col("__named"), _mention("PERSON", F.col("__person"), F.col("__normal_person"), start, confidence, method))
+    station = lambda confidence, method: F.when(F.col("__station") != "", _mention("POLICE_STATION", F.col("__station"), F.col("__normal_station"), station_at, confidence, method))
+    found = (
+        F.when(category == 0, F.array(station(0.95, "category_0_station")))
+        .when(category == 2, F.array(F.when(F.col("__raw") != "", _mention("STATUTE", F.col("__raw"), F.col("__normal_statute"), begin("text", "__raw"), 0.95, "category_2_statute"))))
+        .when(split, F.array(person(begin("__head", "__person"), 0.90, "category_3_person_split"), station(0.92, "category_3_station_split")))
+        .when(category == 3, F.array(person(begin("text", "__raw"), 0.92, "category_3_person")))
         .otherwise(F.array().cast(_MENTION))
     )
+    return rows.withColumn("ms", F.array_compact(found))
 
 
 def extract_mentions(tokens: DataFrame, low_ocr: float = LOW_OCR) -> DataFrame:
     """One row for each mention, with span, confidences and the token's place; see ``accepted`` and ``rejected``."""
     keep = [c for c in ("case_id", "fir_id", "evidence_id", "image_id", "source_index", "category_id", "x1", "y1", "x2", "y2", "text") if c in tokens.columns]
-    rows = tokens.select(*keep, F.col("score").alias("ocr_confidence"), F.posexplode(mention_array(F.col("text"), F.col("category_id"))).alias("span_index", "m")).select(*keep, "ocr_confidence", "span_index", "m.*")
+    rows = with_mentions(tokens).select(*keep, F.col("score").alias("ocr_confidence"), F.posexplode("ms").alias("span_index", "m")).select(*keep, "ocr_confidence", "span_index", "m.*")
     rows = rows.withColumn("end_char", (F.col("start_char") + F.length("raw_value")).cast("int"))
     return rows.withColumns({"final_confidence": T.fused_confidence(F.col("ocr_confidence"), F.col("extraction_confidence")), "low_ocr_confidence": F.col("ocr_confidence") < low_ocr, "extractor_version": F.lit(VERSION)})
 
