@@ -10,8 +10,8 @@ exact Jaccard similarity of the full sets.
 Bands hold hot groups, so a band never yields all its pairs at once. In linear
 rounds each document is compared with one pivot of its bands; what is linked is
 one component from then on, and only bands that still hold several components
-are looked at again, at last member by member across components, so that every
-candidate pair is either connected or has been compared.
+are looked at again, at last all members across components, so that every
+candidate pair is either connected or compared.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with
 nothing; a text with fewer words than a shingle has its whole sequence as one
@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from casenet.llm import textkernel as tk
 from casenet.plans.components import connected_components
 from casenet.plans.shared import SharedTables
 
 UNIVERSE_BITS = 22
-LINEAR_ROUNDS = 3
+LINEAR_ROUNDS = 2
+SKETCH, BLOCK = 512, 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +68,11 @@ def signatures(doc: np.ndarray, value: np.ndarray, n_docs: int, n_coordinates: i
     place = (tk.mix(value ^ tk.U64(0x5851F42D4C957F2D)) >> tk.U64(64 - UNIVERSE_BITS)).astype(np.int64)
     out = np.full((n_docs, n_coordinates), np.iinfo(np.uint32).max, dtype=np.uint32)
     shifted = _shifted(n_coordinates)
-    for lo in range(0, len(doc), 8192):
-        part = doc[lo : lo + 8192]
+    step = max(256, (1 << 20) // n_coordinates)
+    for lo in range(0, len(doc), step):
+        part = doc[lo : lo + step]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        low = np.minimum.reduceat(shifted[place[lo : lo + 8192]], first, axis=0)
+        low = np.minimum.reduceat(shifted[place[lo : lo + step]], first, axis=0)
         out[part[first]] = np.minimum(out[part[first]], low)
     return out
 
@@ -112,7 +113,7 @@ def signature_table(docs: DataFrame, size: int, bands: int, rows: int) -> DataFr
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its whole shingle set as sorted 64-bit values."""
+    """doc_id, its whole shingle set as sorted 64-bit values, and the low bytes of ``SKETCH`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +121,71 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 doc, value = shingles(data, offsets, size)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets = [value[cut[d] : cut[d + 1]].tobytes() for d in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "items"])
+                sketch = signatures(doc, value, hi - lo, SKETCH).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary()), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["doc_id", "items", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, items binary")
+    return docs.mapInArrow(run, "doc_id bigint, items binary, sketch binary")
+
+
+def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of members of one band, of different components, whose sizes and sketches allow the similarity.
+
+    A band of many members is dealt over blocks by a hash of the id, and each
+    two of its blocks meet as one bounded group.
+    """
+    least = int(SKETCH * percent / 100 - 4.5 * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5)
+    sizes = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = still.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(sketches, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "sketch")
+    met = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "own")
+
+    def compare(own, high, doc, n, component, sketch) -> list[np.ndarray]:
+        cut = int(np.searchsorted(own, high[0])) if own[0] < own[-1] else 0
+        left, right = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+        if not cut and own[0] < high[0]:
+            return []
+        found = []
+        for lo in range(0, len(doc[left]), 64):
+            part = slice(lo, lo + 64)
+            d, m, c, k = doc[left][part], n[left][part], component[left][part], sketch[left][part]
+            good = (c[:, None] != component[right]) & (100 * np.minimum(m[:, None], n[right]) >= percent * np.maximum(m[:, None], n[right])) & (d[:, None] != doc[right])
+            good &= (d[:, None] < doc[right]) | bool(cut)
+            i, j = np.nonzero(good)
+            for at in range(0, len(i), 4096):
+                x, y = i[at : at + 4096], j[at : at + 4096]
+                close = (k[x] == sketch[right][y]).sum(axis=1) >= least
+                x, y = d[x[close]], doc[right][y[close]]
+                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def groups(columns: list[np.ndarray], last: bool) -> list[np.ndarray]:
+            nonlocal held
+            key, low, high = columns[:3]
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            bounds = [0, *edge.tolist(), len(key)]
+            done = len(bounds) - 1 if last else len(bounds) - 2
+            found = [p for g in range(done) for p in compare(columns[3][bounds[g] : bounds[g + 1]], *(c[bounds[g] : bounds[g + 1]] for c in columns[2:3] + columns[4:]))]
+            held = None if last else [c[bounds[done] :] for c in columns]
+            return found
+
+        def pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if found:
+                both = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)]
+                columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+                yield from pairs(groups(columns, False))
+        if held is not None:
+            yield from pairs(groups(held, True))
+
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,11 +235,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     members = tables.write(banded.join(shared, "key", "left_semi").distinct(), "members")
     wanted = members.select("doc_id").distinct()
-    sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words).groupBy("doc_id").agg(F.max("items").alias("items")), "sets")
+    sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words).dropDuplicates(["doc_id"]), "sets")
 
     tested: DataFrame | None = None
     edges: DataFrame | None = None
-    depth, turn = 1, 0
+    turn = 0
     while True:
         still = tables.write(_open_bands(members, edges), "open")
         if turn < LINEAR_ROUNDS:
@@ -190,24 +253,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             best = found.groupBy("doc_id").agg(F.max(F.struct("bands", -F.col("p"))).alias("best")).select("doc_id", (-F.col("best.col2")).alias("p"))
             pairs = best.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
         else:
-            rank = F.row_number().over(Window.partitionBy("key", "component").orderBy("n", "doc_id"))
-            ranked = tables.write(still.withColumn("rank", rank), "ranked")
-            deepest = ranked.agg(F.max("rank")).first()[0] or 0
-            front = ranked.where(F.col("rank") <= depth)
-            left, right = front.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), front.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = left.join(right, "key").where("a < b and c_a <> c_b").where(_fits(percent)).select("a", "b").distinct()
+            pairs = _block_pairs(still, sets.select("doc_id", "sketch"), percent)
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = tables.write(_confirmed(pairs, sets, percent), "tested")
         tested = checked if tested is None else tested.unionByName(checked)
         edges = tested.where("linked").select("a", "b")
-        if turn >= LINEAR_ROUNDS and deepest <= depth:
-            break
-        if turn < LINEAR_ROUNDS and still.isEmpty():
+        if turn == LINEAR_ROUNDS or still.isEmpty():
             break
-        depth *= 4 if turn >= LINEAR_ROUNDS else 1
         turn += 1
-        tables.drop("open", "ranked")
+        tables.drop("open")
     groups = connected_components(edges).withColumnRenamed("node", "first_id")
     named = classes.join(groups, "first_id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first_id").alias("component_id"))
     placed = signed.drop("keys").join(named, ["set_a", "set_b", "n_shingles"], "left")
