@@ -158,11 +158,19 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(e), batch.column("source_id")], names=["doc_id", "s", "e", "source_id"])
 
 
+def _islands(spans: DataFrame) -> DataFrame:
+    """Number the groups of overlapping or touching spans (s, e) of each document as ``island``."""
+    order = Window.partitionBy("doc_id").orderBy("s", "e")
+    opens = F.coalesce(F.col("s") > F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    return spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage of a document that earlier documents hold: doc_id, start_word, end_word, n_words, source_id, n_sources.
 
     Positions count words from 0; ``source_id`` is the smallest document that a
-    part of the passage was matched with. ``min_words`` is 50 or more.
+    part of the passage was matched with, ``n_sources`` how many different ones
+    its largest part was matched with. ``min_words`` is 50 or more.
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"passages under {MIN_WORDS} words aren't indexed")
@@ -170,18 +178,22 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     diagonal = Window.partitionBy("doc_id", "source_id", F.col("place") - F.col("source_place")).orderBy("place")
     runs = matches(docs, tables).distinct().withColumn("apart", F.coalesce(F.col("place") - F.lag("place").over(diagonal) > PREFIX, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(diagonal))
     runs = runs.groupBy("doc_id", "source_id", (F.col("place") - F.col("source_place")).alias("shift"), "run").agg(F.min("place").alias("s"), (F.max("place") + PREFIX).alias("e"))
-    runs = tables.write(runs.select("doc_id", "source_id", "s", "e", (F.col("s") - F.col("shift")).alias("source_s"), (F.col("e") - F.col("shift")).alias("source_e")), "runs")
+    runs = runs.select("doc_id", "source_id", "s", "e", (F.col("s") - F.col("shift")).alias("source_s"), (F.col("e") - F.col("shift")).alias("source_e"))
+    runs = tables.write(_islands(runs), "runs")
     tables.drop("neighbours")
+    whole = runs.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"))
+    # Only runs at the rim of an island can grow beyond it; a text of one repeated phrase has very many runs within.
+    rim = Window.partitionBy("doc_id", "island")
+    runs = runs.withColumns({"low": F.min("s").over(rim), "high": F.max("e").over(rim)}).where((F.col("s") <= F.col("low") + REACH) | (F.col("e") >= F.col("high") - REACH)).drop("low", "high", "island")
+    runs = tables.write(runs, "rims")
     ends = runs.select("doc_id", "s", "e").union(runs.select("source_id", "source_s", "source_e")).distinct()
     asked = ends.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id")
     near = tables.write(texts.mapInArrow(_contexts, "doc_id bigint, s int, e int, left binary, right binary").dropDuplicates(["doc_id", "s", "e"]), "contexts")
     source = near.toDF("source_id", "source_s", "source_e", "source_left", "source_right")
     grown = runs.join(near, ["doc_id", "s", "e"]).join(source, ["source_id", "source_s", "source_e"]).select("doc_id", "s", "e", "source_id", "left", "right", "source_left", "source_right").mapInArrow(_extended, "doc_id bigint, s int, e int, source_id bigint")
-    before = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    islands = grown.withColumn("opens", F.coalesce(F.col("s") > F.max("e").over(before), F.lit(True)).cast("int"))
-    islands = islands.withColumn("island", F.sum("opens").over(Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"))
+    grown = grown.withColumn("n_sources", F.lit(1).cast("bigint")).unionByName(whole.drop("island"))
+    spans = _islands(grown).groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.max("n_sources").alias("n_sources"))
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "n_sources").where(F.col("n_words") >= min_words)
 
 
