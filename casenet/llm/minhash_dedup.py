@@ -112,8 +112,8 @@ def signature_table(docs: DataFrame, size: int, bands: int, rows: int) -> DataFr
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, its whole shingle set as sorted 64-bit values, and the low bytes of ``SKETCH`` coordinates."""
+def _sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, its whole shingle set as sorted 64-bit values, and a sketch: its band keys and the low bytes of ``SKETCH`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +121,19 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 doc, value = shingles(data, offsets, size)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets = [value[cut[d] : cut[d + 1]].tobytes() for d in range(hi - lo)]
-                sketch = signatures(doc, value, hi - lo, SKETCH).astype(np.uint8)
+                wide = signatures(doc, value, hi - lo, max(SKETCH, bands * rows))
+                sketch = np.hstack([band_keys(wide[:, : bands * rows], bands, rows).view(np.uint8), wide[:, :SKETCH].astype(np.uint8)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary()), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["doc_id", "items", "sketch"])
 
     return docs.mapInArrow(run, "doc_id bigint, items binary, sketch binary")
 
 
-def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int) -> DataFrame:
     """Pairs (a < b) of members of one band, of different components, whose sizes and sketches allow the similarity.
 
     A band of many members is dealt over blocks by a hash of the id, and each
-    two of its blocks meet as one bounded group.
+    two of its blocks meet as one bounded group. A pair counts in the first of
+    the bands that it shares, so it comes once.
     """
     least = int(SKETCH * percent / 100 - 4.5 * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5)
     sizes = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -140,7 +142,8 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     met = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "sketch")
     met = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "own")
 
-    def compare(own, high, doc, n, component, sketch) -> list[np.ndarray]:
+    def compare(key, high, own, doc, n, component, sketch) -> list[np.ndarray]:
+        names, sketch = sketch[:, : 8 * bands].copy().view(np.int64), sketch[:, 8 * bands :]
         cut = int(np.searchsorted(own, high[0])) if own[0] < own[-1] else 0
         left, right = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
         if not cut and own[0] < high[0]:
@@ -148,14 +151,17 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int) -> DataFra
         found = []
         for lo in range(0, len(doc[left]), 64):
             part = slice(lo, lo + 64)
-            d, m, c, k = doc[left][part], n[left][part], component[left][part], sketch[left][part]
+            d, m, c, k, name = doc[left][part], n[left][part], component[left][part], sketch[left][part], names[left][part]
             good = (c[:, None] != component[right]) & (100 * np.minimum(m[:, None], n[right]) >= percent * np.maximum(m[:, None], n[right])) & (d[:, None] != doc[right])
             good &= (d[:, None] < doc[right]) | bool(cut)
             i, j = np.nonzero(good)
             for at in range(0, len(i), 4096):
                 x, y = i[at : at + 4096], j[at : at + 4096]
                 close = (k[x] == sketch[right][y]).sum(axis=1) >= least
-                x, y = d[x[close]], doc[right][y[close]]
+                x, y = x[close], y[close]
+                shared = (name[x] == names[right][y]).argmax(axis=1)
+                here = name[x, shared] == key[0]
+                x, y = d[x[here]], doc[right][y[here]]
                 found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
         return found
 
@@ -168,7 +174,7 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int) -> DataFra
             edge = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             bounds = [0, *edge.tolist(), len(key)]
             done = len(bounds) - 1 if last else len(bounds) - 2
-            found = [p for g in range(done) for p in compare(columns[3][bounds[g] : bounds[g + 1]], *(c[bounds[g] : bounds[g + 1]] for c in columns[2:3] + columns[4:]))]
+            found = [p for g in range(done) for p in compare(*(columns[k][bounds[g] : bounds[g + 1]] for k in (0, 2, 3, 4, 5, 6, 7)))]
             held = None if last else [c[bounds[done] :] for c in columns]
             return found
 
@@ -179,7 +185,7 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int) -> DataFra
 
         for batch in batches:
             if batch.num_rows:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)]
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH + 8 * bands)]
                 columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
                 yield from pairs(groups(columns, False))
         if held is not None:
@@ -235,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     members = tables.write(banded.join(shared, "key", "left_semi").distinct(), "members")
     wanted = members.select("doc_id").distinct()
-    sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words).dropDuplicates(["doc_id"]), "sets")
+    sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words, bands, rows).dropDuplicates(["doc_id"]), "sets")
 
     tested: DataFrame | None = None
     edges: DataFrame | None = None
@@ -253,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             best = found.groupBy("doc_id").agg(F.max(F.struct("bands", -F.col("p"))).alias("best")).select("doc_id", (-F.col("best.col2")).alias("p"))
             pairs = best.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
         else:
-            pairs = _block_pairs(still, sets.select("doc_id", "sketch"), percent)
+            pairs = _block_pairs(still, sets.select("doc_id", "sketch"), percent, bands)
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = tables.write(_confirmed(pairs, sets, percent), "tested")
