@@ -4,8 +4,11 @@ Suffixes are kept only where a minimiser of the text selects them, so equal
 passages keep suffixes at equal places. The kept suffixes, named by hashes of
 ``PREFIX`` words, are range-partitioned and sorted; neighbours with an equal
 prefix match, and the first of a run (smallest doc_id, then place) is the
-source of the others. Matches on one diagonal are joined and extended word by
-word to the left and right.
+source of the others. A suffix that comes again in its own document within
+``PREFIX`` words, as in a text of one repeated phrase, is one row with its first
+and last place, for the words from the first to behind the last are one passage.
+Matches on one diagonal are joined and extended word by word to the left and
+right, against the first and the last place in the source.
 
 ``SEED`` words make a seed, and of ``PREFIX - SEED + 1`` seeds in a row the
 least hash is kept (the first one in a tie). A kept place p opens suffixes at
@@ -50,56 +53,62 @@ def kept_places(words: tk.Words) -> np.ndarray:
     return np.unique(best)
 
 
-def suffix_rows(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place within it and (two columns) hash of each sparse suffix; texts under ``MIN_WORDS`` have none."""
+def suffix_rows(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and last place within it and (two columns) hash of each sparse suffix; texts under ``MIN_WORDS`` have none."""
     place, doc = kept_places(words), words.doc
     long_enough = np.diff(words.first) >= MIN_WORDS
     place = place[long_enough[doc[place]]] if len(place) else place
     at = np.unique(np.concatenate([place - j for j in range(0, PREFIX - SEED + 1, STRIDE)])) if len(place) else place
     if not len(at):
-        return at, at, np.zeros((0, 2), dtype=tk.U64)
+        return at, at, at, np.zeros((0, 2), dtype=tk.U64)
     fits = np.zeros(int(words.first[-1]), dtype=bool)
     fits[tk.whole_windows(words.first, PREFIX)] = True
     at = at[(at >= 0) & fits[at]]
     names = np.column_stack([tk.ngrams(words.hash, PREFIX)[at], tk.ngrams(words.hash ^ tk.U64(0xA0761D6478BD642F), PREFIX)[at]])
-    return doc[at], at - words.first[doc[at]], names
+    order = np.lexsort((at, names[:, 1], names[:, 0], doc[at]))
+    at, names = at[order], names[order]
+    opens = np.ones(len(at), dtype=bool)
+    opens[1:] = (doc[at[1:]] != doc[at[:-1]]) | (names[1:] != names[:-1]).any(axis=1) | (np.diff(at) > PREFIX)
+    ends = np.roll(opens, -1)
+    first, last, names = at[opens], at[ends], names[opens]
+    return doc[first], first - words.first[doc[first]], last - words.first[doc[first]], names
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, place, and a hash of the first ``PREFIX`` words in 96 bits."""
+    """doc_id, first and last place, and a hash of the first ``PREFIX`` words in 96 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column("text")):
-                doc, place, names = suffix_rows(tk.words(data, offsets))
+                doc, place, last, names = suffix_rows(tk.words(data, offsets))
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array((names[:, 1] >> tk.U64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(place.astype(np.int32))], names=["name", "more", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array((names[:, 1] >> tk.U64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(place.astype(np.int32)), pa.array(last.astype(np.int32))], names=["name", "more", "doc_id", "place", "last"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "name bigint, more int, doc_id bigint, place int")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "name bigint, more int, doc_id bigint, place int, last int")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches of one sorted partition with the head of their run; its edges (kind 1) may continue the run before or after."""
-    head: tuple[int, int, int, int] | None = None
+    head: tuple[int, int, int, int, int] | None = None
     first_run = True
-    names = ["kind", "name", "more", "doc_id", "place", "source_id", "source_place"]
+    names = ["kind", "name", "more", "doc_id", "place", "last", "source_id", "source_place", "source_last"]
 
     def rows(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        name, more, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        name, more, doc, place, last = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         begins = np.ones(len(name), dtype=bool)
         begins[1:] = (name[1:] != name[:-1]) | (more[1:] != more[:-1])
         begins[0] = head is None or (name[0], more[0]) != head[:2]
         n_before = int(begins.argmax()) if begins.any() else len(name)
         at = np.maximum.accumulate(np.where(begins, np.arange(len(name)), -1))
-        source, source_place = doc[np.maximum(at, 0)], place[np.maximum(at, 0)]
+        source, source_place, source_last = (c[np.maximum(at, 0)] for c in (doc, place, last))
         if n_before and head is not None:
-            source[:n_before], source_place[:n_before] = head[2], head[3]
+            source[:n_before], source_place[:n_before], source_last[:n_before] = head[2:]
         second = np.flatnonzero(begins)[1 if head is None else 0 :]
         in_first = np.zeros(len(name), dtype=bool)
         if first_run:
@@ -107,26 +116,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first_run = not len(second)
         edge = in_first & (doc == source)
         if edge.any():
-            yield rows(1, [name[edge], more[edge], doc[edge], place[edge], doc[edge], place[edge]])
+            yield rows(1, [c[edge] for c in (name, more, doc, place, last, doc, place, last)])
         match = source != doc
         if match.any():
-            yield rows(0, [name[match], more[match], doc[match], place[match], source[match], source_place[match]])
-        head = (int(name[-1]), int(more[-1]), int(source[-1]), int(source_place[-1]))
+            yield rows(0, [c[match] for c in (name, more, doc, place, last, source, source_place, source_last)])
+        head = (int(name[-1]), int(more[-1]), int(source[-1]), int(source_place[-1]), int(source_last[-1]))
     if head is not None:
-        yield rows(1, [np.array([v]) for v in (*head, head[2], head[3])])
+        yield rows(1, [np.array([v]) for v in (*head, *head[2:])])
 
 
 def matches(docs: DataFrame, tables: SharedTables) -> DataFrame:
-    """doc_id, place, source_id, source_place of suffixes that an earlier document holds too."""
+    """doc_id, place, last, source_id, source_place, source_last of suffixes that an earlier document holds too."""
     kept = tables.write(suffixes(docs), "suffixes")
-    ordered = kept.repartitionByRange("name", "more", "doc_id", "place").sortWithinPartitions("name", "more", "doc_id", "place")
-    found = tables.write(ordered.mapInArrow(_neighbours, "kind int, name bigint, more int, doc_id bigint, place int, source_id bigint, source_place int"), "neighbours")
+    ordered = kept.repartitionByRange("name", "more", "doc_id", "place").sortWithinPartitions("name", "more", "doc_id", "place", "last")
+    found = tables.write(ordered.mapInArrow(_neighbours, "kind int, name bigint, more int, doc_id bigint, place int, last int, source_id bigint, source_place int, source_last int"), "neighbours")
     tables.drop("suffixes")
     edges = found.where("kind = 1")
-    heads = edges.groupBy("name", "more").agg(F.min(F.struct("doc_id", "place")).alias("head"))
-    across = edges.select("name", "more", "doc_id", "place").distinct().join(heads, ["name", "more"]).where("head.doc_id < doc_id")
-    inner = found.where("kind = 0").select("doc_id", "place", "source_id", "source_place")
-    return inner.unionByName(across.select("doc_id", "place", F.col("head.doc_id").alias("source_id"), F.col("head.place").alias("source_place")))
+    heads = edges.groupBy("name", "more").agg(F.min(F.struct("doc_id", "place", "last")).alias("head"))
+    across = edges.select("name", "more", "doc_id", "place", "last").distinct().join(heads, ["name", "more"]).where("head.doc_id < doc_id")
+    inner = found.where("kind = 0").select("doc_id", "place", "last", "source_id", "source_place", "source_last")
+    return inner.unionByName(across.select("doc_id", "place", "last", F.col("head.doc_id").alias("source_id"), F.col("head.place").alias("source_place"), F.col("head.last").alias("source_last")))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +184,22 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if min_words < MIN_WORDS:
         raise ValueError(f"passages under {MIN_WORDS} words aren't indexed")
     tables = SharedTables(docs.sparkSession)
-    diagonal = Window.partitionBy("doc_id", "source_id", F.col("place") - F.col("source_place")).orderBy("place")
-    runs = matches(docs, tables).distinct().withColumn("apart", F.coalesce(F.col("place") - F.lag("place").over(diagonal) > PREFIX, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(diagonal))
-    runs = runs.groupBy("doc_id", "source_id", (F.col("place") - F.col("source_place")).alias("shift"), "run").agg(F.min("place").alias("s"), (F.max("place") + PREFIX).alias("e"))
-    runs = runs.select("doc_id", "source_id", "s", "e", (F.col("s") - F.col("shift")).alias("source_s"), (F.col("e") - F.col("shift")).alias("source_e"))
+    found = matches(docs, tables).distinct().withColumns({"shift": F.col("place") - F.col("source_place"), "last_shift": F.col("last") - F.col("source_last")})
+    diagonal = Window.partitionBy("doc_id", "source_id", "shift", "last_shift").orderBy("place", "last")
+    before = F.max("last").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("apart", F.coalesce(F.col("place") - before > PREFIX, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(diagonal))
+    runs = runs.groupBy("doc_id", "source_id", "shift", "last_shift", "run").agg(
+        F.min(F.struct("place", "source_last")).alias("low"), F.max(F.struct("last", "source_place")).alias("high")
+    ).select("doc_id", "source_id", "shift", "last_shift", F.col("low.place").alias("s"), (F.col("high.last") + PREFIX).alias("e"), F.col("low.source_last").alias("other_s"), (F.col("high.source_place") + PREFIX).alias("other_e"))
+    sides = F.array(F.struct((F.col("s") - F.col("shift")).alias("s"), (F.col("e") - F.col("last_shift")).alias("e")), F.struct(F.col("other_s").alias("s"), F.col("other_e").alias("e")))
+    runs = runs.select("doc_id", "source_id", "s", "e", F.array_distinct(sides).alias("sides"))
     runs = tables.write(_islands(runs), "runs")
     tables.drop("neighbours")
     whole = runs.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"))
     # Only runs at the rim of an island can grow beyond it; a text of one repeated phrase has very many runs within.
     rim = Window.partitionBy("doc_id", "island")
     runs = runs.withColumns({"low": F.min("s").over(rim), "high": F.max("e").over(rim)}).where((F.col("s") <= F.col("low") + REACH) | (F.col("e") >= F.col("high") - REACH)).drop("low", "high", "island")
-    runs = tables.write(runs, "rims")
+    runs = tables.write(runs.withColumn("side", F.explode("sides")).select("doc_id", "source_id", "s", "e", F.col("side.s").alias("source_s"), F.col("side.e").alias("source_e")), "rims")
     ends = runs.select("doc_id", "s", "e").union(runs.select("source_id", "source_s", "source_e")).distinct()
     asked = ends.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id")

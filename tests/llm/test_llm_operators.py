@@ -285,6 +285,24 @@ def test_passages_against_brute_force(spark):
         assert words <= found[i] and len(found[i] - words) <= 2
 
 
+def test_passages_of_repeated_phrases(spark):
+    """Texts that say one phrase again and again, with other words before, between and behind."""
+    rows = []
+    for k, period in enumerate((1, 2, 5, 11, 17, 30, 39, 41, 60)):
+        phrase = prose(700 + k, period).split()
+        for j, times in enumerate((9, 4, 6)):
+            turns = " ".join((phrase * (times * 60 // period + 1))[: times * 13 + period])
+            own = [prose(30000 + 100 * k + 10 * j + n, 15) for n in range(3)]
+            rows.append((3 * k + j, " ".join([own[0], turns, own[1], *[turns] * (j == 0), own[2]])))
+    need, found = repeated_51(rows), {}
+    for r in suffix_dedup.repeated_passages(documents(spark, rows)).collect():
+        assert r["source_id"] < r["doc_id"] and r["n_words"] >= 50
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert set(need) <= set(found)
+    assert all(words <= found[i] for i, words in need.items())
+    assert all(len(found[i] - need.get(i, set())) <= 2 for i in found)
+
+
 def test_repeats_are_cut_once(spark):
     rows = shared_passages(spark)
     docs = documents(spark, rows)
