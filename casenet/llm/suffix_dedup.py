@@ -15,7 +15,9 @@ least hash is kept (the first one in a tie). A kept place p opens suffixes at
 p, p - STRIDE and p - 2 * STRIDE. Any passage of 51 words that two documents
 share therefore holds an equal suffix start of both, at most 11 words from its
 begin, and every longer one an end at most 11 words from its end: extension
-by 11 words finds the whole match.
+by 11 words finds the whole match with the source of the run. Where the middle of
+a passage stands in a still earlier document with other surroundings, that one is
+the source, and up to 11 words at either end may stay.
 
 Edge cases: null, empty and short texts have no passages; a row with a null
 doc_id is neither changed nor a source; rows that share a doc_id count as one
