@@ -74,11 +74,15 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows equal in id and text one stays."""
-    judged = deduplicate(docs, index or DigestIndex(docs.sparkSession))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    twice = judged.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_anti")
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    """The rows of ``docs`` that stay, with their own columns; of rows equal in id and text one stays.
+
+    A row is known by its id and digest, for different texts may share an id or have none.
+    """
+    judged = deduplicate(docs, index or DigestIndex(docs.sparkSession)).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__of"), "kept")
+    rows = docs.withColumn("__digest", text_digest(F.col("text")))
+    same = F.col("__digest").eqNullSafe(F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = rows.join(judged.where(~F.col("kept")).select("__id", "__of").distinct(), same, "left_anti")
+    twice = judged.where("kept").groupBy("__id", "__of").count().where("count > 1").select("__id", "__of")
+    once = kept.join(twice, same, "left_anti").drop("__digest")
+    again = kept.join(twice, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("row"))
     return once.unionByName(again.select("row.*"))

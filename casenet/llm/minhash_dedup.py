@@ -277,6 +277,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those that a near-duplicate of smaller id stands for; their own columns only."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` without those that a near-duplicate of smaller id stands for; their own columns only.
+
+    Where different texts share an id, each of them is a document of its own:
+    the first keeps the id and the others are numbered above all ids.
+    """
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash")).where("doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.min("hash").alias("first"), F.max("hash").alias("last"))
+    tables = SharedTables(docs.sparkSession)
+    mixed = tables.write(ids.where("first < last").select("doc_id", "first"), "mixed")
+    if mixed.isEmpty():
+        gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    above = named.agg(F.max("doc_id")).first()[0] + 1
+    others = named.join(mixed, "doc_id").where("hash <> first").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    others = tables.write(others.withColumn("__number", F.monotonically_increasing_id() + above), "numbered")
+    rows = docs.withColumn("__text", F.xxhash64("text")).join(others, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
+    rows = rows.withColumn("__row", F.coalesce("__number", F.col("doc_id").cast("bigint")))
+    judged = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options).where("component_id is not null").select("doc_id", "component_id").distinct()
+    judged = tables.write(judged.join(others.select(F.col("__number").alias("doc_id"), "__id"), "doc_id", "left").withColumn("own", F.coalesce("__id", "doc_id")), "judged")
+    firsts = judged.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("best"))
+    gone = judged.join(firsts, "component_id").where("doc_id <> best.doc_id").select(F.col("doc_id").alias("__gone"))
+    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)

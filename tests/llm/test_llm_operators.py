@@ -356,6 +356,13 @@ def test_exact_dedup_keeps_one_of_repeated_rows(messy, empty):
     assert exact_dedup.keep_first(empty).count() == 0
 
 
+def test_exact_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(3, "copy of three"), (5, "unique"), (5, "copy of  three"), (6, "one"), (6, "two"), (6, "two"), (None, "copy of three"), (None, "alone"), (None, "other"), (None, "other")]
+    kept = exact_dedup.keep_first(documents(spark, rows)).collect()
+    want = [(3, "copy of three"), (5, "unique"), (6, "one"), (6, "two"), (None, "alone"), (None, "other")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_index_is_joined_in_place(spark, messy):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     exact_dedup.deduplicate(messy, index)
@@ -509,6 +516,14 @@ def test_near_duplicate_edges(messy, empty):
     assert minhash_dedup.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    base, own, late = (prose(40 + k, 120) for k in range(3))
+    rows = [(3, base), (5, own), (5, base + " tail"), (5, late), (7, late + " tail"), (8, own + " tail"), (9, prose(50, 120)), (9, prose(51, 120)), (None, base)]
+    kept = minhash_dedup.keep_one(documents(spark, rows)).collect()
+    want = [rows[k] for k in (0, 1, 3, 6, 7, 8)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_circulant_signature_estimates_the_similarity():
     rng = np.random.default_rng(5)
     common, left, right = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (600, 200, 200))
