@@ -2,22 +2,22 @@
 
 Suffixes are kept only where a minimiser of the text selects them, so equal
 passages keep suffixes at equal places. The kept suffixes, named by hashes of
-``PREFIX`` words, are range-partitioned and sorted; neighbours with an equal
-prefix match, and the first of a run (smallest doc_id, then place) is the
-source of the others. A suffix that comes again in its own document within
-``PREFIX`` words, as in a text of one repeated phrase, is one row with its first
-and last place, for the words from the first to behind the last are one passage.
-Matches on one diagonal are joined and extended word by word to the left and
-right, against the first and the last place in the source.
+``PREFIX`` words, are range-partitioned and sorted; where neighbours of different
+documents have an equal prefix, the windows of ``min_words`` words around each of
+them are named by hashes and sorted in the same way. Equal windows match, and the
+first of a run (smallest doc_id, then place) is the source of the others.
+A passage is a union of overlapping or touching windows, each of which an earlier
+document holds as a whole. A suffix or window that comes again in its own document
+within its own length, as in a text of one repeated phrase, is one row with its
+first and last place, for the words from the first to behind the last are one
+passage.
 
 ``SEED`` words make a seed, and of ``PREFIX - SEED + 1`` seeds in a row the
 least hash is kept (the first one in a tie). A kept place p opens suffixes at
 p, p - STRIDE and p - 2 * STRIDE. Any passage of 51 words that two documents
 share therefore holds an equal suffix start of both, at most 11 words from its
-begin, and every longer one an end at most 11 words from its end: extension
-by 11 words finds the whole match with the source of the run. Where the middle of
-a passage stands in a still earlier document with other surroundings, that one is
-the source, and up to 11 words at either end may stay.
+begin, and all its windows are among those around that suffix, in every document
+that holds it.
 
 Edge cases: null, empty and short texts have no passages; a row with a null
 doc_id is neither changed nor a source; rows that share a doc_id count as one
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +41,6 @@ from casenet.llm import textkernel as tk
 from casenet.plans.shared import SharedTables
 
 SEED, PREFIX, STRIDE, MIN_WORDS = 8, 40, 12, 50
-REACH = STRIDE - 1
 
 
 def kept_places(words: tk.Words) -> np.ndarray:
@@ -66,37 +66,93 @@ def suffix_rows(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     fits = np.zeros(int(words.first[-1]), dtype=bool)
     fits[tk.whole_windows(words.first, PREFIX)] = True
     at = at[(at >= 0) & fits[at]]
-    names = np.column_stack([tk.ngrams(words.hash, PREFIX)[at], tk.ngrams(words.hash ^ tk.U64(0xA0761D6478BD642F), PREFIX)[at]])
+    return _merged(words, at, _named(words, at, PREFIX), PREFIX)
+
+
+def _merged(words: tk.Words, at: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and last place and name; equal names within ``width`` words of each other are one row."""
+    doc = words.doc
     order = np.lexsort((at, names[:, 1], names[:, 0], doc[at]))
     at, names = at[order], names[order]
     opens = np.ones(len(at), dtype=bool)
-    opens[1:] = (doc[at[1:]] != doc[at[:-1]]) | (names[1:] != names[:-1]).any(axis=1) | (np.diff(at) > PREFIX)
+    opens[1:] = (doc[at[1:]] != doc[at[:-1]]) | (names[1:] != names[:-1]).any(axis=1) | (np.diff(at) > width)
     ends = np.roll(opens, -1)
     first, last, names = at[opens], at[ends], names[opens]
     return doc[first], first - words.first[doc[first]], last - words.first[doc[first]], names
 
 
+def _named(words: tk.Words, at: np.ndarray, width: int) -> np.ndarray:
+    return np.column_stack([tk.ngrams(words.hash, width)[at], tk.ngrams(words.hash ^ tk.U64(0xA0761D6478BD642F), width)[at]])
+
+
+ROWS = "name bigint, more int, doc_id bigint, place int, last int"
+
+
+def _batch(ids: pa.Array, doc: np.ndarray, place: np.ndarray, last: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array((names[:, 1] >> tk.U64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(last.astype(np.int32))], names=["name", "more", "doc_id", "place", "last"])
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, first and last place, and a hash of the first ``PREFIX`` words in 96 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column("text")):
-                doc, place, last, names = suffix_rows(tk.words(data, offsets))
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array((names[:, 1] >> tk.U64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(place.astype(np.int32)), pa.array(last.astype(np.int32))], names=["name", "more", "doc_id", "place", "last"])
+                yield _batch(batch.column("doc_id").slice(lo, hi - lo), *suffix_rows(tk.words(data, offsets)))
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ROWS)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one sorted partition whose run holds several documents (kind 0).
+
+    Its first and last run may go on in another partition: of one document, all
+    their rows come as kind 1, of several, a row of two documents as kind 2.
+    """
+    held: list[np.ndarray] | None = None
+    opening = True
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+
+    def rows(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["kind", "name", "more", "doc_id", "place", "last"])
+
+    def judged(columns: list[np.ndarray], closing: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, opening
+        name, more, doc = columns[:3]
+        bounds = np.concatenate([[0], np.flatnonzero((name[1:] != name[:-1]) | (more[1:] != more[:-1])) + 1, [len(name)]])
+        if not closing:
+            held = [c[bounds[-2] :] for c in columns]
+            if held[2][0] != held[2][-1]:
+                yield rows(0, held)
+                held = [c[[0, -1]] for c in held]
+            bounds = bounds[:-1]
+        if len(bounds) < 2:
+            return
+        low, high = bounds[:-1], bounds[1:] - 1
+        several, edge = doc[low] != doc[high], np.zeros(len(low), dtype=bool)
+        edge[0] |= opening
+        edge[-1] |= closing
+        opening = False
+        for kind, runs in ((0, several), (1, edge & ~several)):
+            yield rows(kind, [c[: bounds[-1]][np.repeat(runs, np.diff(bounds))] for c in columns])
+        yield rows(2, [c[np.concatenate([low[edge & several], high[edge & several]])] for c in columns])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "name bigint, more int, doc_id bigint, place int, last int")
+    for batch in batches:
+        if batch.num_rows:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield from judged(columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)], False)
+    if held is not None:
+        yield from judged(held, True)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches of one sorted partition with the head of their run; its edges (kind 1) may continue the run before or after."""
     head: tuple[int, int, int, int, int] | None = None
     first_run = True
-    names = ["kind", "name", "more", "doc_id", "place", "last", "source_id", "source_place", "source_last"]
+    names = ["kind", "name", "more", "doc_id", "place", "last", "source_id"]
 
     def rows(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     for batch in batches:
@@ -118,55 +174,61 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first_run = not len(second)
         edge = in_first & (doc == source)
         if edge.any():
-            yield rows(1, [c[edge] for c in (name, more, doc, place, last, doc, place, last)])
+            yield rows(1, [c[edge] for c in (name, more, doc, place, last, doc)])
         match = source != doc
         if match.any():
-            yield rows(0, [c[match] for c in (name, more, doc, place, last, source, source_place, source_last)])
+            yield rows(0, [c[match] for c in (name, more, doc, place, last, source)])
         head = (int(name[-1]), int(more[-1]), int(source[-1]), int(source_place[-1]), int(source_last[-1]))
     if head is not None:
-        yield rows(1, [np.array([v]) for v in (*head, *head[2:])])
+        yield rows(1, [np.array([v]) for v in (*head, head[2])])
+
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("name", "more", "doc_id", "place").sortWithinPartitions("name", "more", "doc_id", "place", "last")
 
-def matches(docs: DataFrame, tables: SharedTables) -> DataFrame:
-    """doc_id, place, last, source_id, source_place, source_last of suffixes that an earlier document holds too."""
+
+def shared_suffixes(docs: DataFrame, tables: SharedTables) -> DataFrame:
+    """doc_id, place, last of every suffix that another document holds too, earlier or later."""
     kept = tables.write(suffixes(docs), "suffixes")
-    ordered = kept.repartitionByRange("name", "more", "doc_id", "place").sortWithinPartitions("name", "more", "doc_id", "place", "last")
-    found = tables.write(ordered.mapInArrow(_neighbours, "kind int, name bigint, more int, doc_id bigint, place int, last int, source_id bigint, source_place int, source_last int"), "neighbours")
+    found = tables.write(_ordered(kept).mapInArrow(_shared, f"kind int, {ROWS}"), "shared")
     tables.drop("suffixes")
-    edges = found.where("kind = 1")
-    heads = edges.groupBy("name", "more").agg(F.min(F.struct("doc_id", "place", "last")).alias("head"))
-    across = edges.select("name", "more", "doc_id", "place", "last").distinct().join(heads, ["name", "more"]).where("head.doc_id < doc_id")
-    inner = found.where("kind = 0").select("doc_id", "place", "last", "source_id", "source_place", "source_last")
-    return inner.unionByName(across.select("doc_id", "place", "last", F.col("head.doc_id").alias("source_id"), F.col("head.place").alias("source_place"), F.col("head.last").alias("source_last")))
+    several = found.where("kind > 0").groupBy("name", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "more")
+    across = found.where("kind = 1").join(several, ["name", "more"], "left_semi")
+    return found.where("kind = 0").select("doc_id", "place", "last").unionByName(across.select("doc_id", "place", "last"))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each asked span the hashes of the ``REACH`` words before and after it; 0 where the text ends."""
-    for batch in batches:
-        for lo, hi, data, offsets in tk.chunks(batch.column("text")):
-            words = tk.words(data, offsets)
-            asked = batch.column("asked").slice(lo, hi - lo)
-            ids, spans, near = [], [], []
-            for d in range(hi - lo):
-                own = (words.hash[words.first[d] : words.first[d + 1]] | tk.U64(1)).astype(np.uint32)
-                padded = np.concatenate([np.zeros(REACH, np.uint32), own, np.zeros(REACH, np.uint32)])
-                for span in asked[d].as_py():
-                    s, e = span["s"], span["e"]
-                    if e <= len(own):
-                        ids.append(batch.column("doc_id")[lo + d].as_py())
-                        spans.append((s, e))
-                        near.append((padded[s : s + REACH][::-1].tobytes(), padded[e + REACH : e + 2 * REACH].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s for s, _ in spans], pa.int32()), pa.array([e for _, e in spans], pa.int32()), pa.array([x for x, _ in near], pa.binary()), pa.array([y for _, y in near], pa.binary())], names=["doc_id", "s", "e", "left", "right"])
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grown = []
-        for side in ("left", "right"):
-            a, b = (np.frombuffer(b"".join(batch.column(f"{p}{side}").to_pylist()), dtype=np.uint32).reshape(-1, REACH) for p in ("", "source_"))
-            grown.append(np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1).astype(np.int32))
-        s, e = batch.column("s").to_numpy() - grown[0], batch.column("e").to_numpy() + grown[1]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(e), batch.column("source_id")], names=["doc_id", "s", "e", "source_id"])
+def windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """The windows of ``width`` words that hold an ``asked`` suffix (or begin one word behind it), as rows like those of ``suffixes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tk.chunks(batch.column("text")):
+                words, spans = tk.words(data, offsets), batch.column("asked").slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+                place, last = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                low = np.maximum(place - (width - PREFIX) - 1, 0)
+                high = np.minimum(last + 1, np.diff(words.first)[doc] - width) + 1
+                fits = high > low
+                steps = np.zeros(int(words.first[-1]) + 1, dtype=np.int64)
+                np.add.at(steps, words.first[doc[fits]] + low[fits], 1)
+                np.add.at(steps, words.first[doc[fits]] + high[fits], -1)
+                at = np.flatnonzero(np.cumsum(steps) > 0)
+                if len(at):
+                    yield _batch(batch.column("doc_id").slice(lo, hi - lo), *_merged(words, at, _named(words, at, width), width))
+
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "last")).alias("asked"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id")
+    return texts.mapInArrow(run, ROWS)
+
+
+def matches(rows: DataFrame, tables: SharedTables) -> DataFrame:
+    """doc_id, place, last, source_id of rows whose name an earlier document holds too; the source is the first one."""
+    found = tables.write(_ordered(rows).mapInArrow(_neighbours, f"kind int, {ROWS}, source_id bigint"), "neighbours")
+    edges = found.where("kind = 1")
+    heads = edges.groupBy("name", "more").agg(F.min("doc_id").alias("head"))
+    across = edges.select("name", "more", "doc_id", "place", "last").distinct().join(heads, ["name", "more"]).where("head < doc_id")
+    inner = found.where("kind = 0").join(F.broadcast(heads), ["name", "more"], "left").select("doc_id", "place", "last", F.coalesce("head", "source_id").alias("source_id"))
+    return inner.unionByName(across.select("doc_id", "place", "last", F.col("head").alias("source_id")))
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -179,38 +241,19 @@ def _islands(spans: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage of a document that earlier documents hold: doc_id, start_word, end_word, n_words, source_id, n_sources.
 
-    Positions count words from 0; ``source_id`` is the smallest document that a
-    part of the passage was matched with, ``n_sources`` how many different ones
-    its largest part was matched with. ``min_words`` is 50 or more.
+    Positions count words from 0. Each window of ``min_words`` words (50 or more)
+    has as its source the smallest document that holds it; ``source_id`` is the
+    smallest of the passage, ``n_sources`` how many different ones it has.
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"passages under {MIN_WORDS} words aren't indexed")
     tables = SharedTables(docs.sparkSession)
-    found = matches(docs, tables).distinct().withColumns({"shift": F.col("place") - F.col("source_place"), "last_shift": F.col("last") - F.col("source_last")})
-    diagonal = Window.partitionBy("doc_id", "source_id", "shift", "last_shift").orderBy("place", "last")
-    before = F.max("last").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
-    runs = found.withColumn("apart", F.coalesce(F.col("place") - before > PREFIX, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(diagonal))
-    runs = runs.groupBy("doc_id", "source_id", "shift", "last_shift", "run").agg(
-        F.min(F.struct("place", "source_last")).alias("low"), F.max(F.struct("last", "source_place")).alias("high")
-    ).select("doc_id", "source_id", "shift", "last_shift", F.col("low.place").alias("s"), (F.col("high.last") + PREFIX).alias("e"), F.col("low.source_last").alias("other_s"), (F.col("high.source_place") + PREFIX).alias("other_e"))
-    sides = F.array(F.struct((F.col("s") - F.col("shift")).alias("s"), (F.col("e") - F.col("last_shift")).alias("e")), F.struct(F.col("other_s").alias("s"), F.col("other_e").alias("e")))
-    runs = runs.select("doc_id", "source_id", "s", "e", F.array_distinct(sides).alias("sides"))
-    runs = tables.write(_islands(runs), "runs")
-    tables.drop("neighbours")
-    whole = runs.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"))
-    # Only runs at the rim of an island can grow beyond it; a text of one repeated phrase has very many runs within.
-    rim = Window.partitionBy("doc_id", "island")
-    runs = runs.withColumns({"low": F.min("s").over(rim), "high": F.max("e").over(rim)}).where((F.col("s") <= F.col("low") + REACH) | (F.col("e") >= F.col("high") - REACH)).drop("low", "high", "island")
-    runs = tables.write(runs.withColumn("side", F.explode("sides")).select("doc_id", "source_id", "s", "e", F.col("side.s").alias("source_s"), F.col("side.e").alias("source_e")), "rims")
-    ends = runs.select("doc_id", "s", "e").union(runs.select("source_id", "source_s", "source_e")).distinct()
-    asked = ends.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id")
-    near = tables.write(texts.mapInArrow(_contexts, "doc_id bigint, s int, e int, left binary, right binary").dropDuplicates(["doc_id", "s", "e"]), "contexts")
-    source = near.toDF("source_id", "source_s", "source_e", "source_left", "source_right")
-    grown = runs.join(near, ["doc_id", "s", "e"]).join(source, ["source_id", "source_s", "source_e"]).select("doc_id", "s", "e", "source_id", "left", "right", "source_left", "source_right").mapInArrow(_extended, "doc_id bigint, s int, e int, source_id bigint")
-    grown = grown.withColumn("n_sources", F.lit(1).cast("bigint")).unionByName(whole.drop("island"))
-    spans = _islands(grown).groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.max("n_sources").alias("n_sources"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "n_sources").where(F.col("n_words") >= min_words)
+    near = tables.write(windows(docs, shared_suffixes(docs, tables), min_words), "windows")
+    tables.drop("shared")
+    found = matches(near, tables).select("doc_id", F.col("place").alias("s"), (F.col("last") + min_words).alias("e"), "source_id").distinct()
+    tables.drop("windows")
+    spans = _islands(found).groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"))
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "n_sources")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -285,6 +285,23 @@ def test_passages_against_brute_force(spark):
         assert words <= found[i] and len(found[i] - words) <= 2
 
 
+def test_nested_passages_against_brute_force(spark):
+    """The middle of a passage stands earlier with other surroundings, in another document or in the source itself."""
+    rows = []
+    for k in range(40):
+        whole = prose(50000 + k, 60 + k % 7).split()
+        low, size = k % 12, 40 + k % 9
+        own = [prose(60000 + 10 * k + n, 30) for n in range(8)]
+        middle, whole = f"{own[0]} {' '.join(whole[low : low + size])} {own[1]}", f"{own[2]} {' '.join(whole)} {own[3]}"
+        rows += [(10 * k, middle), (10 * k + 1, whole)] if k % 2 else [(10 * k, f"{middle} {whole}")]
+        rows.append((10 * k + 2, f"{own[4]} {' '.join(whole.split()[30:-30])} {own[5]}"))
+    need, found = repeated_51(rows), {}
+    for r in suffix_dedup.repeated_passages(documents(spark, rows)).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert set(found) == set(need)
+    assert all(words <= found[i] and len(found[i] - words) <= 2 for i, words in need.items())
+
+
 def test_passages_of_repeated_phrases(spark):
     """Texts that say one phrase again and again, with other words before, between and behind."""
     rows = []
