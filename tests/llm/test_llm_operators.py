@@ -332,6 +332,14 @@ def test_repeats_are_cut_once(spark):
     assert not repeated_51([(i, r["text"]) for i, r in kept.items()])
 
 
+def test_short_matches_do_not_add_up(spark):
+    """40 words of one document and 40 of another are no passage that a document holds."""
+    a, b = prose(70001, 200).split(), prose(70002, 200).split()
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, f"{prose(70003, 60)} {' '.join(a[50:95])} {' '.join(b[80:125])} {prose(70004, 60)}")]
+    assert suffix_dedup.repeated_passages(documents(spark, rows)).count() == 0
+    assert {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeats(documents(spark, rows)).collect()} == dict(rows)
+
+
 def test_passage_edges(messy, empty):
     left = suffix_dedup.drop_repeats(messy)
     texts = {r["doc_id"]: r["text"] for r in left.collect()}
