@@ -180,3 +180,29 @@ def test_images_are_listed_and_hashed(spark, tmp_path):
     rows = {r["image_name"]: r["sha256"] for r in scans.list_images(spark, str(tmp_path), with_hash=True).collect()}
     assert set(rows) == {"a.JPG", "b.png"}
     assert rows["a.JPG"].startswith("6b86b273ff34fce1")
+
+
+def test_similar_names_against_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng, rows = random.Random(5), {("S", "xa police station"), ("S", "xb police station"), ("P", "abcdefghijklmnopqrstu"), ("P", "Xbcdefghijklmnopqrst#".lower())}
+    for _ in range(25):
+        base = "".join(rng.choice("abcdef ") for _ in range(rng.randint(8, 34))).strip() or "a"
+        for kind, tail in (("P", ""), ("S", " police station")):
+            rows.add((kind, base + tail))
+            for _ in range(4):
+                name = list(base)
+                for _ in range(rng.randint(1, 4)):
+                    k = rng.choice([0, 1, len(name) - 1, rng.randrange(len(name))])
+                    name[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"]) if len(name) > 3 else "x"
+                rows.add((kind, "".join(name) + tail))
+    want = {(t, a, b) for t, a in rows for u, b in rows if t == u and a < b and 1 - distance(a, b) / max(len(a), len(b)) > 0.90}
+    got = crossval.similar_names(spark.createDataFrame(sorted(rows), "entity_type string, normalized_name string")).collect()
+    assert len(got) == len(want) and {(r["entity_type"], r["a"], r["b"]) for r in got} == want
+    assert ("P", "abcdefghijklmnopqrstu", "xbcdefghijklmnopqrst#") in want
