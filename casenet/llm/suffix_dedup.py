@@ -1,28 +1,36 @@
 """Repeated passages by a sparse suffix array over words.
 
-Suffixes are kept only where a minimiser of the text selects them, so equal
-passages keep suffixes at equal places. The kept suffixes, named by hashes of
-``PREFIX`` words, are range-partitioned and sorted; where neighbours of different
-documents have an equal prefix, the windows of ``min_words`` words around each of
-them are named by hashes and sorted in the same way. Equal windows match, and the
-first of a run (smallest doc_id, then place) is the source of the others.
-A passage is a union of overlapping or touching windows, each of which an earlier
-document holds as a whole. A suffix or window that comes again in its own document
-within its own length, as in a text of one repeated phrase, is one row with its
-first and last place, for the words from the first to behind the last are one
-passage.
-
-``SEED`` words make a seed, and of ``PREFIX - SEED + 1`` seeds in a row the
-least hash is kept (the first one in a tie). A kept place p opens suffixes at
-p, p - STRIDE and p - 2 * STRIDE. Any passage of 51 words that two documents
-share therefore holds an equal suffix start of both, at most 11 words from its
-begin, and all its windows are among those around that suffix, in every document
-that holds it.
-
-Edge cases: null, empty and short texts have no passages; a row with a null
-doc_id is neither changed nor a source; rows that share a doc_id count as one
-document, and repeats within one document are left alone; ties go to the
-smallest doc_id, then the first place; an empty table gives empty results;
+Suffixes are retained only at minimisers of the text, so equal passages retain
+suffixes at equal places. A suffix's key is the packed codes of its first four
+words and, behind them, a hash of its first ``PREFIX`` words; the suffixes are
+range-partitioned and sorted by it, and neighbours are compared. A suffix whose
+neighbours begin otherwise shares no passage and goes.
+
+From the others, matches are extended left and right: the suffixes at every
+word on either side, as far as ``min_words`` words from there still hold the
+matched one, are sorted and compared in the same way by their first
+``min_words`` words. Of a run of equal ones the first (smallest doc_id, then
+place) is the source of the others, and a passage is a union of overlapping or
+touching ones. Extending word by word against one neighbour instead would lose
+nested passages: where an earlier document holds only the middle of what two
+later ones share, it is the neighbour of both.
+
+``SEED`` words make a seed, and of ``MIN_WORDS - PREFIX + 1`` seeds in a row the
+least hash is retained (the first one in a tie). Any ``MIN_WORDS`` words in a row
+therefore hold a retained suffix with its whole prefix, the same one wherever
+they stand, and every passage is found whole.
+
+Repeats within one document count where they begin ``min_words`` words behind
+the first place or later, so the first of them stays. Suffixes that come again
+in their own document within their own length, as in a text of one repeated
+phrase, are one row with a first and a last place.
+
+Edge cases: null, empty and short texts have no passages; a text of any length
+is taken whole, in a few arrays of its words; a row with a null doc_id is
+neither changed nor a source; in ``repeated_passages`` rows that share a doc_id
+count as one document, while ``drop_repeats`` tells different texts of one id
+apart; repeated rows are cut alike and are no repeats of each other; ties go to
+the smallest doc_id, then the first place; an empty table gives empty results;
 other columns are passed through by ``drop_repeats``.
 """
 
@@ -38,167 +46,135 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casenet.llm import textkernel as tk
+from casenet.llm.rows import numbered
 from casenet.plans.shared import SharedTables
 
-SEED, PREFIX, STRIDE, MIN_WORDS = 8, 40, 12, 50
+SEED, PREFIX, MIN_WORDS = 8, 24, 50
+ROWS = "lead bigint, name bigint, doc_id bigint, place int, last int"
+_TYPES = {"kind": pa.int32(), "lead": pa.int64(), "name": pa.int64(), "doc_id": pa.int64(), "place": pa.int32(), "last": pa.int32(), "source_id": pa.int64(), "source_place": pa.int32()}
 
 
 def kept_places(words: tk.Words) -> np.ndarray:
-    """Word positions of the minimisers, ascending; windows of seeds lie within one document."""
-    start = tk.whole_windows(words.first, PREFIX)
+    """Word positions of the minimisers, ascending; texts under ``MIN_WORDS`` words have none."""
+    start = tk.whole_windows(words.first, MIN_WORDS)
     if not len(start):
         return start
-    seeds = tk.ngrams(words.hash, SEED)
-    width = PREFIX - SEED + 1
-    view = np.lib.stride_tricks.sliding_window_view(seeds, width)
+    view = np.lib.stride_tricks.sliding_window_view(tk.ngrams(words.hash, SEED), MIN_WORDS - PREFIX + 1)
     best = np.concatenate([view[part].argmin(axis=1) + part for part in np.array_split(start, max(1, len(start) // 65536))])
     return np.unique(best)
 
 
-def suffix_rows(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and last place within it and (two columns) hash of each sparse suffix; texts under ``MIN_WORDS`` have none."""
-    place, doc = kept_places(words), words.doc
-    long_enough = np.diff(words.first) >= MIN_WORDS
-    place = place[long_enough[doc[place]]] if len(place) else place
-    at = np.unique(np.concatenate([place - j for j in range(0, PREFIX - SEED + 1, STRIDE)])) if len(place) else place
-    if not len(at):
-        return at, at, at, np.zeros((0, 2), dtype=tk.U64)
-    fits = np.zeros(int(words.first[-1]), dtype=bool)
-    fits[tk.whole_windows(words.first, PREFIX)] = True
-    at = at[(at >= 0) & fits[at]]
-    return _merged(words, at, _named(words, at, PREFIX), PREFIX)
-
-
-def _merged(words: tk.Words, at: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and last place and name; equal names within ``width`` words of each other are one row."""
-    doc = words.doc
-    order = np.lexsort((at, names[:, 1], names[:, 0], doc[at]))
-    at, names = at[order], names[order]
-    opens = np.ones(len(at), dtype=bool)
-    opens[1:] = (doc[at[1:]] != doc[at[:-1]]) | (names[1:] != names[:-1]).any(axis=1) | (np.diff(at) > width)
-    ends = np.roll(opens, -1)
-    first, last, names = at[opens], at[ends], names[opens]
-    return doc[first], first - words.first[doc[first]], last - words.first[doc[first]], names
-
-
-def _named(words: tk.Words, at: np.ndarray, width: int) -> np.ndarray:
-    return np.column_stack([tk.ngrams(words.hash, width)[at], tk.ngrams(words.hash ^ tk.U64(0xA0761D6478BD642F), width)[at]])
-
-
-ROWS = "name bigint, more int, doc_id bigint, place int, last int"
-
-
-def _batch(ids: pa.Array, doc: np.ndarray, place: np.ndarray, last: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array((names[:, 1] >> tk.U64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(last.astype(np.int32))], names=["name", "more", "doc_id", "place", "last"])
+def suffix_keys(words: tk.Words, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort key of the suffixes at ``at``: 16 bits of each of the first four words, and a hash of ``width`` words."""
+    code = words.hash >> tk.U64(48)
+    lead = (code[at] << tk.U64(48)) | (code[at + 1] << tk.U64(32)) | (code[at + 2] << tk.U64(16)) | code[at + 3]
+    return lead, tk.ngrams(words.hash, width)[at]
+
+
+def _rows(ids: pa.Array, words: tk.Words, at: np.ndarray, width: int) -> pa.RecordBatch:
+    """Key, document, first and last place of the suffixes at ``at``; equal ones within ``width`` words are one row, which spans less than ``width``."""
+    lead, name = suffix_keys(words, at, width)
+    doc = words.doc[at]
+    order = np.lexsort((at, name, lead, doc))
+    at, lead, name, doc = at[order], lead[order], name[order], doc[order]
+    chain = np.ones(len(at), dtype=bool)
+    chain[1:] = (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (name[1:] != name[:-1]) | (np.diff(at) > width)
+    begin = at[np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))]
+    block = (at - begin) // width
+    opens = chain.copy()
+    opens[1:] |= block[1:] != block[:-1]
+    closes = np.append(opens[1:], True)
+    first, last, of = at[opens], at[closes], doc[opens]
+    signed = lambda v: pa.array(np.ascontiguousarray(v[opens]).view(np.int64))
+    place = lambda v: pa.array((v - words.first[of]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([signed(lead), signed(name), ids.take(pa.array(of)), place(first), place(last)], names=["lead", "name", "doc_id", "place", "last"])
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, first and last place, and a hash of the first ``PREFIX`` words in 96 bits."""
+    """The sparse suffixes of all documents: key, doc_id, first and last place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column("text")):
-                yield _batch(batch.column("doc_id").slice(lo, hi - lo), *suffix_rows(tk.words(data, offsets)))
+                words = tk.words(data, offsets)
+                at = kept_places(words)
+                if len(at):
+                    yield _rows(batch.column("doc_id").slice(lo, hi - lo), words, at, PREFIX)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ROWS)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one sorted partition whose run holds several documents (kind 0).
+def _compared(rows: DataFrame, with_heads: bool) -> DataFrame:
+    """Sort the rows and compare neighbours: those behind the head of their run of equal keys, with the head as their source (kind 0).
 
-    Its first and last run may go on in another partition: of one document, all
-    their rows come as kind 1, of several, a row of two documents as kind 2.
+    ``with_heads`` gives the heads of runs of several rows too. A run may go on
+    in another partition, so the heads of each partition's first and last run
+    come besides, as kind 1 where the run has one row there, else as kind 2:
+    two rows for a partition at most.
     """
-    held: list[np.ndarray] | None = None
-    opening = True
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-
-    def rows(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["kind", "name", "more", "doc_id", "place", "last"])
-
-    def judged(columns: list[np.ndarray], closing: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, opening
-        name, more, doc = columns[:3]
-        bounds = np.concatenate([[0], np.flatnonzero((name[1:] != name[:-1]) | (more[1:] != more[:-1])) + 1, [len(name)]])
-        if not closing:
-            held = [c[bounds[-2] :] for c in columns]
-            if held[2][0] != held[2][-1]:
-                yield rows(0, held)
-                held = [c[[0, -1]] for c in held]
-            bounds = bounds[:-1]
-        if len(bounds) < 2:
-            return
-        low, high = bounds[:-1], bounds[1:] - 1
-        several, edge = doc[low] != doc[high], np.zeros(len(low), dtype=bool)
-        edge[0] |= opening
-        edge[-1] |= closing
-        opening = False
-        for kind, runs in ((0, several), (1, edge & ~several)):
-            yield rows(kind, [c[: bounds[-1]][np.repeat(runs, np.diff(bounds))] for c in columns])
-        yield rows(2, [c[np.concatenate([low[edge & several], high[edge & several]])] for c in columns])
-
-    for batch in batches:
-        if batch.num_rows:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: list[np.ndarray] | None = None
+        grown, opening = False, True
+
+        def out(kind: int, columns: list[np.ndarray], source: list[np.ndarray]) -> pa.RecordBatch:
+            values = [np.full(len(columns[0]), kind), *columns, *source]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _TYPES.values(), strict=True)], names=list(_TYPES))
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            yield from judged(columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)], False)
-    if held is not None:
-        yield from judged(held, True)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of one sorted partition with the head of their run; its edges (kind 1) may continue the run before or after."""
-    head: tuple[int, int, int, int, int] | None = None
-    first_run = True
-    names = ["kind", "name", "more", "doc_id", "place", "last", "source_id"]
-
-    def rows(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        name, more, doc, place, last = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        begins = np.ones(len(name), dtype=bool)
-        begins[1:] = (name[1:] != name[:-1]) | (more[1:] != more[:-1])
-        begins[0] = head is None or (name[0], more[0]) != head[:2]
-        n_before = int(begins.argmax()) if begins.any() else len(name)
-        at = np.maximum.accumulate(np.where(begins, np.arange(len(name)), -1))
-        source, source_place, source_last = (c[np.maximum(at, 0)] for c in (doc, place, last))
-        if n_before and head is not None:
-            source[:n_before], source_place[:n_before], source_last[:n_before] = head[2:]
-        second = np.flatnonzero(begins)[1 if head is None else 0 :]
-        in_first = np.zeros(len(name), dtype=bool)
-        if first_run:
-            in_first[: second[0] if len(second) else len(name)] = True
-            first_run = not len(second)
-        edge = in_first & (doc == source)
-        if edge.any():
-            yield rows(1, [c[edge] for c in (name, more, doc, place, last, doc)])
-        match = source != doc
-        if match.any():
-            yield rows(0, [c[match] for c in (name, more, doc, place, last, source)])
-        head = (int(name[-1]), int(more[-1]), int(source[-1]), int(source_place[-1]), int(source_last[-1]))
-    if head is not None:
-        yield rows(1, [np.array([v]) for v in (*head, head[2])])
-
-
-def _ordered(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("name", "more", "doc_id", "place").sortWithinPartitions("name", "more", "doc_id", "place", "last")
+            lead, name = columns[:2]
+            begins = np.ones(n, dtype=bool)
+            begins[1:] = (lead[1:] != lead[:-1]) | (name[1:] != name[:-1])
+            begins[0] = head is None or lead[0] != head[0][0] or name[0] != head[1][0]
+            at = np.flatnonzero(begins)
+            several = np.diff(np.append(at, n)) > 1
+            of = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+            source = [c[np.maximum(of, 0)] for c in columns[2:4]]
+            if head is not None:
+                for mine, theirs in zip(source, head[2:4], strict=True):
+                    mine[of < 0] = theirs[0]
+                if not begins[0] and not grown:
+                    grown = True
+                    if with_heads:
+                        yield out(0, head, head[2:4])
+                if len(at) and opening:
+                    opening = False
+                    yield out(1 + grown, head, head[2:4])
+            elif len(at) > 1:
+                opening = False
+                first = [c[:1] for c in columns]
+                yield out(1 + int(several[0]), first, first[2:4])
+            if not begins.all():
+                yield out(0, [c[~begins] for c in columns], [c[~begins] for c in source])
+            if with_heads and several.any():
+                heads = [c[at[several]] for c in columns]
+                yield out(0, heads, heads[2:4])
+            if len(at):
+                head, grown = [c[at[-1:]] for c in columns], bool(several[-1])
+        if head is not None:
+            yield out(1 + grown, head, head[2:4])
+
+    ordered = rows.repartitionByRange("lead", "name", "doc_id", "place").sortWithinPartitions("lead", "name", "doc_id", "place", "last")
+    return ordered.mapInArrow(run, f"kind int, {ROWS}, source_id bigint, source_place int")
 
 
 def shared_suffixes(docs: DataFrame, tables: SharedTables) -> DataFrame:
-    """doc_id, place, last of every suffix that another document holds too, earlier or later."""
+    """doc_id, place, last of every sparse suffix whose prefix stands at another place too, earlier or later."""
     kept = tables.write(suffixes(docs), "suffixes")
-    found = tables.write(_ordered(kept).mapInArrow(_shared, f"kind int, {ROWS}"), "shared")
+    found = tables.write(_compared(kept, with_heads=True).drop("source_id", "source_place"), "shared")
     tables.drop("suffixes")
-    several = found.where("kind > 0").groupBy("name", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "more")
-    across = found.where("kind = 1").join(several, ["name", "more"], "left_semi")
+    edges = found.where("kind > 0")
+    several = edges.groupBy("lead", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead", "name")
+    across = edges.where("kind = 1").join(F.broadcast(several), ["lead", "name"], "left_semi")
     return found.where("kind = 0").select("doc_id", "place", "last").unionByName(across.select("doc_id", "place", "last"))
 
 
 def windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """The windows of ``width`` words that hold an ``asked`` suffix (or begin one word behind it), as rows like those of ``suffixes``."""
+    """The suffixes of ``width`` words at every word from which these hold an ``asked`` sparse one, as rows like those of ``suffixes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +182,15 @@ def windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 words, spans = tk.words(data, offsets), batch.column("asked").slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
                 place, last = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                low = np.maximum(place - (width - PREFIX) - 1, 0)
-                high = np.minimum(last + 1, np.diff(words.first)[doc] - width) + 1
+                low = np.maximum(place - (width - PREFIX), 0)
+                high = np.minimum(last, np.diff(words.first)[doc] - width) + 1
                 fits = high > low
                 steps = np.zeros(int(words.first[-1]) + 1, dtype=np.int64)
                 np.add.at(steps, words.first[doc[fits]] + low[fits], 1)
                 np.add.at(steps, words.first[doc[fits]] + high[fits], -1)
                 at = np.flatnonzero(np.cumsum(steps) > 0)
                 if len(at):
-                    yield _batch(batch.column("doc_id").slice(lo, hi - lo), *_merged(words, at, _named(words, at, width), width))
+                    yield _rows(batch.column("doc_id").slice(lo, hi - lo), words, at, width)
 
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "last")).alias("asked"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id")
@@ -222,13 +198,12 @@ def windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
 
 
 def matches(rows: DataFrame, tables: SharedTables) -> DataFrame:
-    """doc_id, place, last, source_id of rows whose name an earlier document holds too; the source is the first one."""
-    found = tables.write(_ordered(rows).mapInArrow(_neighbours, f"kind int, {ROWS}, source_id bigint"), "neighbours")
-    edges = found.where("kind = 1")
-    heads = edges.groupBy("name", "more").agg(F.min("doc_id").alias("head"))
-    across = edges.select("name", "more", "doc_id", "place", "last").distinct().join(heads, ["name", "more"]).where("head < doc_id")
-    inner = found.where("kind = 0").join(F.broadcast(heads), ["name", "more"], "left").select("doc_id", "place", "last", F.coalesce("head", "source_id").alias("source_id"))
-    return inner.unionByName(across.select("doc_id", "place", "last", F.col("head").alias("source_id")))
+    """doc_id, place, last, source_id of rows whose key stands earlier too, in another document or in their own; the source is the first one."""
+    found = tables.write(_compared(rows, with_heads=False), "neighbours")
+    heads = found.where("kind > 0").groupBy("lead", "name").agg(F.min(F.struct("doc_id", "place")).alias("h"))
+    placed = found.join(F.broadcast(heads), ["lead", "name"], "left")
+    placed = placed.withColumns({"source_id": F.coalesce("h.doc_id", "source_id"), "source_place": F.coalesce("h.place", "source_place")})
+    return placed.where("doc_id <> source_id or place > source_place").select("doc_id", "place", "last", "source_id")
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -239,11 +214,12 @@ def _islands(spans: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each passage of a document that earlier documents hold: doc_id, start_word, end_word, n_words, source_id, n_sources.
+    """One row for each passage of a document that stands earlier too: doc_id, start_word, end_word, n_words, source_id, n_sources, within.
 
-    Positions count words from 0. Each window of ``min_words`` words (50 or more)
-    has as its source the smallest document that holds it; ``source_id`` is the
-    smallest of the passage, ``n_sources`` how many different ones it has.
+    Positions count words from 0. Each ``min_words`` words (50 or more) in a row
+    have as their source the first document that holds them; ``source_id`` is the
+    smallest of the passage, ``n_sources`` how many different ones it has, and
+    ``within`` says that the document itself is the only one.
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"passages under {MIN_WORDS} words aren't indexed")
@@ -252,14 +228,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tables.drop("shared")
     found = matches(near, tables).select("doc_id", F.col("place").alias("s"), (F.col("last") + min_words).alias("e"), "source_id").distinct()
     tables.drop("windows")
-    spans = _islands(found).groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "n_sources")
+    own = F.bool_and(F.col("source_id") == F.col("doc_id")).alias("within")
+    spans = _islands(found).groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"), own)
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "n_sources", "within")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the passages that earlier documents hold; a text left without a word goes, ``n_chars`` is kept true."""
-    spans = repeated_passages(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["__id"], "left").drop("__id")
+    """``docs`` without the passages that stand earlier too; a text left without a word goes, ``n_chars`` is kept true."""
+    tables = SharedTables(docs.sparkSession)
+    rows, _ = numbered(docs, tables)
+    spans = repeated_passages(rows.select(F.col("__row").alias("doc_id"), "text"), min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
+    joined = rows.join(spans.hint("shuffle_hash"), rows["__row"] == spans["__id"], "left").drop("__id", "__row")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,27 +262,57 @@ def shared_passages(spark):
     return rows
 
 
-def repeated_51(rows):
+def repeated_50(rows):
+    """Words of each document that lie in 50 words in a row that stand in an earlier document, or 50 words before in their own."""
     seen, need = {}, {}
     for i, text in sorted((i, t) for i, t in rows if i is not None):
         words = WORD.findall(text or "")
-        for k in range(len(words) - 50):
-            window = tuple(words[k : k + 51])
-            if seen.setdefault(window, i) != i:
-                need.setdefault(i, set()).update(range(k, k + 51))
+        for k in range(len(words) - 49):
+            at, place = seen.setdefault(tuple(words[k : k + 50]), (i, k))
+            if at != i or k - place >= 50:
+                need.setdefault(i, set()).update(range(k, k + 50))
     return need
 
 
+def found_words(found):
+    words = {}
+    for r in found.collect():
+        assert r["source_id"] <= r["doc_id"] and r["n_words"] == r["end_word"] - r["start_word"] >= 50
+        assert r["within"] == (r["source_id"] == r["doc_id"])
+        words.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    return words
+
+
 def test_passages_against_brute_force(spark):
     rows = shared_passages(spark)
-    need = repeated_51(rows)
-    found = {}
-    for r in suffix_dedup.repeated_passages(documents(spark, rows)).collect():
-        assert r["source_id"] < r["doc_id"] and r["n_words"] == r["end_word"] - r["start_word"] >= 50
-        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
-    assert set(found) == set(need)
-    for i, words in need.items():
-        assert words <= found[i] and len(found[i] - words) <= 2
+    assert found_words(suffix_dedup.repeated_passages(documents(spark, rows))) == repeated_50(rows)
+
+
+def test_passages_of_exactly_the_least_length(spark):
+    rows = []
+    for k in range(30):
+        passage, own = prose(80000 + k, 50), [prose(81000 + 10 * k + n, 3 + 7 * (k % 4)) for n in range(4)]
+        rows += [(2 * k, f"{own[0]} {passage} {own[1]}"), (2 * k + 1, f"{own[2]} {passage} {own[3]}")]
+    found = found_words(suffix_dedup.repeated_passages(documents(spark, rows)))
+    assert found == repeated_50(rows) and len(found) == 30
+
+
+def test_passages_within_one_document(spark):
+    passages = [prose(90000 + k, 50 + 40 * k) for k in range(5)]
+    rows = [(k, f"{prose(91000 + k, 20)} {p} {prose(92000 + k, 3 * k)} {p}\n{p}") for k, p in enumerate(passages)]
+    rows += [(10, " ".join(passages[0].split()[:30] * 5)), (11, " ".join(passages[1].split()[:49] * 2))]
+    found = suffix_dedup.repeated_passages(documents(spark, rows))
+    assert found_words(found) == repeated_50(rows)
+    assert all(r["within"] for r in found.where("doc_id < 5").collect())
+    assert all(r["text"] == dict(rows)[r["doc_id"]] for r in suffix_dedup.drop_repeats(documents(spark, [*rows[5:], rows[5]])).where("doc_id = 11").collect())
+
+
+def test_rows_of_one_id_are_cut_apart(spark):
+    """Different texts of one id have passages of their own, and repeated rows are no repeats of each other."""
+    passage, other = prose(93000, 80), prose(93001, 100)
+    rows = [(1, f"{other} {passage}"), (1, f"{other} {passage}"), (2, f"{passage} tail one"), (2, f"quite another {prose(93002, 120)}"), (None, f"{passage} no id")]
+    left = sorted((r["text"] for r in suffix_dedup.drop_repeats(documents(spark, rows)).collect()), key=len)
+    assert left == sorted([rows[0][1], rows[0][1], "tail one", rows[3][1], rows[4][1]], key=len)
 
 
 def test_nested_passages_against_brute_force(spark):
@@ -295,11 +325,7 @@ def test_nested_passages_against_brute_force(spark):
         middle, whole = f"{own[0]} {' '.join(whole[low : low + size])} {own[1]}", f"{own[2]} {' '.join(whole)} {own[3]}"
         rows += [(10 * k, middle), (10 * k + 1, whole)] if k % 2 else [(10 * k, f"{middle} {whole}")]
         rows.append((10 * k + 2, f"{own[4]} {' '.join(whole.split()[30:-30])} {own[5]}"))
-    need, found = repeated_51(rows), {}
-    for r in suffix_dedup.repeated_passages(documents(spark, rows)).collect():
-        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
-    assert set(found) == set(need)
-    assert all(words <= found[i] and len(found[i] - words) <= 2 for i, words in need.items())
+    assert found_words(suffix_dedup.repeated_passages(documents(spark, rows))) == repeated_50(rows)
 
 
 def test_passages_of_repeated_phrases(spark):
@@ -311,13 +337,10 @@ def test_passages_of_repeated_phrases(spark):
             turns = " ".join((phrase * (times * 60 // period + 1))[: times * 13 + period])
             own = [prose(30000 + 100 * k + 10 * j + n, 15) for n in range(3)]
             rows.append((3 * k + j, " ".join([own[0], turns, own[1], *[turns] * (j == 0), own[2]])))
-    need, found = repeated_51(rows), {}
+    found = {}
     for r in suffix_dedup.repeated_passages(documents(spark, rows)).collect():
-        assert r["source_id"] < r["doc_id"] and r["n_words"] >= 50
         found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
-    assert set(need) <= set(found)
-    assert all(words <= found[i] for i, words in need.items())
-    assert all(len(found[i] - need.get(i, set())) <= 2 for i in found)
+    assert found == repeated_50(rows)
 
 
 def test_repeats_are_cut_once(spark):
@@ -328,8 +351,8 @@ def test_repeats_are_cut_once(spark):
     kept = {r["doc_id"]: r for r in left.collect()}
     assert 100 not in kept and 0 in kept
     assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
-    assert all(kept[i]["text"] == t for i, t in rows if i not in repeated_51(rows))
-    assert not repeated_51([(i, r["text"]) for i, r in kept.items()])
+    assert all(kept[i]["text"] == t for i, t in rows if i not in repeated_50(rows))
+    assert not repeated_50([(i, r["text"]) for i, r in kept.items()])
 
 
 def test_short_matches_do_not_add_up(spark):

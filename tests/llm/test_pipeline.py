@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from test_llm_operators import components, repeated_51
+from test_llm_operators import components, repeated_50
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 DATA = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def test_stages_keep_what_they_must(spark):
     assert {r["doc_id"] for r in rows["near"]} == set(first.values())
     linked = components([(r["doc_id"], r["text"]) for r in rows["near"]], 5, 80)
     assert {r["doc_id"] for r in rows["passages"]} == {i for i, (_, c) in linked.items() if i == c}
-    assert not repeated_51([(r["doc_id"], r["text"]) for r in rows["packing"]])
+    assert not repeated_50([(r["doc_id"], r["text"]) for r in rows["packing"]])
     assert sorted(r["doc_id"] for r in docs.collect()) == sorted(r["doc_id"] for r in rows["packing"])
 
 
