@@ -7,23 +7,30 @@ are one contiguous read. Documents with equal shingle sets form one class and
 only its first member goes on. Bands name candidate pairs; a link needs the
 exact Jaccard similarity of the full sets.
 
-Bands hold hot groups, so a band never yields all its pairs at once. In linear
-rounds each document is compared with one pivot of its bands; what is linked is
-one component from then on, and only bands that still hold several components
-are looked at again, at last all members across components, so that every
-candidate pair is either connected or compared.
+Bands hold hot groups, so a band never yields all its pairs. In linear rounds
+each document is compared with one pivot of its bands; what is linked is one
+component from then on, and only bands that still hold several components are
+looked at again. Members that are left are compared by sketches within parts of
+at most ``BLOCK``: a larger band is split by further coordinates of the
+signature, again in bands of their own, and its pairs meet only where these
+agree too. Only what no coordinates split any more is dealt in blocks. Members
+of a band are spread over ``SALTS`` tasks, and a pivot's set is copied for every
+``PARTNERS`` members of its bands.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with
 nothing; a text with fewer words than a shingle has its whole sequence as one
-shingle; a null doc_id is returned unlinked with a null component; repeated
-rows fall into one class; an empty table gives an empty result; only the id
-and ``text`` are read.
+shingle; a text of any length is taken whole, as one set in one row; a null
+doc_id is returned unlinked with a null component; in ``near_duplicates`` rows
+that share a doc_id share its verdict, while ``keep_one`` tells different texts
+of one id apart; repeated rows fall into one class; a tie for a pivot or for
+the row that stays goes to the smallest doc_id; an empty table gives an empty
+result; only the id and ``text`` are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casenet.llm import textkernel as tk
+from casenet.llm.rows import numbered
 from casenet.plans.components import connected_components
 from casenet.plans.shared import SharedTables
 
 UNIVERSE_BITS = 22
 LINEAR_ROUNDS = 2
 SKETCH, BLOCK = 512, 512
+LEVELS, SPLITS, BYTES = 4, 16, 3  # of a band with more than BLOCK members, by SPLITS groups of BYTES coordinates at each level
+SALTS, PARTNERS = 16, 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,26 +138,44 @@ def _sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, items binary, sketch binary")
 
 
-def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs (a < b) of members of one band, of different components, whose sizes and sketches allow the similarity.
+def _spread(members: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``members`` joined to ``table``, which has one row for each ``key``; a hot key's members are dealt over ``SALTS`` tasks."""
+    salted = table.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
-    A band of many members is dealt over blocks by a hash of the id, and each
-    two of its blocks meet as one bounded group. A pair counts in the first of
-    the bands that it shares, so it comes once.
+
+def _split(parts: DataFrame, sketches: DataFrame, level: int, bands: int) -> DataFrame:
+    """The members of each part in parts of their own, for each of ``SPLITS`` groups of coordinates that they agree in.
+
+    A pair at 0.80 agrees in none of 16 groups of 3 with probability 1.0e-5, at 0.85 with 2.7e-7.
+    """
+    first = 8 * bands + BYTES * SPLITS * level + 1
+    pieces = F.array(*(F.substring("sketch", first + BYTES * j, BYTES) for j in range(SPLITS)))
+    rows = parts.join(sketches, "doc_id").select("key", "path", "part", "doc_id", "n", "component", F.posexplode(pieces).alias("j", "piece"))
+    return rows.select("key", F.array_append("path", F.col("j")).alias("path"), F.xxhash64("part", "j", "piece").alias("part"), "doc_id", "n", "component")
+
+
+def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs (a < b) of members of one part, of different components, whose sizes and sketches allow the similarity.
+
+    A part of more than ``BLOCK`` members is dealt over blocks by a hash of the
+    id, and each two of its blocks meet as one bounded group. A pair counts in
+    the first of the bands (and groups of coordinates) that it shares, so it
+    comes once.
     """
     least = int(SKETCH * percent / 100 - 4.5 * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5)
-    sizes = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = still.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = parts.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.join(sketches, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "sketch")
-    met = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "own")
+    met = rows.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "key", F.col("path").cast("array<bigint>").alias("path"), "sketch")
+    met = met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high", "own")
 
-    def compare(key, high, own, doc, n, component, sketch) -> list[np.ndarray]:
+    def compare(high, own, doc, n, component, key, path, sketch) -> list[np.ndarray]:
         names, sketch = sketch[:, : 8 * bands].copy().view(np.int64), sketch[:, 8 * bands :]
         cut = int(np.searchsorted(own, high[0])) if own[0] < own[-1] else 0
         left, right = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
         if not cut and own[0] < high[0]:
             return []
+        pieces = [sketch[:, BYTES * SPLITS * k : BYTES * SPLITS * (k + 1)].reshape(len(doc), SPLITS, BYTES) for k in range(len(path[0]))]
         found = []
         for lo in range(0, len(doc[left]), 64):
             part = slice(lo, lo + 64)
@@ -161,6 +189,8 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int
                 x, y = x[close], y[close]
                 shared = (name[x] == names[right][y]).argmax(axis=1)
                 here = name[x, shared] == key[0]
+                for piece, wanted in zip(pieces, path[0], strict=True):
+                    here &= (piece[left][part][x] == piece[right][y]).all(axis=2).argmax(axis=1) == wanted
                 x, y = d[x[here]], doc[right][y[here]]
                 found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
         return found
@@ -170,11 +200,11 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int
 
         def groups(columns: list[np.ndarray], last: bool) -> list[np.ndarray]:
             nonlocal held
-            key, low, high = columns[:3]
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            bounds = [0, *edge.tolist(), len(key)]
+            part, low, high = columns[:3]
+            edge = np.flatnonzero((part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            bounds = [0, *edge.tolist(), len(part)]
             done = len(bounds) - 1 if last else len(bounds) - 2
-            found = [p for g in range(done) for p in compare(*(columns[k][bounds[g] : bounds[g + 1]] for k in (0, 2, 3, 4, 5, 6, 7)))]
+            found = [p for g in range(done) for p in compare(*(c[bounds[g] : bounds[g + 1]] for c in columns[2:]))]
             held = None if last else [c[bounds[done] :] for c in columns]
             return found
 
@@ -185,7 +215,7 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int
 
         for batch in batches:
             if batch.num_rows:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH + 8 * bands)]
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:9]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH + 8 * bands)]
                 columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
                 yield from pairs(groups(columns, False))
         if held is not None:
@@ -194,8 +224,23 @@ def _block_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with whether 100 * intersection >= percent * union on the full sets."""
+def _close_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int, tables: SharedTables) -> DataFrame:
+    """Pairs of members of open bands whose sketches allow the similarity; large bands are split by further coordinates first."""
+    parts, found = still.select("key", F.array().cast("array<int>").alias("path"), F.col("key").alias("part"), "doc_id", "n", "component"), []
+    for level in range(LEVELS + 1):
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part", "rows")
+        sized = tables.write(_spread(parts, sizes, "part"), f"parts-{level}")
+        wide = sized.where(F.col("rows") > BLOCK)
+        last = level == LEVELS or wide.isEmpty()
+        found.append(_block_pairs(sized if last else sized.where(F.col("rows") <= BLOCK), sketches, percent, bands))
+        if last:
+            break
+        parts = _split(wide, sketches, level, bands)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _confirmed(pairs: DataFrame, copies: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, copy) with whether 100 * intersection >= percent * union on the full sets; ``copies`` of the set of ``b`` are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +251,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    if copies is None:
+        right = right.withColumn("copy", F.lit(0))
+    else:
+        right = right.join(copies, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(right, ["b", "copy"])
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
@@ -217,12 +267,22 @@ def _open_bands(members: DataFrame, edges: DataFrame | None) -> DataFrame:
     else:
         placed = members.join(connected_components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return placed.join(several, "key", "left_semi")
+    return _spread(placed, several, "key")
 
 
-def _fits(percent: int) -> str:
-    """Sizes that allow the similarity at all."""
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+def _pivot_pairs(still: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each document (a) with the pivot (b) that most of its bands name and that it was not compared with, and how many copies a pivot needs."""
+    choice = F.struct(F.lit(0) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
+    pivots = still.groupBy("key").agg(F.min(choice).alias("p"), F.count(F.lit(1)).alias("members"))
+    pivots = pivots.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("n_b"), F.col("p.component").alias("c"), F.ceil(F.col("members") / PARTNERS).cast("int").alias("copies"))
+    near = _spread(still.withColumnRenamed("n", "n_a"), pivots, "key").where("component <> c").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    found = near.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("bands"), F.max("copies").alias("copies"))
+    if tested is not None:
+        known = tested.select(F.col("a").alias("low"), F.col("b").alias("high"))
+        found = found.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(known.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), ["low", "high"], "left_anti")
+    best = found.groupBy("a").agg(F.max(F.struct("bands", (-F.col("b")).alias("b"), "copies")).alias("best"))
+    pairs = best.select("a", (-F.col("best.b")).alias("b"), F.pmod(F.xxhash64("a"), F.col("best.copies")).cast("int").alias("copy"))
+    return pairs, pivots.groupBy("b").agg(F.max("copies").alias("copies"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 28, rows: int = 5) -> DataFrame:
@@ -239,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     firsts = whole.join(classes.select(F.col("first_id").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
     banded = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    members = tables.write(banded.join(shared, "key", "left_semi").distinct(), "members")
+    members = tables.write(_spread(banded, shared, "key").distinct(), "members")
     wanted = members.select("doc_id").distinct()
     sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words, bands, rows).dropDuplicates(["doc_id"]), "sets")
 
@@ -249,20 +309,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     while True:
         still = tables.write(_open_bands(members, edges), "open")
         if turn < LINEAR_ROUNDS:
-            choice = F.struct(F.lit(0) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
-            pivots = still.groupBy("key").agg(F.min(choice).alias("p")).select("key", F.col("p.doc_id").alias("p"), F.col("p.n").alias("n_b"), F.col("p.component").alias("c"))
-            near = still.withColumnRenamed("n", "n_a").join(pivots, "key").where("component <> c").where(_fits(percent))
-            found = near.groupBy("doc_id", "p").agg(F.count(F.lit(1)).alias("bands"))
-            if tested is not None:
-                known = tested.select("a", "b")
-                found = found.withColumns({"a": F.least("doc_id", "p"), "b": F.greatest("doc_id", "p")}).join(known, ["a", "b"], "left_anti")
-            best = found.groupBy("doc_id").agg(F.max(F.struct("bands", -F.col("p"))).alias("best")).select("doc_id", (-F.col("best.col2")).alias("p"))
-            pairs = best.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
+            pairs, copies = _pivot_pairs(still, tested, turn, percent)
         else:
-            pairs = _block_pairs(still, sets.select("doc_id", "sketch"), percent, bands)
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        checked = tables.write(_confirmed(pairs, sets, percent), "tested")
+            pairs, copies = _close_pairs(still, sets.select("doc_id", "sketch"), percent, bands, tables).withColumn("copy", F.lit(0)), None
+            known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        checked = tables.write(_confirmed(pairs, copies, sets, percent), "tested")
         tested = checked if tested is None else tested.unionByName(checked)
         edges = tested.where("linked").select("a", "b")
         if turn == LINEAR_ROUNDS or still.isEmpty():
@@ -279,23 +331,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those that a near-duplicate of smaller id stands for; their own columns only.
 
-    Where different texts share an id, each of them is a document of its own:
-    the first keeps the id and the others are numbered above all ids.
+    Where different texts share an id, each of them is a document of its own.
     """
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash")).where("doc_id is not null")
-    ids = named.groupBy("doc_id").agg(F.min("hash").alias("first"), F.max("hash").alias("last"))
     tables = SharedTables(docs.sparkSession)
-    mixed = tables.write(ids.where("first < last").select("doc_id", "first"), "mixed")
-    if mixed.isEmpty():
-        gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    above = named.agg(F.max("doc_id")).first()[0] + 1
-    others = named.join(mixed, "doc_id").where("hash <> first").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    others = tables.write(others.withColumn("__number", F.monotonically_increasing_id() + above), "numbered")
-    rows = docs.withColumn("__text", F.xxhash64("text")).join(others, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
-    rows = rows.withColumn("__row", F.coalesce("__number", F.col("doc_id").cast("bigint")))
-    judged = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options).where("component_id is not null").select("doc_id", "component_id").distinct()
-    judged = tables.write(judged.join(others.select(F.col("__number").alias("doc_id"), "__id"), "doc_id", "left").withColumn("own", F.coalesce("__id", "doc_id")), "judged")
-    firsts = judged.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("best"))
-    gone = judged.join(firsts, "component_id").where("doc_id <> best.doc_id").select(F.col("doc_id").alias("__gone"))
+    rows, others = numbered(docs, tables)
+    judged = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
+    if others is None:
+        gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    else:
+        judged = judged.where("component_id is not null").select("doc_id", "component_id").distinct()
+        judged = tables.write(judged.join(others, F.col("doc_id") == F.col("__number"), "left").select("doc_id", "component_id", F.coalesce("__id", "doc_id").alias("own")), "judged")
+        firsts = judged.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("best"))
+        gone = judged.join(firsts, "component_id").where("doc_id <> best.doc_id").select(F.col("doc_id").alias("__gone"))
     return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
