@@ -8,15 +8,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local runs and tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset and all runs on one machine."""
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(known)
         known = context.getCheckpointDir()
@@ -27,24 +33,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _located(spark, path)
+    return system.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _located(spark, path)
+    system.delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete all shared tables written inside, when their last reader is done: write what is to stay elsewhere first."""
+    written: list[str] = []
+    _open_scopes.append(written)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(written)
+        for path in written:
+            delete(spark, path)
+
+
 class SharedTables:
-    """Intermediate tables of one run; ``drop`` deletes those that nothing reads any more."""
+    """Intermediate tables of one run; ``drop`` deletes those that nothing reads any more, ``scratch`` the rest."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
+        for written in _open_scopes:
+            written.append(path)
         df.write.parquet(path)
         self.paths[name] = self.paths.get(name, ()) + (path,)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str, all_but_last: bool = False) -> None:
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             paths = self.paths.get(name, ())
             gone, left = (paths[:-1], paths[-1:]) if all_but_last else (paths, ())
             for path in gone:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(hadoop).delete(where, True)
+                delete(self.spark, path)
             self.paths[name] = left
