@@ -1,8 +1,13 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-A long text is cut before a space that stands between two characters that are
-not white space: the pre-token pattern always ends a match there, so the parts
-encode to the same ids as the whole, and no call sees an unbounded text.
+A long text is cut where the pre-token pattern ends a match whatever stands
+around: before white space behind any other character, and between characters
+of different kinds (letters, digits, others) save behind an apostrophe, which
+may begin a contraction. The parts encode to the same ids as the whole. A run
+of more than ``PART`` white-space characters never meets the pattern, whose
+look-ahead would go through all of it: all but its last character are one match
+(all of them at the end of the text), so they are merged as one piece. Only a
+run of one kind without any such place, which is one match, is a longer part.
 
 Edge cases: a null text is empty and has no ids; strings that look like special
 tokens are ordinary text; repeated rows are encoded each for itself; an empty
@@ -24,7 +29,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 PART = 1 << 16
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+# White space as the pattern sees it, and characters whose kind is the same in every version of Unicode.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_OTHER = r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1f"
+_SAFE = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[{_LETTER}])(?=[0-9'{_OTHER}])|(?<=[0-9])(?=[{_LETTER}'{_OTHER}])|(?<=[{_OTHER}])(?=[{_LETTER}0-9])")
+_ONE_PIECE = r"(?s:.+)"
 
 
 @lru_cache(maxsize=4)
@@ -38,7 +48,7 @@ def safe_parts(text: str, size: int = PART) -> Iterator[str]:
     """Parts of about ``size`` characters whose joints no pre-token crosses; one part if there is no such place."""
     at = 0
     while len(text) - at > size:
-        found = _SAFE.search(text, at + size - 1)
+        found = _SAFE.search(text, at + size)
         if not found:
             break
         yield text[at : found.start()]
@@ -46,10 +56,22 @@ def safe_parts(text: str, size: int = PART) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PART:
+def pieces(text: str, size: int = PART) -> Iterator[tuple[bool, str]]:
+    """Parts of a long text, and whether one is a whole pre-token of white space."""
+    at = 0
+    for run in re.finditer(rf"[{_SPACE}]{{{size + 1},}}", text):
+        yield from ((False, part) for part in safe_parts(text[at : run.start()], size))
+        at = run.end() - (run.end() < len(text))
+        yield True, text[run.start() : at]
+    yield from ((False, part) for part in safe_parts(text[at:], size))
+
+
+def encode_text(path: str, pattern: str, text: str, size: int = PART) -> list[int]:
+    enc = encoding(path, pattern)
+    if len(text) <= size:
         return enc.encode_ordinary(text)
-    return [token for part in safe_parts(text) for token in enc.encode_ordinary(part)]
+    whole = encoding(path, _ONE_PIECE)
+    return [token for one, part in pieces(text, size) for token in (whole if one else enc).encode_ordinary(part)]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
@@ -57,16 +79,27 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", out:
     docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encode_text(enc, text or "") for text in part.column(column).to_pylist()]
+                ids = [encode_text(path, pattern, text or "") for text in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` array<int>"]))
 
 
+def count_tokens(docs: DataFrame, path: str, pattern: str, column: str = "text", out: str = "n_tokens") -> DataFrame:
+    """Add ``out``, the number of token ids, to each row; the column itself goes."""
+    docs = docs.select(*(c for c in docs.columns if c not in (column, out)), column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(encode_text(path, pattern, text.as_py() or "")) for text in batch.column(column)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], out])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:-1]), f"`{out}` bigint"]))
+
+
 def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the raw bytes of the ids (no UTF-8 repair), to each row; null ids give empty bytes."""
     rows = rows.drop(out)
@@ -92,7 +125,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 n, ids_hash, text_hash = [], [], []
                 for text in part.column("text").to_pylist():
-                    ids = encode_text(enc, text or "")
+                    ids = encode_text(path, pattern, text or "")
                     n.append(len(ids))
                     ids_hash.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                     text_hash.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
