@@ -6,8 +6,9 @@ batches of at most ``token_budget`` padded tokens inside its bucket.
 
 Edge cases: a null or empty text has length 0 and is a row of padding only; a
 text longer than the budget is a batch of its own, never cut; ties in length
-are ordered by id; repeated rows are packed each for itself; an empty table
-gives an empty result; only the id and ``text`` (or the given length) are read.
+are ordered by id, and rows equal in both by a number stored with them; repeated
+rows are packed each for itself; an empty table gives an empty result; only the
+id and ``text`` (or the given length) are read.
 """
 
 from __future__ import annotations
@@ -20,19 +21,10 @@ from pyspark.sql.window import Window
 
 from casenet.plans.shared import SharedTables
 
-FINE = 4096
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def cell(length: Column) -> Column:
-    """Histogram cell, named by its upper end: exact up to ``FINE``, then in steps of 1/256 of the power of two below."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 8)
-    return F.when(length <= FINE, length).otherwise(F.ceil(length / step) * step).cast("bigint")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, n_buckets: int) -> tuple[np.ndarray, int]:
     """Upper ends of at most ``n_buckets`` buckets over ascending ``lengths``, and the padding they leave.
 
@@ -78,27 +70,27 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, n_bu
 def pack(docs: DataFrame, length: Column | None = None, n_buckets: int = 16, token_budget: int = 16384, group_rows: int = 20000) -> DataFrame:
     """One row for each document: doc_id, n_tokens, bucket, bucket_tokens, batch_id, row_in_batch, padding.
 
-    The driver gets one histogram row for each distinct cell: ``FINE`` plus 256
-    for each doubling of the longest text, whatever the number of rows. Large
-    buckets are dealt by a hash of the id over groups of about ``group_rows``
-    rows, each of which forms its own batches, so no bucket meets in one task.
+    ``length`` is in tokens; without one, words are counted. The driver gets one
+    histogram row for each different length, of which there are no more than the
+    longest text has tokens. Large buckets are dealt by a hash of the stored row
+    number over groups of about ``group_rows`` rows, each of which forms its own
+    batches, so no bucket and no repeated id meets in one task.
     """
     tables = SharedTables(docs.sparkSession)
     measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (word_count(F.col("text")) if length is None else length.cast("bigint")).alias("n_tokens"))
-    measured = tables.write(measured.withColumn("cell", cell(F.col("n_tokens"))), "lengths")
-    histogram = measured.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")).orderBy("cell").collect()
-    longest = np.maximum.accumulate(np.array([r["longest"] for r in histogram], dtype=np.int64))
-    rows = np.array([r["rows"] for r in histogram], dtype=np.int64)
-    ends, _ = boundaries(longest, rows, np.array([r["tokens"] for r in histogram], dtype=np.int64), n_buckets)
-    bucket_of = np.searchsorted(ends, longest)
+    measured = tables.write(measured.withColumn("row", F.monotonically_increasing_id()), "lengths")
+    histogram = measured.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).orderBy("n_tokens").collect()
+    lengths, rows = np.array([(r["n_tokens"], r["rows"]) for r in histogram], dtype=np.int64).reshape(-1, 2).T
+    ends, _ = boundaries(lengths, rows, lengths * rows, n_buckets)
+    bucket_of = np.searchsorted(ends, lengths)
     held = np.bincount(bucket_of, weights=rows, minlength=len(ends)) if len(ends) else []
     plan = [(b, int(e), max(1, token_budget // max(int(e), 1)), max(1, -(-int(held[b]) // group_rows))) for b, e in enumerate(ends)]
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("bucket_tokens", T.LongType()), T.StructField("batch_rows", T.LongType()), T.StructField("groups", T.LongType())])
     buckets = docs.sparkSession.createDataFrame(plan, schema)
     which = F.array_size(F.filter(F.lit([int(e) for e in ends]) if len(ends) else F.array().cast("array<bigint>"), lambda e: e < F.col("n_tokens")))
     placed = measured.withColumn("bucket", which.cast("int")).join(F.broadcast(buckets), "bucket")
-    placed = placed.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.col("groups")))
-    order = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("n_tokens", "doc_id")) - 1
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")))
+    order = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("n_tokens", "doc_id", "row")) - 1
     placed = placed.withColumn("order", order)
     return placed.select(
         "doc_id", "n_tokens", "bucket", "bucket_tokens", F.concat_ws("-", "bucket", "group", F.floor(F.col("order") / F.col("batch_rows")).cast("bigint")).alias("batch_id"),

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casenet.llm import byte_bpe, chat_format, exact_dedup, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from casenet.plans.shared import SharedTables
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +24,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(byte_bpe.count_tokens(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN), length=F.col("n_tokens"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +44,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table comes as two batches, by doc_id, through one index; what the index then holds judges every row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = (ends[0] or 0) + ((ends[1] or 0) - (ends[0] or 0)) // 2
     index = exact_dedup.DigestIndex(spark)
-    judged = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
-    index.close()
-    return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    exact_dedup.deduplicate(docs.where(F.col("doc_id") <= middle), index, "first")
+    exact_dedup.deduplicate(docs.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()), index, "second")
+    judged = SharedTables(spark).write(exact_dedup.look_up(docs, index), "judged")
+    index.delete()
+    return judged
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
