@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casenet.llm import textkernel as tk
+from casenet.plans.shared import SharedTables
 
 _UPPER = tk.flags(bytes(range(ord("A"), ord("Z") + 1)))
 _LETTER = tk.flags(bytes([*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)])) | (np.arange(256) >= 0xC0)
@@ -195,18 +196,18 @@ def good_share(good: np.ndarray, chars: np.ndarray, first: np.ndarray) -> np.nda
     return np.add.reduceat(good * size, first[:-1]) / np.add.reduceat(size, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-_SAMPLE = "quality int, n_lines int, chars binary, x binary"
+_SAMPLE = "rank bigint, quality int, n_lines int, chars binary, x binary"
 
 
-def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_rows(batches: Iterator[pa.RecordBatch], max_lines: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in tk.chunks(batch.column("text")):
             table = line_table(data, offsets)
-            cut = [slice(table.first[d], table.first[d + 1]) for d in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("quality").slice(lo, hi - lo).cast(pa.int32()), pa.array(np.diff(table.first), pa.int32()), pa.array([table.chars[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([table.x[c].tobytes() for c in cut], pa.binary())],
-                names=["quality", "n_lines", "chars", "x"],
-            )
+            n = np.diff(table.first)
+            cut = [slice(table.first[d], table.first[d + 1]) for d in np.flatnonzero(n <= max_lines)]
+            short = pa.array(n <= max_lines)
+            mine = [batch.column(c).slice(lo, hi - lo).filter(short) for c in ("rank", "quality")]
+            yield pa.RecordBatch.from_arrays([*mine, pa.array(n[n <= max_lines], pa.int32()), pa.array([table.chars[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([table.x[c].tobytes() for c in cut], pa.binary())], names=["rank", "quality", "n_lines", "chars", "x"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -214,21 +215,30 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_line_model(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 400) -> LineModel:
+def one_text(docs: DataFrame, known: DataFrame, *labels: str) -> DataFrame:
+    """rank, text and labels of the sampled ids ``known`` (of a stated number); of several texts of one id the one of least hash."""
+    mine = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    picked = mine.groupBy("doc_id", *labels).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    return picked.select(F.xxhash64("doc_id").alias("rank"), F.col("t.text").alias("text"), *labels)
+
+
+def fit_line_model(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 400, max_total_lines: int = 400_000) -> LineModel:
     """Fit on at most ``max_docs`` labelled documents of at most ``max_lines`` lines each, chosen by a hash of the id.
 
-    The sample's line features (not its texts) come to the driver: under
-    ``max_docs * max_lines`` rows of ``WIDTH`` floats at most, whatever the corpus holds.
+    The sample's line features (not its texts) come to the driver, of at most
+    ``max_total_lines`` lines in all: ``WIDTH`` floats each, whatever the corpus holds.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality")
-    texts = texts.where(F.length(F.coalesce("text", F.lit(""))) - F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "")) < max_lines)
-    got = texts.mapInArrow(_sample_rows, _SAMPLE).limit(2 * max_docs).toArrow()
-    if not got.num_rows:
+    tables = SharedTables(docs.sparkSession)
+    sample = tables.write(one_text(docs, some, "quality").mapInArrow(lambda batches: _sample_rows(batches, max_lines), _SAMPLE), "line-sample")
+    sizes = sorted((r["rank"], r["n_lines"]) for r in sample.select("rank", "n_lines").collect())
+    fits = np.cumsum([n for _, n in sizes]) <= max_total_lines
+    got = sample.where(F.col("rank") <= sizes[int(fits.sum()) - 1][0]).toArrow() if fits.any() else None
+    tables.drop("line-sample")
+    if got is None:
         return fit_lines(np.zeros((0, WIDTH)), np.zeros(0), np.zeros(1, dtype=np.int64), np.zeros(0))
-    rows = sorted(zip(got["x"].to_pylist(), got["chars"].to_pylist(), got["n_lines"].to_pylist(), got["quality"].to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(r[0] for r in rows), dtype=np.float32).reshape(-1, WIDTH)
-    chars = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.int32)
-    return fit_lines(x, chars, np.concatenate([[0], np.cumsum([r[2] for r in rows])]), np.array([r[3] for r in rows]))
+    got = got.sort_by("rank").combine_chunks()
+    joined = lambda name, kind: np.frombuffer(b"".join(v.as_buffer() for v in got[name]), dtype=kind)
+    return fit_lines(joined("x", np.float32).reshape(-1, WIDTH), joined("chars", np.int32), np.concatenate([[0], np.cumsum(got["n_lines"].to_numpy())]), got["quality"].to_numpy())
