@@ -3,21 +3,26 @@
 Categories are predicted in a fixed order; the model of each category sees the
 word features and the probabilities of the categories before it. In training
 those probabilities are out-of-fold: every row's comes from a model that did
-not see the row, as a later model would otherwise learn to trust fitted labels.
+not see the row or one with the same features, as a later model would otherwise
+learn to trust fitted labels. The verdict is that of the last category, so it
+comes through the whole chain, and its threshold is chosen on out-of-fold
+probabilities too.
 
-The label table has one toxic column, so the further categories are defined on
-it: ``severe`` is a toxic text in which at least ``SEVERE`` in a thousand words
-are toxic terms, ``spread`` one that holds three different ones or more. Toxic
-terms are the features that the first pass over the labelled sample selects.
+The label table has one toxic column, so the categories before it are defined
+on it: ``severe`` is a toxic text in which at least ``SEVERE`` in a thousand
+words are toxic terms, ``spread`` one that holds three different ones or more.
+Toxic terms are the features that the first pass over the labelled sample
+selects.
 
 Features are lower-cased words and their beginnings, hashed; they are counted
-over a bounded sample of labelled rows, the most telling ones are selected, and
-the chain is fitted on them.
-
-Edge cases: null and empty texts have no features and get the base rate;
-repeated rows are scored alike; labels that are null, not 0/1 or in conflict
-for one id are ignored; with no label of one kind nothing is called toxic; an
-empty table gives an empty result; only the id and ``text`` are read.
+over a bounded sample of labelled rows, the most telling ones are selected (in a
+tie the lower bucket), and the chain is fitted on them.
+
+Edge cases: null and empty texts have no features and get the base rate; a text
+of any length is read whole; repeated rows are scored alike; labels that are
+null, not 0/1 or in conflict for one id are ignored; with no label of one kind
+nothing is called toxic; an empty table gives an empty result; only the id and
+``text`` are read.
 """
 
 from __future__ import annotations
@@ -32,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casenet.llm import textkernel as tk
-from casenet.llm.linemodel import held_out
+from casenet.llm.linemodel import held_out, one_text
 from casenet.plans.shared import SharedTables
 
 BITS, PREFIXES = 20, (4, 5, 6, 8)
-SEVERE, CATEGORIES = 5, ("toxic", "severe", "spread")
+SEVERE, CATEGORIES = 5, ("severe", "spread", "toxic")
 _EDGE = tk.flags(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -136,22 +141,42 @@ def predict(weights: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.column_stack(out)
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 5) -> list[np.ndarray]:
-    """One model for each column of ``labels``; earlier columns enter as out-of-fold probabilities (fold: row mod ``folds``)."""
-    x, fold, extra, weights = x.astype(np.float64), np.arange(len(x)) % folds, [], []
+def folds_of(pairs: np.ndarray, n: int, folds: int) -> np.ndarray:
+    """Fold of each row by a hash of its features, so that rows with the same ones share a fold."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(n, dtype=tk.U64)
+        np.add.at(total, pairs[:, 0], tk.mix(pairs[:, 1].astype(tk.U64) + tk.U64(1)))
+        return (tk.mix(total) % tk.U64(folds)).astype(np.int64)
+
+
+def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """One model for each column of ``labels``, fed with the out-of-fold probabilities of those before; and all these probabilities."""
+    x, extra, weights = x.astype(np.float64), [], []
     for k in range(labels.shape[1]):
         design = np.hstack([*(q[:, None] for q in extra), x])
         weights.append(fit_logistic(design, labels[:, k]))
-        if k + 1 < labels.shape[1]:
-            out = np.zeros(len(x))
-            for f in range(folds):
-                test = fold == f
-                out[test] = 1 / (1 + np.exp(-np.clip(design[test] @ fit_logistic(design[~test], labels[~test, k]), -30, 30)))
-            extra.append(out)
-    return weights
+        out = np.zeros(len(x))
+        for f in np.unique(fold):
+            test = fold == f
+            out[test] = 1 / (1 + np.exp(-np.clip(design[test] @ fit_logistic(design[~test], labels[~test, k]), -30, 30)))
+        extra.append(out)
+    return weights, np.column_stack(extra)
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the widest stretch of thresholds that tell the labels apart best (true less false positive rate); infinite without both labels."""
+    if not len(y) or y.min() == y.max():
+        return float("inf")
+    level = np.unique(p)
+    below = lambda label: np.searchsorted(np.sort(p[y == label]), level, side="left") / (y == label).sum()
+    gain = np.round(below(0) - below(1), 9)
+    floor = np.concatenate([[0.0], level[:-1]])
+    best = np.flatnonzero(gain == gain.max())
+    widest = best[np.argmax(level[best] - floor[best])]
+    return float((level[widest] + floor[widest]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int = 8000, threshold: float = 0.3) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int = 8000, threshold: float | None = None, folds: int = 5) -> ToxicityModel:
     """Select features and fit the chain on at most ``max_docs`` labelled documents, chosen by a hash of the id.
 
     Half of them are toxic where there are enough. Only their ids and labels are
@@ -161,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     take = lambda label, n: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = SharedTables(docs.sparkSession).write(take(1, max_docs // 2).union(take(0, max_docs // 2)), "labelled")
+    tables = SharedTables(docs.sparkSession)
+    some = tables.write(take(1, max_docs // 2).union(take(0, max_docs // 2)), "labelled")
     totals = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    texts = tables.write(one_text(docs, some, "toxic"), "texts").select("text", "toxic")
     counts = texts.mapInArrow(_counts, "bucket bigint, n_clean bigint, n_toxic bigint").groupBy("bucket").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
     lift = F.log((F.col("n_toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n_clean") + 0.5) / (n_clean + 1.0))
     best = counts.withColumn("lift", lift).withColumn("gain", F.col("n_toxic") * F.col("lift")).where("n_toxic >= 3 and lift > 1").orderBy(F.desc("gain"), "bucket").limit(n_features).collect()
@@ -181,15 +207,17 @@ def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs[:, 1], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), lists, pa.array(rate), pa.array(kinds, pa.int64())], names=["toxic", "columns", "rate", "kinds"])
 
-    got = texts.mapInArrow(rows, "toxic int, columns array<int>, rate double, kinds bigint").limit(2 * max_docs).toArrow().to_pylist()
+    got = texts.mapInArrow(rows, "toxic int, columns array<int>, rate double, kinds bigint").toArrow().to_pylist()
+    tables.drop("labelled", "texts")
     got.sort(key=lambda r: (r["toxic"], r["columns"], r["rate"], r["kinds"]))
     pairs = np.array([(i, c) for i, r in enumerate(got) for c in r["columns"]], dtype=np.int64).reshape(-1, 2)
-    y = np.array([(r["toxic"], r["toxic"] and r["rate"] >= SEVERE, r["toxic"] and r["kinds"] >= 3) for r in got], dtype=float).reshape(-1, 3)
-    return ToxicityModel(column, term, fit_chain(_design(pairs, len(got), width), y), threshold)
+    y = np.array([(r["toxic"] and r["rate"] >= SEVERE, r["toxic"] and r["kinds"] >= 3, r["toxic"]) for r in got], dtype=float).reshape(-1, 3)
+    weights, unseen = fit_chain(_design(pairs, len(got), width), y, folds_of(pairs, len(got), folds))
+    return ToxicityModel(column, term, weights, best_threshold(unseen[:, -1], y[:, -1]) if threshold is None else threshold)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """One row for each document: doc_id, held_out, p_toxic, p_severe, p_spread, toxic."""
+    """One row for each document: doc_id, held_out, p_severe, p_spread, p_toxic, toxic."""
     width = len(model.term)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +225,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for lo, hi, data, offsets in tk.chunks(pc.utf8_lower(pc.fill_null(batch.column("text"), ""))):
                 pairs, _, _ = term_table(data, offsets, model.column, model.term)
                 p = predict(model.weights, _design(pairs, hi - lo, width))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), pa.array(p[:, 0] >= model.threshold)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), pa.array(p[:, -1] >= model.threshold)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
-    scored = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, p_toxic double, p_severe double, p_spread double, toxic boolean")
-    return scored.select("doc_id", held_out().alias("held_out"), "p_toxic", "p_severe", "p_spread", "toxic")
+    scored = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, p_severe double, p_spread double, p_toxic double, toxic boolean")
+    return scored.select("doc_id", held_out().alias("held_out"), "p_severe", "p_spread", "p_toxic", "toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
