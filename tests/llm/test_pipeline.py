@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from test_llm_operators import components, repeated_50
+from test_llm_operators import LABELS, components, documents, messy_rows, prose, repeated_50
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +39,24 @@ def test_run_gives_the_last_stage(spark):
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.columns == ["doc_id", "n_tokens", "bucket", "bucket_tokens", "batch_id", "row_in_batch", "padding"]
     assert packed.count() == packed.select("doc_id").distinct().count() > 0
+
+
+def test_stages_on_messy_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ids, clashing columns, and no rows at all."""
+    rows = [(i, t) for i, t in messy_rows() if i not in (6, 7)]
+    rows += [(20, "ok ok"), (20, prose(5, 90)), (20, prose(5, 90)), (None, None), (None, prose(6, 90)), (None, prose(7, 90)), (21, prose(6, 90))]
+    for docs in (documents(spark, rows), documents(spark, rows).limit(0)):
+        folder = str(tmp_path / f"n{docs.count()}")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 1), (8, None, 0)], LABELS).write.parquet(f"{folder}/labels.parquet")
+        now, held = docs, [rows if docs.count() else []]
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, folder)
+            if name != "packing":
+                assert now.schema == docs.schema
+            now = spark.createDataFrame(now.collect(), now.schema)
+            held.append([(r["doc_id"], r["text"]) for r in now.collect()] if name != "packing" else now.collect())
+        assert len(set(held[2])) == len(held[2]) and {SPACE.sub(" ", t or "") for _, t in held[1]} == {SPACE.sub(" ", t or "") for _, t in held[2]}
+        assert {t for i, t in held[2] if i is None} <= {t for i, t in held[3] if i is None}
+        assert len(held[5]) == len(held[4])
+        assert corpus_pipeline.run(spark, folder).count() == len(held[5])
