@@ -3,15 +3,27 @@
 Each stage works on all that the one before kept: quality classifier, exact
 dedup, MinHash near-dedup, suffix-array dedup, packing. All but the last return
 the columns of ``documents``; ``run`` writes each stage as Parquet in the shared
-folder and reads it again, so a lost executor never costs an earlier stage.
+folder and reads it again, so a lost executor never costs an earlier stage. What
+a stage wrote for itself is deleted when its result is written, and the result
+when the next one is.
+
+Edge cases: a null text is an empty document; empty texts are equal, so one of
+them passes the exact stage; a row is known by its id and text, so different
+texts of one id or of none are different documents, and of rows equal in both
+one stays; rows without an id are never near-duplicates and keep their passages;
+of equal or near texts the smallest doc_id stays; texts of any length are taken
+whole; extra columns are passed on as they are; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casenet.llm import exact_dedup, minhash_dedup, packing, quality_classifier, suffix_dedup
-from casenet.plans.shared import SharedTables
+from casenet.llm import byte_bpe, exact_dedup, minhash_dedup, packing, quality_classifier, suffix_dedup
+from casenet.plans.shared import delete, new_path, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each normalised text."""
-    index = exact_dedup.DigestIndex(spark)
-    kept = exact_dedup.keep_first(docs, index)
-    index.close()
-    return kept
+    return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +47,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and padding of each remaining document."""
-    return packing.pack(docs)
+    """Bucket, batch and padding of each remaining document, in tokens of the byte-level encoding."""
+    return packing.pack(byte_bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), length=F.col("n_tokens"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("passages", passages), ("packing", packed)]
@@ -47,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = SharedTables(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = tables.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
