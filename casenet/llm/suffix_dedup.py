@@ -6,14 +6,16 @@ words and, behind them, a hash of its first ``PREFIX`` words; the suffixes are
 range-partitioned and sorted by it, and neighbours are compared. A suffix whose
 neighbours begin otherwise shares no passage and goes.
 
-From the others, matches are extended left and right: the suffixes at every
-word on either side, as far as ``min_words`` words from there still hold the
-matched one, are sorted and compared in the same way by their first
-``min_words`` words. Of a run of equal ones the first (smallest doc_id, then
-place) is the source of the others, and a passage is a union of overlapping or
-touching ones. Extending word by word against one neighbour instead would lose
-nested passages: where an earlier document holds only the middle of what two
-later ones share, it is the neighbour of both.
+From the others, matches are extended left and right. Retained suffixes of one
+document that lie one behind the other at the same distance from the same source
+(the first place of the suffix: smallest doc_id, then place) are one match as
+far as they reach, since two in a row leave no word between their prefixes. Where
+such a match ends, and around all other shared suffixes, the suffixes at every
+word are sorted and compared in the same way by their first ``min_words`` words;
+of a run of equal ones the first is the source. A passage is a union of
+overlapping or touching matches. Extending word by word against one neighbour
+instead would lose nested passages: where an earlier document holds only the
+middle of what two later ones share, it is the neighbour of both.
 
 ``SEED`` words make a seed, and of ``MIN_WORDS - PREFIX + 1`` seeds in a row the
 least hash is retained (the first one in a tie). Any ``MIN_WORDS`` words in a row
@@ -49,7 +51,7 @@ from casenet.llm import textkernel as tk
 from casenet.llm.rows import numbered
 from casenet.plans.shared import SharedTables
 
-SEED, PREFIX, MIN_WORDS = 8, 24, 50
+SEED, PREFIX, MIN_WORDS = 8, 26, 50
 ROWS = "lead bigint, name bigint, doc_id bigint, place int, last int"
 _TYPES = {"kind": pa.int32(), "lead": pa.int64(), "name": pa.int64(), "doc_id": pa.int64(), "place": pa.int32(), "last": pa.int32(), "source_id": pa.int64(), "source_place": pa.int32()}
 
@@ -162,48 +164,80 @@ def _compared(rows: DataFrame, with_heads: bool) -> DataFrame:
     return ordered.mapInArrow(run, f"kind int, {ROWS}, source_id bigint, source_place int")
 
 
+def _sourced(found: DataFrame) -> DataFrame:
+    """Rows of ``_compared`` with the head of the whole run as source, and in how many partitions a run has an end (``edges``)."""
+    heads = found.where("kind > 0").groupBy("lead", "name").agg(F.min(F.struct("doc_id", "place")).alias("h"), F.count(F.lit(1)).alias("edges"))
+    placed = found.join(F.broadcast(heads), ["lead", "name"], "left")
+    return placed.withColumns({"source_id": F.coalesce("h.doc_id", "source_id"), "source_place": F.coalesce("h.place", "source_place")})
+
+
 def shared_suffixes(docs: DataFrame, tables: SharedTables) -> DataFrame:
-    """doc_id, place, last of every sparse suffix whose prefix stands at another place too, earlier or later."""
+    """doc_id, place, last, source_id, source_place of every sparse suffix whose prefix stands at another place too, earlier or later."""
     kept = tables.write(suffixes(docs), "suffixes")
-    found = tables.write(_compared(kept, with_heads=True).drop("source_id", "source_place"), "shared")
+    found = tables.write(_compared(kept, with_heads=True), "shared")
     tables.drop("suffixes")
-    edges = found.where("kind > 0")
-    several = edges.groupBy("lead", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead", "name")
-    across = edges.where("kind = 1").join(F.broadcast(several), ["lead", "name"], "left_semi")
-    return found.where("kind = 0").select("doc_id", "place", "last").unionByName(across.select("doc_id", "place", "last"))
+    return _sourced(found).where("kind = 0 or (kind = 1 and edges > 1)").select("doc_id", "place", "last", "source_id", "source_place")
+
+
+def _chains(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Document, begin, end and source of the matches that suffixes in a row make with one source at one distance.
+
+    Within a document (``own``) the source must lie ``width`` words before.
+    """
+    away = place - source_place
+    use = np.flatnonzero(~own | (away >= width))
+    order = use[np.lexsort((place[use], away[use], source[use], doc[use]))]
+    doc, place, source, away = doc[order], place[order], source[order], away[order]
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (away[1:] != away[:-1]) | (np.diff(place) > PREFIX)
+    closes = np.append(opens[1:], True) if len(order) else opens
+    begin, end = place[opens], place[closes] + PREFIX
+    long = end - begin >= width
+    return doc[opens][long], begin[long], end[long], source[opens][long]
 
 
 def windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """The suffixes of ``width`` words at every word from which these hold an ``asked`` sparse one, as rows like those of ``suffixes``."""
+    """Rows like those of ``suffixes``, of ``width`` words, at every word from which these hold an ``asked`` sparse suffix.
+
+    Those inside a match of suffixes in a row are left out, as their source is
+    known: the match comes as a row with ``source_id``, from ``place`` to ``last``.
+    """
+
+    def marked(first: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        fits = high > low
+        steps = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+        np.add.at(steps, first[doc[fits]] + low[fits], 1)
+        np.add.at(steps, first[doc[fits]] + high[fits], -1)
+        return np.cumsum(steps) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column("text")):
-                words, spans = tk.words(data, offsets), batch.column("asked").slice(lo, hi - lo)
+                words, spans, ids = tk.words(data, offsets), batch.column("asked").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-                place, last = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                low = np.maximum(place - (width - PREFIX), 0)
-                high = np.minimum(last, np.diff(words.first)[doc] - width) + 1
-                fits = high > low
-                steps = np.zeros(int(words.first[-1]) + 1, dtype=np.int64)
-                np.add.at(steps, words.first[doc[fits]] + low[fits], 1)
-                np.add.at(steps, words.first[doc[fits]] + high[fits], -1)
-                at = np.flatnonzero(np.cumsum(steps) > 0)
+                place, last, source, source_place = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+                lone = place == last
+                known = _chains(doc[lone], place[lone], source[lone], source_place[lone], source[lone] == ids.to_numpy(zero_copy_only=False)[doc[lone]], width)
+                wanted = marked(words.first, doc, np.maximum(place - (width - PREFIX), 0), np.minimum(last, np.diff(words.first)[doc] - width) + 1)
+                at = np.flatnonzero(wanted & ~marked(words.first, known[0], known[1], known[2] - width + 1))
                 if len(at):
-                    yield _rows(batch.column("doc_id").slice(lo, hi - lo), words, at, width)
+                    rows = _rows(ids, words, at, width)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.int64())], names=[*rows.schema.names, "source_id"])
+                if len(known[0]):
+                    none = pa.nulls(len(known[0]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, ids.take(pa.array(known[0])), pa.array(known[1], pa.int32()), pa.array(known[2], pa.int32()), pa.array(known[3])], names=["lead", "name", "doc_id", "place", "last", "source_id"])
 
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "last")).alias("asked"))
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "last", "source_id", "source_place")).alias("asked"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), "doc_id")
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(run, f"{ROWS}, source_id bigint")
 
 
-def matches(rows: DataFrame, tables: SharedTables) -> DataFrame:
-    """doc_id, place, last, source_id of rows whose key stands earlier too, in another document or in their own; the source is the first one."""
-    found = tables.write(_compared(rows, with_heads=False), "neighbours")
-    heads = found.where("kind > 0").groupBy("lead", "name").agg(F.min(F.struct("doc_id", "place")).alias("h"))
-    placed = found.join(F.broadcast(heads), ["lead", "name"], "left")
-    placed = placed.withColumns({"source_id": F.coalesce("h.doc_id", "source_id"), "source_place": F.coalesce("h.place", "source_place")})
-    return placed.where("doc_id <> source_id or place > source_place").select("doc_id", "place", "last", "source_id")
+def matches(rows: DataFrame, width: int, tables: SharedTables) -> DataFrame:
+    """Begin, end (``s``, ``e``) and source of what stands earlier too, in another document or in their own; the source is the first place."""
+    alone = rows.where("source_id is null").drop("source_id")
+    found = _sourced(tables.write(_compared(alone, with_heads=False), "neighbours")).where("doc_id <> source_id or place > source_place")
+    inner = rows.where("source_id is not null").select("doc_id", F.col("place").alias("s"), F.col("last").alias("e"), "source_id")
+    return found.select("doc_id", F.col("place").alias("s"), (F.col("last") + width).alias("e"), "source_id").unionByName(inner)
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -226,8 +260,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tables = SharedTables(docs.sparkSession)
     near = tables.write(windows(docs, shared_suffixes(docs, tables), min_words), "windows")
     tables.drop("shared")
-    found = matches(near, tables).select("doc_id", F.col("place").alias("s"), (F.col("last") + min_words).alias("e"), "source_id").distinct()
-    tables.drop("windows")
+    found = matches(near, min_words, tables).distinct()
     own = F.bool_and(F.col("source_id") == F.col("doc_id")).alias("within")
     spans = _islands(found).groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source_id").alias("source_id"), F.count_distinct("source_id").alias("n_sources"), own)
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "n_sources", "within")
