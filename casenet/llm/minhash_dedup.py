@@ -10,12 +10,12 @@ exact Jaccard similarity of the full sets.
 Bands hold hot groups, so a band never yields all its pairs. In linear rounds
 each document is compared with one pivot of its bands; what is linked is one
 component from then on, and only bands that still hold several components are
-looked at again. Members that are left are compared by sketches within parts of
-at most ``BLOCK``: a larger band is split by further coordinates of the
-signature, again in bands of their own, and its pairs meet only where these
-agree too. Only what no coordinates split any more is dealt in blocks. Members
-of a band are spread over ``SALTS`` tasks, and a pivot's set is copied for every
-``PARTNERS`` members of its bands.
+looked at again. Members that are left are compared by sketches in blocks of at
+most ``BLOCK``. Where a band has so many that each would be copied to more than
+``SPLITS`` blocks, it is split by further coordinates of the signature first,
+again in bands of their own, as long as that halves it. Members of a band are
+spread over ``SALTS`` tasks, and a pivot's set is copied for every ``PARTNERS``
+members of its bands.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with
 nothing; a text with fewer words than a shingle has its whole sequence as one
@@ -45,7 +45,7 @@ from casenet.plans.shared import SharedTables
 UNIVERSE_BITS = 22
 LINEAR_ROUNDS = 2
 SKETCH, BLOCK = 512, 512
-LEVELS, SPLITS, BYTES = 4, 16, 3  # of a band with more than BLOCK members, by SPLITS groups of BYTES coordinates at each level
+LEVELS, SPLITS, BYTES = 4, 16, 3  # at each level a large band is split by SPLITS groups of BYTES coordinates
 SALTS, PARTNERS = 16, 256
 
 
@@ -151,8 +151,10 @@ def _split(parts: DataFrame, sketches: DataFrame, level: int, bands: int) -> Dat
     """
     first = 8 * bands + BYTES * SPLITS * level + 1
     pieces = F.array(*(F.substring("sketch", first + BYTES * j, BYTES) for j in range(SPLITS)))
-    rows = parts.join(sketches, "doc_id").select("key", "path", "part", "doc_id", "n", "component", F.posexplode(pieces).alias("j", "piece"))
-    return rows.select("key", F.array_append("path", F.col("j")).alias("path"), F.xxhash64("part", "j", "piece").alias("part"), "doc_id", "n", "component")
+    rows = parts.join(sketches, "doc_id").select("key", "path", "part", "rows", "doc_id", "n", "component", F.posexplode(pieces).alias("j", "piece"))
+    split = rows.select("key", F.array_append("path", F.col("j")).alias("path"), F.xxhash64("part", "j", "piece").alias("part"), F.col("rows").alias("was"), "doc_id", "n", "component")
+    sizes = split.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part", "rows")
+    return _spread(split, sizes, "part")
 
 
 def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int) -> DataFrame:
@@ -226,17 +228,14 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
 
 def _close_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int, tables: SharedTables) -> DataFrame:
     """Pairs of members of open bands whose sketches allow the similarity; large bands are split by further coordinates first."""
-    parts, found = still.select("key", F.array().cast("array<int>").alias("path"), F.col("key").alias("part"), "doc_id", "n", "component"), []
+    parts, found = still.select("key", F.array().cast("array<int>").alias("path"), F.col("key").alias("part"), "rows", (2 * F.col("rows")).alias("was"), "doc_id", "n", "component"), []
+    large = (F.col("rows") > SPLITS * BLOCK) & (2 * F.col("rows") <= F.col("was"))
     for level in range(LEVELS + 1):
-        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part", "rows")
-        sized = tables.write(_spread(parts, sizes, "part"), f"parts-{level}")
-        wide = sized.where(F.col("rows") > BLOCK)
-        last = level == LEVELS or wide.isEmpty()
-        found.append(_block_pairs(sized if last else sized.where(F.col("rows") <= BLOCK), sketches, percent, bands))
-        if last:
-            break
-        parts = _split(wide, sketches, level, bands)
-    return reduce(DataFrame.unionByName, found)
+        if level == LEVELS or parts.where(large).isEmpty():
+            return reduce(DataFrame.unionByName, [*found, _block_pairs(parts, sketches, percent, bands)])
+        found.append(_block_pairs(parts.where(~large), sketches, percent, bands))
+        parts = tables.write(_split(parts.where(large), sketches, level, bands), f"parts-{level}")
+    raise AssertionError("the last level returns")
 
 
 def _confirmed(pairs: DataFrame, copies: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,12 +260,12 @@ def _confirmed(pairs: DataFrame, copies: DataFrame | None, sets: DataFrame, perc
 
 
 def _open_bands(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Members with their component, of the bands that hold two components or more."""
+    """Members with their component and the band's number of them (``rows``), of the bands that hold two components or more."""
     if edges is None:
         placed = members.withColumn("component", F.col("doc_id"))
     else:
         placed = members.join(connected_components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "rows")
     return _spread(placed, several, "key")
 
 

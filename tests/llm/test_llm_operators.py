@@ -646,8 +646,11 @@ def test_near_duplicates_against_brute_force(spark, size, percent, bands, rows):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_hot_bands_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+@pytest.mark.parametrize(("block", "levels"), [(8, 0), (1, 4)])
+def test_hot_bands_are_compared_in_blocks(spark, monkeypatch, block, levels):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "LINEAR_ROUNDS", 1)
+    monkeypatch.setattr(minhash_dedup, "LEVELS", levels)
     data = family_rows()
     want = components(data, 3, 85)
     got = minhash_dedup.near_duplicates(documents(spark, data), 3, 85, 24, 6).collect()
