@@ -119,7 +119,7 @@ def document_number(image_id: Column) -> Column:
 
 
 def name_pattern(file_name: Column) -> Column:
-    """Class of an image file name; the first that fits."""
+    """Class of an image file name; the first that fits (classes and patterns are fixed values)."""
     stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(file_name, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""), r"__\d+$", "")
     return (
         F.when(stem.contains("%20"), "encoded-or-ambiguous")
@@ -139,6 +139,7 @@ def edge_description(evidence: Column, documents: Column, weight: Column) -> Col
 
 
 def joined_reasons(reasons: Column) -> Column:
+    """The reasons in one text, or a fixed sentence."""
     return F.when(F.size(reasons) > 0, F.array_join(reasons, " | ")).otherwise("Single appearance in network with low risk indicators.")
 
 
@@ -149,7 +150,7 @@ def reasons_payload(reasons: Column, summary: Column) -> Column:
 
 
 def replace_description(metadata: Column, description: Column) -> Column:
-    """A flat JSON object with its ``description`` replaced and all other keys kept."""
-    old = F.coalesce(F.from_json(metadata, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    """A JSON object with its ``description`` replaced and all other keys kept, with their types; what is no object counts as empty."""
+    old = F.coalesce(F.from_json(metadata, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     rest = F.map_filter(old, lambda k, _: k != "description")
-    return F.to_json(F.when(description.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit("description"), description))))
+    return F.to_json(F.when(description.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit("description"), description.cast("variant")))))

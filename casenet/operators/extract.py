@@ -73,6 +73,34 @@ def rejected_documents(requested: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.select("image_id", reason.alias("reason")).where("reason is not null")
 
 
+STORED = "dataset_image_id bigint, image_name string, ocr_records array<struct<source_index: int, bbox: array<double>, score: double, category_id: int, original_text: string>>"
+
+
+def extraction_job(requested: DataFrame, firs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions of the ``requested`` images from their stored evidence, and the rejections (image_id, reason) of images and spans.
+
+    ``firs``: fir_id, case_id, image_id; ``evidence``: evidence_id, fir_id,
+    case_id, metadata_text, the nested JSON that holds the tokens.
+    """
+    stored = firs.select("image_id", "fir_id", "case_id").join(evidence.select("fir_id", "case_id", "evidence_id", "metadata_text"), ["fir_id", "case_id"], "left").join(requested.select("image_id").distinct(), "image_id", "left_semi")
+    whole = stored.withColumn("m", F.from_json("metadata_text", STORED)).where("m.ocr_records is not null")
+    tokens = whole.select("case_id", "fir_id", "evidence_id", "image_id", F.col("m.image_name").alias("image_name"), F.explode("m.ocr_records").alias("t"))
+    corner = lambda k, name: F.try_element_at("t.bbox", F.lit(k)).alias(name)
+    tokens = tokens.select("case_id", "fir_id", "evidence_id", "image_id", "image_name", "t.source_index", corner(1, "x1"), corner(2, "y1"), corner(3, "x2"), corner(4, "y2"), "t.score", "t.category_id", F.col("t.original_text").alias("text"))
+    mentions = extract_mentions(tokens)
+    return accepted(mentions), rejected_documents(requested, stored).unionByName(rejected(mentions).select("image_id", "reason"))
+
+
+def confident(mentions: DataFrame, least: float = 0.60) -> DataFrame:
+    return mentions.where(F.col("final_confidence") >= least)
+
+
+def image_summary(mentions: DataFrame) -> DataFrame:
+    """Mentions of each image: all, low-OCR ones, and by type."""
+    kinds = ("PERSON", "POLICE_STATION", "STATUTE")
+    return mentions.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_if("low_ocr_confidence").alias("n_low_ocr"), *(F.count_if(F.col("entity_type") == k).alias(f"n_{k.lower()}") for k in kinds))
+
+
 def section_identifiers(mentions: DataFrame) -> DataFrame:
     """One row for each section of a statute mention."""
     rows = mentions.where("entity_type = 'STATUTE'").select("case_id", "fir_id", "image_id", "source_index", F.posexplode(T.section_identifiers(F.col("raw_value"))).alias("position", "i"))

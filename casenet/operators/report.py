@@ -42,6 +42,13 @@ def case_reports(kpis: DataFrame, alerts: DataFrame, order: str) -> DataFrame:
     return rows.select("case_id", F.lit("CRIMINAL_NETWORK_SUMMARY").alias("report_type"), title.alias("title"), content.alias("content"))
 
 
+def numbered_mentions(mentions: DataFrame, n: int = 100) -> DataFrame:
+    """The first ``n`` mentions in the order of image, token and span, numbered ``cand_001`` and on; for small reports, as a number needs one order of all."""
+    first = mentions.orderBy("image_id", "source_index", "span_index").limit(n)
+    rank = F.row_number().over(Window.orderBy("image_id", "source_index", "span_index"))
+    return first.withColumn("mention_id", F.format_string("cand_%03d", rank))
+
+
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100, most: int = 100, **wanted) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the filtered table in a total order, each with the total count."""
     from casenet.operators.validate import equals

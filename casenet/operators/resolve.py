@@ -3,12 +3,14 @@
 Institutions and statutes are one entity across the documents of a case;
 persons who share a name are one entity within a document only, unless the
 caller asks for merging. The first mention of a key (document, token, span
-order) names it. Firsts come from partial aggregates joined back by key, so a
-name with very many mentions is never sorted in one task.
+order) names it. Firsts come from partial aggregates by name and document, joined
+back by both, so a name with very many mentions meets in no task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +54,13 @@ def resolve(mentions: DataFrame, merge_persons: bool = False) -> DataFrame:
     rows = rows.withColumn("entity_key", F.when(clear, F.when(by_document, entity_key(F.col("case_id"), F.col("entity_type"), F.col("norm_key"), F.col("fir_id"))).otherwise(entity_key(F.col("case_id"), F.col("entity_type"), F.col("norm_key")))))
     place = F.struct(*ORDER)
     known = rows.where("norm_key is not null")
-    firsts = known.groupBy(*KEY).agg(F.min(F.struct(place.alias("place"), "fir_id")).alias("first"))
-    names = known.groupBy("entity_key").agg(F.min(F.struct(place.alias("place"), "raw_value")).alias("named"))
-    joined = rows.join(firsts, list(KEY), "left").join(names, "entity_key", "left")
+    in_document = known.groupBy(*KEY, "fir_id").agg(F.min(F.struct(place.alias("place"), "raw_value")).alias("own"))
+    firsts = in_document.groupBy(*KEY).agg(F.min(F.struct(F.col("own.place").alias("place"), "fir_id", F.col("own.raw_value").alias("raw_value"))).alias("first"))
+    same_key = lambda a, b, names: reduce(Column.__and__, (a[c].eqNullSafe(b[f"__{c}"]) for c in names))
+    renamed = lambda df: df.toDF(*(f"__{c}" if c in (*KEY, "fir_id") else c for c in df.columns))
+    there = renamed(firsts)
+    named = renamed(in_document.join(there, same_key(in_document, there, KEY)).select(*KEY, "fir_id", "own", "first"))
+    joined = rows.join(named, same_key(rows, named, (*KEY, "fir_id")), "left").drop(*(f"__{c}" for c in (*KEY, "fir_id")))
     same = F.col("fir_id").eqNullSafe(F.col("first.fir_id"))
     decision = (
         F.when(F.col("norm_key").isNull(), "KEPT_SEPARATE_AMBIGUOUS")
@@ -63,8 +69,8 @@ def resolve(mentions: DataFrame, merge_persons: bool = False) -> DataFrame:
         .when(by_document, "KEPT_SEPARATE_CROSS_FIR")
         .otherwise("MATCHED_EXISTING_CROSS_FIR")
     )
-    joined = joined.withColumns({"decision": decision, "entity_name": F.trim("named.raw_value")})
-    return joined.withColumn("reason", _decision_reason(F.col("decision"))).drop("first", "named", "supported", "norm_key")
+    joined = joined.withColumns({"decision": decision, "entity_name": F.trim(F.when(by_document, F.col("own.raw_value")).otherwise(F.col("first.raw_value")))})
+    return joined.withColumn("reason", _decision_reason(F.col("decision"))).drop("first", "own", "supported", "norm_key")
 
 
 def resolve_incremental(stored: DataFrame, incoming: DataFrame, merge_persons: bool = False) -> DataFrame:
@@ -89,6 +95,34 @@ def provenance(resolutions: DataFrame) -> DataFrame:
     return rows.select(*columns).dropDuplicates(["mention_key"])
 
 
+def scope_entities(image_ids: DataFrame, firs: DataFrame, evidence: DataFrame, provenance: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities that a mention links to one of ``image_ids``: image, document, evidence, mention, each by a semi-join."""
+    wanted = firs.join(image_ids.select("image_id").distinct(), "image_id", "left_semi")
+    proof = evidence.join(wanted.select("fir_id").distinct(), "fir_id", "left_semi")
+    mentioned = provenance.join(proof.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    return entities.join(mentioned.select("entity_key").distinct(), "entity_key", "left_semi")
+
+
+def resolution_job(mentions: DataFrame, evidence: DataFrame, path: str, requested: DataFrame, allowed: DataFrame | None = None, merge_persons: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Resolve the mentions of the ``requested`` images and append what ``path`` lacks; returns resolutions and one row of metrics.
+
+    Stops before any work if an image is outside ``allowed`` or a mention is not
+    owned by its evidence. A second run appends nothing.
+    """
+    from casenet.operators.validate import ownership, require_scope
+    from casenet.sources.sinks import append_new
+
+    if allowed is not None:
+        require_scope(requested, allowed)
+    rows = mentions.join(requested.select("image_id").distinct(), "image_id", "left_semi")
+    if not ownership(rows, evidence).where("ownership_reason is not null").isEmpty():
+        raise ValueError("mentions that their evidence does not own")
+    resolved = resolve(rows, merge_persons)
+    fresh = append_new(provenance(resolved), path, "evidence_id", "source_index", "start_char", "end_char")
+    metrics = resolution_metrics(resolved).join(F.broadcast(fresh.agg(F.count(F.lit(1)).alias("n_appended"))), how="cross")
+    return resolved, metrics
+
+
 def resolution_metrics(resolutions: DataFrame) -> DataFrame:
     """One row: decisions and what the cross-document policy prevented or matched."""
     decided = lambda d, t=None: F.count_if((F.col("decision") == d) & ((F.col("entity_type") == t) if t else F.lit(True)))

@@ -119,6 +119,13 @@ def ownership(mentions: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.withColumn("ownership_reason", reason).drop("__case", "__fir")
 
 
+def identifier_ownership(identifiers: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Identifiers (entity_key, evidence_id) whose evidence is missing or belongs to another case than their entity, with the reason."""
+    rows = identifiers.join(entities.select("entity_key", F.col("case_id").alias("__entity_case")), "entity_key").join(evidence.select("evidence_id", F.col("case_id").alias("__case")), "evidence_id", "left")
+    reason = F.when(F.col("__case").isNull(), "evidence_missing").when(F.col("__case") != F.col("__entity_case"), "case_mismatch")
+    return rows.withColumn("ownership_reason", reason).where("ownership_reason is not null").drop("__entity_case", "__case")
+
+
 def field_rules(df: DataFrame, max_length: dict[str, int] | None = None, positive: tuple[str, ...] = (), unit: tuple[str, ...] = (), required: tuple[str, ...] = (), domain: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Declarative field constraints as a ``violations`` array: lengths, positive ids, [0, 1] values, required text, domains."""
     rules = [(F.length(c) > n, f"{c}:length") for c, n in (max_length or {}).items()]
@@ -142,6 +149,11 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
     return child.where(f"{key} is not null").join(parent.select(F.col(parent_key or key).alias(key)).distinct(), key, "left_anti")
 
 
+def unsupported_types(mentions: DataFrame, domain: tuple[str, ...]) -> DataFrame:
+    """How many mentions each type outside the ``domain`` has."""
+    return mentions.where(~F.coalesce(F.col("entity_type").isin(*domain), F.lit(False))).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_mentions"))
+
+
 def equals(df: DataFrame, **wanted) -> DataFrame:
     """Equality filters; None asks for nothing."""
     return df.where(reduce(Column.__and__, (F.col(c) == v for c, v in wanted.items() if v is not None), F.lit(True)))

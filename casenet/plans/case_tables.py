@@ -6,14 +6,17 @@ case. The view is plain SQL that Spark and other engines read alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casenet.operators import extract, graph, resolve
-from casenet.plans.shared import SharedTables
+from casenet.plans import graph_metrics
+from casenet.plans.shared import exists, new_path, shared_folder
 
 TOKENS_SQL = """
-SELECT CAST(c.c_nationkey AS BIGINT) AS case_id, l.l_orderkey AS fir_id, l.l_orderkey AS evidence_id, l.l_orderkey AS image_id,
+SELECT CAST(c.c_nationkey AS BIGINT) AS case_id, l.l_orderkey AS fir_id, 2 * l.l_orderkey + l.l_linenumber % 2 AS evidence_id, l.l_orderkey AS image_id,
     CASE l.l_orderkey % 5 WHEN 0 THEN concat('Town PS', l.l_orderkey, '.jpg') WHEN 1 THEN concat('Town PS K', l.l_orderkey, '-2019-12345.JPG')
         WHEN 2 THEN concat('Town PS x', l.l_orderkey, '__1.png') WHEN 3 THEN concat('Town%20PS', l.l_orderkey, '.jpg') ELSE concat('scan_', l.l_orderkey, '.tiff') END AS image_name,
     CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus, l.l_shipdate) - 1 AS INT) AS source_index,
@@ -59,16 +62,57 @@ def evidence(rows: DataFrame) -> DataFrame:
     return rows.select("evidence_id", "fir_id", "case_id").distinct()
 
 
+def foreign_evidence(rows: DataFrame) -> DataFrame:
+    """The evidence with some of it moved to another case."""
+    return evidence(rows).withColumn("case_id", F.when(F.col("evidence_id") % 13 == 0, F.col("case_id") + 1).otherwise(F.col("case_id")))
+
+
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of every input file, so that changed inputs are read again."""
+    found = []
+    for name in ("lineitem", "orders", "customer", "part", "supplier"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed]
+    return tuple(sorted(found))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written once in a session and read again by all that need it."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), name, _state(spark, sf_dir))
+    path = _stored.get(key)
+    if path is None or not exists(spark, f"{path}/_SUCCESS"):
+        path = new_path(spark, name)
+        make().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(path)
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.accepted(extract.extract_mentions(tokens(spark, sf_dir)))
+    return stored(spark, sf_dir, "mentions", lambda: extract.accepted(extract.extract_mentions(tokens(spark, sf_dir))))
 
 
 def resolutions(spark: SparkSession, sf_dir: str, merge_persons: bool = False) -> DataFrame:
-    return resolve.resolve(mentions(spark, sf_dir), merge_persons)
+    return stored(spark, sf_dir, f"resolutions-{merge_persons}", lambda: resolve.resolve(mentions(spark, sf_dir), merge_persons))
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "entities", lambda: resolve.entities(resolutions(spark, sf_dir)))
+
+
+def edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "edge-documents", lambda: graph.edge_documents(graph.presence(resolutions(spark, sf_dir))))
+
+
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ents, edges = network(spark, sf_dir)
+    return stored(spark, sf_dir, "communities", lambda: graph_metrics.louvain(ents, edges))
 
 
 def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Resolutions, entities and co-occurrence edges, each written once as several branches of a plan read them."""
-    tables = SharedTables(spark)
-    resolved = tables.write(resolutions(spark, sf_dir), "resolutions")
-    return resolved, tables.write(resolve.entities(resolved), "entities"), tables.write(graph.cooccurrence_edges(graph.presence(resolved)), "edges")
+    """Resolutions, entities and the edges of both kinds, structured and co-occurring."""
+    edges = stored(spark, sf_dir, "edges", lambda: graph.edges_of(edge_documents(spark, sf_dir)))
+    return resolutions(spark, sf_dir), entities(spark, sf_dir), edges

@@ -8,10 +8,17 @@ from casenet.plans.case_tables import DEFECTS_SQL, TOKENS_SQL
 TABLES = {t: t for t in ("lineitem", "orders", "customer", "part", "supplier")}
 
 
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"  # Unicode white space
+
+
 def clean(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
+def clean_unicode(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{SPACE}', ' ', 'g'))"
+
+
 def core(x: str) -> str:
     return rf"regexp_extract({x}, '\S.*\S|\S')"
 
@@ -96,8 +103,13 @@ STEPS = {
         CASE WHEN norm_key IS NULL THEN 'KEPT_SEPARATE_AMBIGUOUS' WHEN rn = 1 THEN 'CREATED_NEW' WHEN fir_id = first_fir THEN 'MATCHED_EXISTING_SAME_FIR' WHEN entity_type = 'PERSON' THEN 'KEPT_SEPARATE_CROSS_FIR' ELSE 'MATCHED_EXISTING_CROSS_FIR' END AS decision FROM ranked""",
     "entities": """SELECT entity_key, min(case_id) AS case_id, min(entity_type) AS entity_type, min(entity_name) AS name, min(lower(trim(normalized_value))) AS normalized_name, max(final_confidence) AS confidence, count(*) AS n_mentions, count(DISTINCT fir_id) AS n_firs FROM resolutions WHERE entity_key IS NOT NULL GROUP BY entity_key""",
     "presence": "SELECT DISTINCT case_id, fir_id, entity_type, entity_key FROM resolutions WHERE entity_key IS NOT NULL",
-    "edges": """SELECT a.case_id, a.entity_key AS source, b.entity_key AS target, 'associated_with' AS relation, 'ASSOCIATED_WITH' AS relationship_type, count(*) AS weight, list_sort(list(a.fir_id)) AS firs, min(a.fir_id) AS primary_fir, round(count(*) / (count(*) + 1), 4) AS confidence
-        FROM presence a JOIN presence b ON a.case_id = b.case_id AND a.fir_id = b.fir_id AND a.entity_key < b.entity_key GROUP BY 1, 2, 3""",
+    "structured": """SELECT a.case_id, 'structured' AS origin, a.entity_key AS source, b.entity_key AS target, r.relation, a.fir_id FROM presence a
+        JOIN (VALUES ('PERSON', 'POLICE_STATION', 'visited'), ('PERSON', 'STATUTE', 'connected_to'), ('STATUTE', 'POLICE_STATION', 'associated_with')) r(f, t, relation) ON a.entity_type = r.f
+        JOIN presence b ON b.entity_type = r.t AND a.case_id = b.case_id AND a.fir_id = b.fir_id""",
+    "edge_docs": """SELECT * FROM structured UNION ALL SELECT a.case_id, 'cooccurrence', a.entity_key, b.entity_key, 'associated_with', a.fir_id
+        FROM presence a JOIN presence b ON a.case_id = b.case_id AND a.fir_id = b.fir_id AND a.entity_key < b.entity_key""",
+    "edges": """SELECT case_id, origin, source, target, relation, CASE relation WHEN 'visited' THEN 'LOCATED_AT' ELSE 'ASSOCIATED_WITH' END AS relationship_type, count(*) AS weight, min(fir_id) AS primary_fir,
+        round(count(*) / (count(*) + 1), 4) AS confidence FROM edge_docs GROUP BY 1, 2, 3, 4, 5""",
     "ends": "SELECT case_id, source AS entity_key, target AS other, weight FROM edges UNION ALL SELECT case_id, target, source, weight FROM edges WHERE source <> target",
     "degrees": "SELECT case_id, entity_key, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM ends GROUP BY 1, 2",
 }

@@ -47,6 +47,16 @@ def external_entities(external: DataFrame) -> DataFrame:
     return rows.where("entity_type is not null")
 
 
+def parse_ids(text: str | None) -> list[int] | None:
+    """A comma-separated list of ids, None if there is none; anything but digits is an error."""
+    if text is None or not text.strip():
+        return None
+    parts = [part.strip() for part in text.split(",") if part.strip()]
+    if not all(part.isascii() and part.isdigit() for part in parts):
+        raise ValueError(f"not a list of ids: {text!r}")
+    return [int(part) for part in parts]
+
+
 def semi_scan(table: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """Rows of ``table`` whose key is in ``keys``, never through a literal list."""
     return table.join(keys.select(*on).distinct(), list(on), "left_semi")
