@@ -29,9 +29,13 @@ INDEX_SCHEMA = "digest binary, keep_id bigint, n_seen bigint, batch string"
 
 
 def text_digest(text: Column) -> Column:
-    """SHA-256 of the text with each run of ASCII white space as one space, as 32 bytes."""
+    """SHA-256 of the text with each run of ASCII white space as one space, as 32 bytes.
+
+    The outer coalesce tells Catalyst that it is never null: a join on it would
+    otherwise get a null test below the projection, which hashes each text again.
+    """
     plain = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return F.unhex(F.sha2(plain.cast("binary"), 256))
+    return F.coalesce(F.unhex(F.sha2(plain.cast("binary"), 256)), F.lit(b""))
 
 
 class DigestIndex:
@@ -79,7 +83,12 @@ def _report(rows: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
 
 def look_up(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of rows that the index holds, over all its batches."""
-    return _report(digests(docs), index.groups().hint("merge"))
+    return judge(digests(docs), index)
+
+
+def judge(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """``look_up`` for rows (doc_id, digest) that are hashed already."""
+    return _report(rows, index.groups().hint("merge"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:

@@ -49,9 +49,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = (ends[0] or 0) + ((ends[1] or 0) - (ends[0] or 0)) // 2
     index = exact_dedup.DigestIndex(spark)
-    exact_dedup.deduplicate(docs.where(F.col("doc_id") <= middle), index, "first")
-    exact_dedup.deduplicate(docs.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()), index, "second")
-    judged = SharedTables(spark).write(exact_dedup.look_up(docs, index), "judged")
+    first = exact_dedup.deduplicate(docs.where(F.col("doc_id") <= middle), index, "first")
+    second = exact_dedup.deduplicate(docs.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()), index, "second")
+    rows = first.unionByName(second).select("doc_id", F.unhex("text_sha256").alias("digest"))
+    judged = SharedTables(spark).write(exact_dedup.judge(rows, index), "judged")
     index.delete()
     return judged
 
