@@ -88,64 +88,77 @@ class LineModel:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * good_share, -40, 40)))
 
 
-def _ranked(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Documents by falling number of lines, their first lines, and how many of them reach each line number."""
+BLOCK = 512  # lines that a recursion takes one after the other
+
+
+def _ranked(first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """First rows of the parts, longest part first, and how many of them reach each row number."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     alive = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), side="left")
-    return order, first[:-1][order], alive.tolist()
+    return first[:-1][order], alive.tolist()
 
 
-def forward_backward(model_step: np.ndarray, unary: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginal of state 1 for each line, expected steps (2 x 2) and the log partition sum."""
-    _, begin, alive = _ranked(first)
-    a = np.zeros((len(unary), 2))
-    b = np.zeros((len(unary), 2))
-    e = np.column_stack([np.zeros(len(unary)), unary])
-    if alive:
-        a[begin] = e[begin]
+def _scan(step: np.ndarray, e: np.ndarray, first: np.ndarray, add: np.ufunc, block: int = BLOCK) -> np.ndarray:
+    """``v[t, j] = e[t, j] + add_i(v[t - 1, i] + step[i, j])`` through each document, with ``v = e`` on its first line.
+
+    A longer document is cut into blocks, which are taken through side by side
+    for either state before them; then only block ends are chained.
+    """
+    n_blocks = -(-np.diff(first) // block)
+    opens = np.concatenate([[0], np.cumsum(n_blocks)]).astype(np.int64)
+    number = np.arange(opens[-1]) - np.repeat(opens[:-1], n_blocks)
+    cut = np.append(np.repeat(first[:-1], n_blocks) + number * block, first[-1])
+    head = (number == 0)[:, None, None]
+    begin, alive = _ranked(cut)
+    v = np.zeros((len(e), 1 if head.all() else 2, 2))
+    start = e[cut[:-1], None, :]
+    v[cut[:-1]] = start if head.all() else np.where(head, start, step + start)
     for t in range(1, len(alive)):
         at = begin[: alive[t]] + t
-        p = a[at - 1]
-        a[at, 0] = np.logaddexp(p[:, 0] + model_step[0, 0], p[:, 1] + model_step[1, 0])
-        a[at, 1] = np.logaddexp(p[:, 0] + model_step[0, 1], p[:, 1] + model_step[1, 1]) + e[at, 1]
-    for t in range(len(alive) - 1, 0, -1):
+        p = v[at - 1]
+        for j in (0, 1):
+            v[at, :, j] = add(p[:, :, 0] + step[0, j], p[:, :, 1] + step[1, j]) + e[at, None, j]
+    if v.shape[1] == 1:
+        return v[:, 0]
+    before = np.tile([0.0, -np.inf], (len(head), 1))
+    begin, alive = _ranked(opens)
+    for t in range(1, len(alive)):
         at = begin[: alive[t]] + t
-        q = b[at] + e[at]
-        b[at - 1, 0] = np.logaddexp(model_step[0, 0] + q[:, 0], model_step[0, 1] + q[:, 1])
-        b[at - 1, 1] = np.logaddexp(model_step[1, 0] + q[:, 0], model_step[1, 1] + q[:, 1])
+        end = v[cut[at] - 1] + before[at - 1][:, :, None]
+        before[at] = add(end[:, 0], end[:, 1])
+    before = np.repeat(before, np.diff(cut), axis=0)
+    return add(v[:, 0] + before[:, :1], v[:, 1] + before[:, 1:])
+
+
+def forward_backward(model_step: np.ndarray, unary: np.ndarray, first: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginal of state 1 for each line, expected steps (2 x 2) and the log partition sum."""
+    e = np.column_stack([np.zeros(len(unary)), unary])
+    a = _scan(model_step, e, first, np.logaddexp, block)
+    q = _scan(model_step.T, e[::-1], len(e) - first[::-1], np.logaddexp, block)[::-1]  # a line and all after it
     end = first[1:] - 1
     log_z = np.logaddexp(a[end, 0], a[end, 1])
     z = np.repeat(log_z, np.diff(first))
     inner = np.ones(len(unary), dtype=bool)
     inner[first[:-1]] = False
     at = np.flatnonzero(inner)
-    q = b[at] + e[at]
-    steps = np.array([[np.exp(a[at - 1, i] + model_step[i, j] + q[:, j] - z[at]).sum() for j in (0, 1)] for i in (0, 1)])
-    return np.exp(np.minimum(0, a[:, 1] + b[:, 1] - z)), steps, float(log_z.sum())
+    steps = np.array([[np.exp(a[at - 1, i] + model_step[i, j] + q[at, j] - z[at]).sum() for j in (0, 1)] for i in (0, 1)])
+    return np.exp(np.minimum(0, a[:, 1] + q[:, 1] - unary - z)), steps, float(log_z.sum())
 
 
-def viterbi(model_step: np.ndarray, unary: np.ndarray, first: np.ndarray) -> np.ndarray:
+def viterbi(model_step: np.ndarray, unary: np.ndarray, first: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The likeliest state of each line, as one path through each document; a tie goes to state 0."""
-    _, begin, alive = _ranked(first)
-    best = np.zeros((len(unary), 2))
-    back = np.zeros((len(unary), 2), dtype=np.int8)
-    e = np.column_stack([np.zeros(len(unary)), unary])
-    if alive:
-        best[begin] = e[begin]
-    for t in range(1, len(alive)):
-        at = begin[: alive[t]] + t
-        for j in (0, 1):
-            stay, move = best[at - 1, 0] + model_step[0, j], best[at - 1, 1] + model_step[1, j]
-            back[at, j] = move > stay
-            best[at, j] = np.maximum(stay, move) + e[at, j]
-    state = np.zeros(len(unary), dtype=np.int8)
+    best = _scan(model_step, np.column_stack([np.zeros(len(unary)), unary]), first, np.maximum, block)
+    # The state of a line by that of the next one: on a document's last line, and wherever both agree, it is settled.
+    by = np.zeros((len(unary), 2), dtype=np.int8)
+    for j in (0, 1):
+        by[:, j] = best[:, 1] + model_step[1, j] > best[:, 0] + model_step[0, j]
     end = first[1:] - 1
-    state[end] = best[end, 1] > best[end, 0]
-    for t in range(len(alive) - 1, 0, -1):
-        at = begin[: alive[t]] + t
-        state[at - 1] = back[at, state[at]]
-    return state
+    by[end] = (best[end, 1] > best[end, 0])[:, None]
+    settled = np.flatnonzero(by[:, 0] == by[:, 1])
+    turns = np.concatenate([[0], np.cumsum(by[:, 0] > by[:, 1])])
+    at = settled[np.searchsorted(settled, np.arange(len(unary)))]
+    return by[at, 0] ^ ((turns[at] - turns[:-1]) & 1).astype(np.int8)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:

@@ -5,7 +5,9 @@ the forward-backward marginals, weighted by line length, give the share of
 good text, and a logistic scale fitted on the same sample makes it a score.
 
 Edge cases: a null text counts as empty; an empty text is one empty line and
-gets a score like any other; repeated rows are scored alike, each for itself;
+gets a score like any other; a text of any length is read whole, its lines in
+blocks side by side; repeated rows are scored alike, each for itself; a score
+equal to the threshold is accepted, and a marginal of one half is a good line;
 an empty table gives an empty result; other columns are passed through by
 ``classify`` unless they bear the name of an output column, which then wins.
 """

@@ -5,8 +5,8 @@ windows. A document that passes them is kept if the share of its characters
 in lines that the Viterbi path of the line model marks as content reaches
 ``content_share``.
 
-Edge cases: a null or empty text has no words and fails the base rules;
-repeated rows are judged alike; an empty table gives an empty result; only
+Edge cases: a null or empty text has no words and fails the base rules; a text
+of any length is read whole; a tie between paths goes to content; repeated rows are judged alike; an empty table gives an empty result; only
 the id column and ``text`` are read, so other columns never clash.
 """
 

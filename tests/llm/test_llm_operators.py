@@ -73,13 +73,14 @@ def no_labels(spark):
 # 1 and 6 -------------------------------------------------------------------
 
 
-def test_forward_backward_and_viterbi_against_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 3, linemodel.BLOCK])
+def test_forward_backward_and_viterbi_against_enumeration(block):
     rng = np.random.default_rng(3)
     lengths = [1, 4, 2, 6]
     first = np.concatenate([[0], np.cumsum(lengths)])
     unary, step = rng.normal(size=first[-1]), rng.normal(size=(2, 2))
-    p, steps, log_z = linemodel.forward_backward(step, unary, first)
-    best = linemodel.viterbi(step, unary, first)
+    p, steps, log_z = linemodel.forward_backward(step, unary, first, block)
+    best = linemodel.viterbi(step, unary, first, block)
     want_steps, want_z = np.zeros((2, 2)), 0.0
     for d, n in enumerate(lengths):
         u = unary[first[d] : first[d + 1]]
@@ -97,6 +98,16 @@ def test_forward_backward_and_viterbi_against_enumeration():
     assert log_z == pytest.approx(want_z)
 
 
+def test_long_documents_are_labelled_as_whole():
+    rng = np.random.default_rng(4)
+    first = np.cumsum([0, 1, 4000, 30, 2 * linemodel.BLOCK])
+    unary, step = 3 * rng.normal(size=first[-1]), np.array([[0.5, -1.0], [-0.7, 0.9]])
+    for by_block, whole in zip(linemodel.forward_backward(step, unary, first), linemodel.forward_backward(step, unary, first, 4000), strict=True):
+        assert np.allclose(by_block, whole)
+    assert (linemodel.viterbi(step, unary, first) == linemodel.viterbi(step, unary, first, 4000)).all()
+    assert len(linemodel.viterbi(step, unary[:0], first[:1])) == len(linemodel.forward_backward(step, unary[:0], first[:1])[0]) == 0
+
+
 def test_quality_on_held_out_documents(labelled):
     docs, labels = labelled
     rows = quality_classifier.classify(docs, labels).select("doc_id", "held_out", "score", "predicted").join(labels, "doc_id").collect()
