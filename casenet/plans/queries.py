@@ -636,6 +636,73 @@ def taxonomy_maps(spark, sf_dir):
     return rows.select("event_id", level.alias("level"), taxonomy.graph_type(pick(_KINDS, 6)).alias("graph_type"), taxonomy.relation_type(pick(_RELATIONS, 5)).alias("relationship_type"))
 
 
+@query(sql("""SELECT image_id, source_index, span_index, CASE decision WHEN 'KEPT_SEPARATE_AMBIGUOUS' THEN 'Normalized value is empty or too short' WHEN 'CREATED_NEW' THEN 'First occurrence of ' || entity_type || ' ' || q || ' in case ' || case_id WHEN 'KEPT_SEPARATE_CROSS_FIR' THEN 'Same person name ' || q || ' in another document kept separate'
+    WHEN 'MATCHED_EXISTING_SAME_FIR' THEN 'Exact match of ' || q || ' within document ' || fir_id ELSE 'Exact match of ' || q || ' across documents of the case' END AS reason FROM (SELECT *, chr(39) || trim(normalized_value) || chr(39) AS q FROM resolutions)""", "resolutions"))
+def resolve_reasons(spark, sf_dir):
+    return C.resolutions(spark, sf_dir).select("image_id", "source_index", "span_index", "reason")
+
+
+@query(sql("SELECT entity_key, evidence_id AS source_evidence_id, CASE entity_type WHEN 'PERSON' THEN 'EMAIL' ELSE 'PHONE' END AS identifier_type, raw_value AS identifier_value FROM resolutions WHERE entity_key IS NOT NULL AND entity_type <> 'STATUTE'", "resolutions"))
+def business_identifiers(spark, sf_dir):
+    """Each mention brings an identifier of its type and an alias, which is no business identifier."""
+    kind = F.when(F.col("entity_type") == "PERSON", "EMAIL").when(F.col("entity_type") == "POLICE_STATION", "PHONE").otherwise("SECTION")
+    pair = lambda k: F.struct(k.alias("identifier_type"), F.col("raw_value").alias("identifier_value"))
+    rows = C.resolutions(spark, sf_dir).withColumn("identifiers", F.array(pair(kind), pair(F.lit("ALIAS"))))
+    return resolve.business_identifiers(rows).select("entity_key", "source_evidence_id", "identifier_type", "identifier_value")
+
+
+@query(sql("""SELECT m.image_id, m.source_index, m.span_index, 'invalid_span' AS reason FROM mentions m JOIN tokens t ON m.image_id = t.image_id AND m.source_index = t.source_index
+    WHERE m.low_ocr_confidence AND NOT (m.end_char + 1 <= length(t.text) AND substr(t.text, m.start_char + 2, m.end_char - m.start_char) = m.raw_value)""", "mentions"))
+def invalid_spans(spark, sf_dir):
+    """The spans of badly read mentions moved by one character."""
+    moved = F.when(F.col("low_ocr_confidence"), 1).otherwise(0)
+    rows = C.mentions(spark, sf_dir).withColumns({c: F.col(c) + moved for c in ("start_char", "end_char")})
+    return extract.rejected(rows).select("image_id", "source_index", "span_index", "reason")
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def outside_scope(spark, sf_dir):
+    asked = C.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    allowed = C.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return validate.outside_scope(asked, allowed, "l_orderkey")
+
+
+@query(sql("SELECT image_id, source_index, image_name, score, category_id, text FROM tokens WHERE image_id IN (SELECT image_id FROM tokens WHERE score < 0.6)", "tokens"))
+def handoff_records(spark, sf_dir):
+    """All tokens of images with a badly read one, written as JSON lines and read again."""
+    rows = C.tokens(spark, sf_dir).select("image_id", "source_index", "image_name", "score", "category_id", "text")
+    path = new_path(spark, "handoff")
+    sinks.write_handoff(scans.semi_scan(rows, rows.where("score < 0.6"), "image_id"), path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(sql("SELECT DISTINCT image_id, 'ICDAR-' || image_id AS fir_number, 'fir_dataset_' || image_id || '_' || substr(sha256(image_name), 1, 16) || '.jpg' AS storage_key FROM tokens", "tokens"))
+def document_keys(spark, sf_dir):
+    images = C.tokens(spark, sf_dir).select("image_id", "image_name").distinct()
+    return images.select("image_id", text.document_number(F.col("image_id")).alias("fir_number"), text.storage_key(F.col("image_id"), F.sha2("image_name", 256)).alias("storage_key"))
+
+
+@query(sql("""SELECT CASE WHEN image_id % 5 = 4 THEN NULL ELSE image_id END AS image_id, source_index AS temp_id, CASE category_id WHEN 0 THEN 'POLICE_STATION' WHEN 2 THEN 'STATUTE' ELSE 'PERSON' END AS entity_type, text AS raw_value, trim(text) AS normalized_value FROM tokens WHERE category_id <> 1""", "tokens"))
+def external_mentions(spark, sf_dir):
+    """The tokens as another processor would give them: nested by document, with its own type names and some foreign ids."""
+    kind = F.element_at(F.array(*map(F.lit, ("LOCATION", "DATE", "CRIME TYPE", "PERSON"))), F.col("category_id") + 1)
+    entity = F.struct(F.col("source_index").cast("string").alias("id"), kind.alias("type"), F.col("text").alias("value"))
+    prefix = F.when(F.col("image_id") % 5 == 4, "SCAN_").otherwise("FIR_")
+    nested = C.tokens(spark, sf_dir).groupBy(F.concat(prefix, F.col("image_id").cast("string")).alias("fir_id"), F.col("image_name").alias("source_image")).agg(F.collect_list(entity).alias("entities"))
+    return scans.external_entities(nested).select("image_id", F.col("temp_id").cast("int").alias("temp_id"), "entity_type", "raw_value", "normalized_value")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || ' | seen ' || event_id WHEN event_id % 4 = 1 THEN event_type ELSE 'Single appearance in network with low risk indicators.' END AS joined,
+    CASE event_id % 4 WHEN 0 THEN '["' || event_type || '",' || event_id || ']' WHEN 1 THEN '{"raw_reasons":"' || event_type || ' seen"}' WHEN 2 THEN '{"summary":"Score: ' || event_id || '"}' ELSE '{}' END AS payload FROM events""")
+def reasons_texts(spark, sf_dir):
+    events, k, kind = C.table(spark, sf_dir, "events"), F.col("event_id"), F.col("event_type")
+    number = k.cast("string")
+    listed = F.when(k % 4 == 0, F.array(kind, F.concat(F.lit("seen "), number))).when(k % 4 == 1, F.array(kind)).when(k % 4 == 2, F.array().cast("array<string>"))
+    stored = F.when(k % 4 == 0, F.concat(F.lit('["'), kind, F.lit('", '), number, F.lit("]"))).when(k % 4 == 1, F.concat(kind, F.lit(" seen"))).when(k % 4 == 2, "")
+    summary = F.when(k % 4 == 2, F.concat(F.lit("Score: "), number))
+    return events.select("event_id", text.joined_reasons(listed).alias("joined"), text.reasons_payload(stored, summary).alias("payload"))
+
+
 @query()
 def provenance_documents(spark, sf_dir):
     ordered = layout.reading_order(C.tokens(spark, sf_dir))

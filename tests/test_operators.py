@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from casenet.functions import text
 from casenet.operators import crossval, extract, graph, layout, profile, report, resolve, validate
 from casenet.sources import scans, sinks
+from casenet.streaming import append_stream
 
 TOKEN = "image_id bigint, image_name string, source_index int, x1 double, y1 double, x2 double, y2 double, score double, category_id int, text string"
 
@@ -206,3 +208,30 @@ def test_similar_names_against_brute_force(spark):
     got = crossval.similar_names(spark.createDataFrame(sorted(rows), "entity_type string, normalized_name string")).collect()
     assert len(got) == len(want) and {(r["entity_type"], r["a"], r["b"]) for r in got} == want
     assert ("P", "abcdefghijklmnopqrstu", "xbcdefghijklmnopqrst#") in want
+
+
+def test_streamed_rows_are_appended_once(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "id int, v string")
+    for number in (1, 2):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        append_stream(stream, store, str(tmp_path / "log"), "id").awaitTermination()
+        assert sorted(spark.read.parquet(store).select("v").toPandas()["v"]) == ["a", "b", "c"]
+    rows.union(spark.createDataFrame([(3, "d")], "id int, v string")).write.mode("append").parquet(source)
+    append_stream(spark.readStream.schema(rows.schema).parquet(source), store, str(tmp_path / "other-log"), "id").awaitTermination()
+    assert sorted(spark.read.parquet(store).select("v").toPandas()["v"]) == ["a", "b", "c", "d"]
+
+
+def test_scope_guard(spark):
+    allowed = spark.range(3).toDF("image_id")
+    validate.require_scope(spark.range(2).toDF("image_id"), allowed)
+    with pytest.raises(ValueError, match="scope"):
+        validate.require_scope(spark.range(5).toDF("image_id"), allowed)
+
+
+def test_reasons_that_are_null_or_no_json(spark):
+    rows = spark.createDataFrame([(None, None, None), ([], "", ""), (["x"], "[1, ", "s"), (["x", "y"], '{"a": 1}', None)], "l array<string>, r string, s string")
+    got = [tuple(r) for r in rows.select(text.joined_reasons(F.col("l")), text.reasons_payload(F.col("r"), F.col("s"))).collect()]
+    default = "Single appearance in network with low risk indicators."
+    assert got == [(default, "{}"), (default, "{}"), ("x", '{"raw_reasons":"[1, "}'), ("x | y", '{"a":1}')]
