@@ -67,11 +67,11 @@ class SharedTables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = new_path(self.spark, name)
         for written in _open_scopes:
             written.append(path)
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
         self.paths[name] = self.paths.get(name, ()) + (path,)
         return self.spark.read.schema(df.schema).parquet(path)
 
