@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables with production parameters."""
+"""The registered queries of the thirteen operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casenet.llm import byte_bpe, chat_format, exact_dedup, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from casenet.llm import byte_bpe, chat_format, conversation_repair, exact_dedup, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, spelling_variants, suffix_dedup, token_counts, toxicity
 from casenet.plans.shared import SharedTables
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,8 +72,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85, bands=24, rows=6)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(table(spark, sf_dir, "documents"), misspell_every=97))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report_digests(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_packing, op3_toxicity, op4_byte_bpe, op5_suffix_dedup, op6_quality_rules, op7_exact_dedup, op8_chat_format, op9_token_counts, op10_minhash)
+    own = (op1_quality, op2_packing, op3_toxicity, op4_byte_bpe, op5_suffix_dedup, op6_quality_rules, op7_exact_dedup, op8_chat_format, op9_token_counts, op10_minhash, op11_spelling_variants, op12_line_dedup, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
@@ -95,4 +107,12 @@ def oracle_sql() -> dict[str, str]:
                     CAST(sum(32 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
                 FROM turns GROUP BY conv_id)
             SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM read""",
+        "op12_line_dedup": r"""
+            WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+            lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+            keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+            repeated AS (SELECT key, max(doc_id) AS keep_id FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+            judged AS (SELECT doc_id, line, place, coalesce(doc_id <> keep_id, false) AS gone FROM keyed LEFT JOIN repeated USING (key))
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+            FROM judged GROUP BY doc_id""",
     }
