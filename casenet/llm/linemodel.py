@@ -55,7 +55,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray, words: tk.Words | None = N
     stutter = np.zeros(len(words.start), dtype=bool)
     stutter[1:] = (words.hash[1:] == words.hash[:-1]) & (row_of_word[1:] == row_of_word[:-1])
     stuttered = np.bincount(row_of_word, weights=stutter, minlength=len(rows.start))
-    again = tk.repeats_earlier(rows.doc, tk.span_hash(words.prefix, rows.start, rows.end)) & (n_words > 0)
+    again = tk.repeats_earlier(rows.doc, tk.span_hash(words.data, rows.start, rows.end)) & (n_words > 0)
     last = np.zeros(len(rows.start), dtype=bool)
     if len(data):
         last = (rows.end > rows.start) & _STOP[data[np.maximum(rows.end - 1, 0)]]

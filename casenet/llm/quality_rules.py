@@ -34,7 +34,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, words: tk.Words) -> dict[
     has_word = np.searchsorted(words.start, rows.end) > np.searchsorted(words.start, rows.start)
     at = np.flatnonzero(has_word)
     line_doc = rows.doc[at]
-    again = tk.repeats_earlier(line_doc, tk.span_hash(words.prefix, rows.start[at], rows.end[at]))
+    again = tk.repeats_earlier(line_doc, tk.span_hash(words.data, rows.start[at], rows.end[at]))
     doc = words.doc
     start = tk.whole_windows(words.first, WINDOW)
     covered = np.zeros(len(words.start) + 1, dtype=np.int64)

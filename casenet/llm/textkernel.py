@@ -1,8 +1,8 @@
 """Vectorised text primitives on the UTF-8 bytes of an Arrow string column.
 
 Words are the maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``. A word's
-64-bit hash is a polynomial over its bytes taken from one prefix sum, so a
-whole chunk of documents is hashed without a Python loop over words.
+64-bit hash is a sum over its mixed blocks of eight bytes, so a whole chunk of
+documents is hashed without a Python loop over words.
 Everything here is local to a task; Spark partitions and shuffles the rows.
 """
 
@@ -16,18 +16,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(718281828).integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
+_BASE = U64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[ord("A") : ord("Z") + 1] += 32
 
-_powers = {"up": np.ones(1, dtype=U64), "down": np.ones(1, dtype=U64)}
-
-
 def flags(characters: bytes) -> np.ndarray:
     """256-entry table that is true for the given bytes."""
     table = np.zeros(256, dtype=bool)
@@ -43,14 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, 1 << 16), _BASE if kind == "up" else _INVERSE, dtype=U64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
-
-
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of about ``limit`` bytes; a null is empty, a longer text stands alone."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,25 +66,30 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
-    prefix: np.ndarray
+    data: np.ndarray
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span, the same wherever the bytes stand."""
-    with np.errstate(over="ignore"):
-        raw = (prefix[end] - prefix[start]) * _power("down", len(prefix))[start]
-        return mix(raw + (end - start).astype(U64))
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    prefix = np.zeros(len(data) + 1, dtype=U64)
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte span, the same wherever the bytes stand: each eight bytes are mixed with their place in the span and then summed."""
+    blocks = (end - start + 7) >> 3
+    owner = np.repeat(np.arange(len(start)), blocks)
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(len(owner)) - first[owner]
+    at = start[owner] + 8 * place
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    places = mix(np.arange(1, int(blocks.max(initial=0)) + 1, dtype=U64))
+    total = np.zeros(len(start), dtype=U64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * _power("up", len(data)), out=prefix[1:])
-    return prefix
+        value = mix((eight[at] & _FIRST_BYTES[np.minimum(end[owner] - at, 8)]) * _BASE ^ places[place])
+        some = np.flatnonzero(blocks)
+        if len(some):
+            total[some] = np.add.reduceat(value, first[some])
+        return mix(total + (end - start).astype(U64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -112,12 +105,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
         after[edges - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    prefix = prefix_sums(data)
-    return Words(start, end, np.searchsorted(start, offsets), span_hash(prefix, start, end), prefix)
+    return Words(start, end, np.searchsorted(start, offsets), span_hash(data, start, end), data)
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` items from each position on; ``len(hashes) - n + 1`` values (none if too few)."""
+    """Hash of the ``n`` items from each position on, mixed at each doubling; ``len(hashes) - n + 1`` values (none if too few)."""
     if len(hashes) < n:
         return np.zeros(0, dtype=U64)
     total = len(hashes) - n + 1
@@ -126,13 +118,13 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         while left:
             if left & 1:
-                result = result * U64(pow(_BASE, size, 1 << 64)) + block[done : done + total]
+                result = mix(result * _BASE + block[done : done + total])
                 done += size
             left >>= 1
             if left:
-                block = block[:-size] * U64(pow(_BASE, size, 1 << 64)) + block[size:]
+                block = mix(block[:-size] * _BASE + block[size:])
                 size *= 2
-    return mix(result + U64(n))
+        return mix(result + U64(n))
 
 
 def whole_windows(first: np.ndarray, n: int) -> np.ndarray:

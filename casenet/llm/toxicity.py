@@ -56,7 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         keep = np.flatnonzero(end - words.start >= size)
         docs.append(doc[keep])
         at.append(keep)
-        bucket.append(tk.mix(tk.span_hash(words.prefix, words.start[keep], words.start[keep] + size) + tk.U64(k + 1)))
+        bucket.append(tk.mix(tk.span_hash(words.data, words.start[keep], words.start[keep] + size) + tk.U64(k + 1)))
     return np.concatenate(docs), np.concatenate(at), (np.concatenate(bucket) >> tk.U64(64 - BITS)).astype(np.int64)
 
 
