@@ -26,6 +26,12 @@ from pyspark.sql import functions as F
 from casenet.plans.shared import SharedTables, delete, new_path
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, n_seen bigint, batch string"
+ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 16, 1 << 15
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of an index that is to hold about ``rows`` digests: about 500,000 of them, 30 MB, in each sort."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
 
 
 def text_digest(text: Column) -> Column:
@@ -45,7 +51,7 @@ class DigestIndex:
     rows of that text the batch held.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
         self.spark, self.path, self.buckets = spark, path or new_path(spark, "digest-index"), buckets
         self.table = f"digest_index_{uuid.uuid4().hex[:12]}"
         spark.sql(f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
@@ -87,8 +93,12 @@ def look_up(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def judge(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """``look_up`` for rows (doc_id, digest) that are hashed already."""
-    return _report(rows, index.groups().hint("merge"))
+    """``look_up`` for rows (doc_id, digest) that are hashed already.
+
+    The groups become a plain table first: beside a bucketed one, the rows of a
+    digest that very many texts share could not be split over tasks.
+    """
+    return _report(rows, SharedTables(rows.sparkSession).write(index.groups(), "groups"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
@@ -117,11 +127,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows equal in id and text one stays.
+    """The rows of ``docs`` that stay, with their own columns; of rows equal in id and text one stays, the least by text and then by the others as JSON.
 
     A row is known by its id and digest, for different texts may share an id or have none.
     """
-    own = index or DigestIndex(docs.sparkSession)
+    own = index or DigestIndex(docs.sparkSession, buckets=buckets_for(docs.count()))
     judged = deduplicate(docs, own, batch).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__of"), "kept")
     if index is None:
         own.delete()
@@ -130,5 +140,6 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, batch: str | N
     kept = rows.join(judged.where(~F.col("kept")).select("__id", "__of").distinct(), same, "left_anti")
     twice = judged.where("kept").groupBy("__id", "__of").count().where("count > 1").select("__id", "__of")
     once = kept.join(twice, same, "left_anti").drop("__digest")
-    again = kept.join(twice, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))))  # an order for columns of any type
+    again = kept.join(twice, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min_by(F.struct(*docs.columns), F.struct("text", rest)).alias("row"))
     return once.unionByName(again.select("row.*"))

@@ -46,9 +46,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table comes as two batches, by doc_id, through one index; what the index then holds judges every row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     middle = (ends[0] or 0) + ((ends[1] or 0) - (ends[0] or 0)) // 2
-    index = exact_dedup.DigestIndex(spark)
+    index = exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(ends[2]))
     first = exact_dedup.deduplicate(docs.where(F.col("doc_id") <= middle), index, "first")
     second = exact_dedup.deduplicate(docs.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()), index, "second")
     rows = first.unionByName(second).select("doc_id", F.unhex("text_sha256").alias("digest"))

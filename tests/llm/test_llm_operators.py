@@ -706,3 +706,41 @@ def test_word_hashes_name_words_and_not_places():
     assert h[0] == h[2] != h[1] == h[3] == h[4] and h[5] == h[6]
     assert len(textkernel.ngrams(h, 3)) == len(h) - 2
     assert textkernel.ngrams(h, 2)[0] == textkernel.ngrams(h[:2], 2)[0]
+
+
+def doubled_letters(n):
+    """The two-letter sequence made by doubling with complement, and its complement: a polynomial hash to the base of an odd number modulo 2^64 takes them as one."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 1024, 2048, 4096])
+def test_texts_that_defeat_a_polynomial_have_hashes_of_their_own(size):
+    import pyarrow as pa
+
+    one, other = doubled_letters(size)
+    (_, _, data, offsets) = next(iter(textkernel.chunks(pa.array([one, other]))))
+    assert len(set(textkernel.words(data, offsets).hash)) == 2
+    windows = textkernel.ngrams(np.array([ord(c) for c in one + other], dtype=np.uint64), size)
+    assert windows[0] != windows[-1]
+
+
+def test_unlike_words_of_one_polynomial_are_not_linked_or_repeated(spark):
+    one, other = doubled_letters(4096)
+    judged = minhash_dedup.near_duplicates(documents(spark, [(1, one), (2, other)]), 3, 85, 24, 6)
+    assert all(r["kept"] for r in judged.collect())
+
+
+@pytest.mark.parametrize("kind", ["map<string,int>", "variant"])
+def test_columns_without_an_order_pass_the_exact_stage(spark, kind):
+    rows = [(1, "a b", '{"k": 2}'), (1, "a b", '{"k": 1}'), (2, "a  b", '{"k": 3}'), (3, "c", '{"k": 4}')]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more string").withColumn("more", F.parse_json("more") if kind == "variant" else F.from_json("more", kind))
+    kept = exact_dedup.keep_first(docs)
+    assert kept.schema == docs.schema
+    assert sorted((r["doc_id"], r["text"], r["k"]) for r in kept.select("doc_id", "text", (F.try_variant_get("more", "$.k", "int") if kind == "variant" else F.col("more")["k"]).alias("k")).collect()) == [(1, "a b", 1), (3, "c", 4)]
+
+
+def test_buckets_follow_the_rows():
+    assert [exact_dedup.buckets_for(n) for n in (0, 1000, 50_000_000, 10**12)] == [16, 16, 100, 1 << 15]
