@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casenet.functions import text as T
+from casenet.functions.taxonomy import ENTITY_TYPES
 from casenet.operators.validate import bad_spans
 
 VERSION = "1.0"
 LOW_OCR = 0.60
+# Fixed value: where a person's text turns into a station's.
 SPLIT = r"(?i),\s*([^,]+(?:P\.S\.?|PS|Police\s+Station).*)$"
 _MENTION = "array<struct<entity_type:string,raw_value:string,normalized_value:string,start_char:int,extraction_confidence:double,extraction_method:string>>"
 
@@ -65,24 +67,31 @@ def rejected(mentions: DataFrame) -> DataFrame:
 def rejected_documents(requested: DataFrame, documents: DataFrame) -> DataFrame:
     """Requested images without a usable document: image_id and the reason.
 
-    ``documents``: image_id, fir_id, evidence_id, metadata_text (JSON text).
+    ``documents``: image_id, fir_id, evidence_id, metadata_text (JSON text). JSON
+    that parses but holds no array of records is ``metadata_without_records``; an
+    empty array is a document without tokens and no rejection.
     """
-    usable = documents.select("image_id", "fir_id", "evidence_id", "metadata_text", F.try_parse_json("metadata_text").isNull().alias("__broken"))
+    usable = documents.select("image_id", "fir_id", "evidence_id", "metadata_text", F.try_parse_json("metadata_text").isNull().alias("__broken"), F.from_json("metadata_text", STORED)["ocr_records"].isNull().alias("__bare"))
     rows = requested.select("image_id").distinct().join(usable, "image_id", "left")
-    reason = F.when(F.col("fir_id").isNull(), "fir_missing").when(F.col("evidence_id").isNull(), "evidence_missing").when(F.col("__broken"), "metadata_unreadable")
+    reason = F.when(F.col("fir_id").isNull(), "fir_missing").when(F.col("evidence_id").isNull(), "evidence_missing").when(F.col("__broken"), "metadata_unreadable").when(F.col("__bare"), "metadata_without_records")
     return rows.select("image_id", reason.alias("reason")).where("reason is not null")
 
 
 STORED = "dataset_image_id bigint, image_name string, ocr_records array<struct<source_index: int, bbox: array<double>, score: double, category_id: int, original_text: string>>"
 
 
+def _stored_documents(requested: DataFrame, firs: DataFrame, evidence: DataFrame) -> DataFrame:
+    return firs.select("image_id", "fir_id", "case_id").join(evidence.select("fir_id", "case_id", "evidence_id", "metadata_text"), ["fir_id", "case_id"], "left").join(requested.select("image_id").distinct(), "image_id", "left_semi")
+
+
 def extraction_job(requested: DataFrame, firs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mentions of the ``requested`` images from their stored evidence, and the rejections (image_id, reason) of images and spans.
 
     ``firs``: fir_id, case_id, image_id; ``evidence``: evidence_id, fir_id,
-    case_id, metadata_text, the nested JSON that holds the tokens.
+    case_id, metadata_text, the nested JSON that holds the tokens. Every
+    requested image has mentions, a rejection, or records without a mention.
     """
-    stored = firs.select("image_id", "fir_id", "case_id").join(evidence.select("fir_id", "case_id", "evidence_id", "metadata_text"), ["fir_id", "case_id"], "left").join(requested.select("image_id").distinct(), "image_id", "left_semi")
+    stored = _stored_documents(requested, firs, evidence)
     whole = stored.withColumn("m", F.from_json("metadata_text", STORED)).where("m.ocr_records is not null")
     tokens = whole.select("case_id", "fir_id", "evidence_id", "image_id", F.col("m.image_name").alias("image_name"), F.explode("m.ocr_records").alias("t"))
     corner = lambda k, name: F.try_element_at("t.bbox", F.lit(k)).alias(name)
@@ -91,6 +100,17 @@ def extraction_job(requested: DataFrame, firs: DataFrame, evidence: DataFrame) -
     return accepted(mentions), rejected_documents(requested, stored).unionByName(rejected(mentions).select("image_id", "reason"))
 
 
+def extraction_report(requested: DataFrame, firs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row that accounts for every requested image: images rejected, processed, and processed without a record; their records and mentions."""
+    mentions, rejections = extraction_job(requested, firs, evidence)
+    sizes = _stored_documents(requested, firs, evidence).select("image_id", F.size(F.from_json("metadata_text", STORED)["ocr_records"]).alias("n")).where("n >= 0")
+    asked = requested.agg(F.count_distinct("image_id").alias("n_requested"))
+    whole = sizes.agg(F.count_distinct("image_id").alias("n_processed"), F.count_if(F.col("n") == 0).alias("n_without_records"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_records"))
+    lost = rejections.agg(F.count_distinct(F.when(F.col("reason") != "invalid_span", F.col("image_id"))).alias("n_rejected_images"), F.count_if(F.col("reason") == "invalid_span").alias("n_rejected_spans"))
+    found = mentions.agg(F.count(F.lit(1)).alias("n_mentions"), F.count_if("low_ocr_confidence").alias("n_low_ocr"), F.count_if(~F.coalesce(F.col("entity_type").isin(*ENTITY_TYPES), F.lit(False))).alias("n_unsupported"))
+    return asked.join(whole, how="cross").join(lost, how="cross").join(found, how="cross")
+
+
 def confident(mentions: DataFrame, least: float = 0.60) -> DataFrame:
     return mentions.where(F.col("final_confidence") >= least)
 

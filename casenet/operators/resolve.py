@@ -4,19 +4,20 @@ Institutions and statutes are one entity across the documents of a case;
 persons who share a name are one entity within a document only, unless the
 caller asks for merging. The first mention of a key (document, token, span
 order) names it. Firsts come from partial aggregates by name and document, joined
-back by both, so a name with very many mentions meets in no task.
+back by both, so the mentions of a frequent name meet in no task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casenet.functions.taxonomy import BUSINESS_IDENTIFIERS, ENTITY_TYPES
+from casenet.plans.shared import Manifest, SharedTables, delete, exists, new_path
+from casenet.sources.sinks import append_new, one_of_each
 
-KEY = ("case_id", "entity_type", "norm_key")
 ORDER = ("batch", "image_id", "source_index", "span_index")
 
 
@@ -40,43 +41,129 @@ def _decision_reason(decision: Column) -> Column:
     )
 
 
-def resolve(mentions: DataFrame, merge_persons: bool = False) -> DataFrame:
-    """Add ``decision``, ``reason``, ``entity_key`` and ``entity_name`` to each mention; ambiguous ones get no entity.
-
-    ``mentions`` may hold a ``batch`` column: lower batches were stored earlier
-    and come first in every order.
-    """
+def _keyed(mentions: DataFrame, merge_persons: bool) -> DataFrame:
+    """Mentions with ``group_key`` (what may be one entity), ``entity_key`` and ``by_document``; keys are null where a mention is ambiguous."""
     rows = mentions if "batch" in mentions.columns else mentions.withColumn("batch", F.lit(1))
-    rows = rows.withColumns({"norm_key": F.lower(F.trim("normalized_value")), "supported": F.coalesce(F.col("entity_type").isin(*ENTITY_TYPES), F.lit(False))})
+    rows = rows.withColumns({"__norm": F.lower(F.trim("normalized_value")), "supported": F.coalesce(F.col("entity_type").isin(*ENTITY_TYPES), F.lit(False)), "by_document": (F.col("entity_type") == "PERSON") if not merge_persons else F.lit(False)})
     clear = F.col("supported") & (F.length(F.coalesce(F.trim("normalized_value"), F.lit(""))) >= 2)
-    rows = rows.withColumn("norm_key", F.when(clear, F.col("norm_key")))
-    by_document = (F.col("entity_type") == "PERSON") if not merge_persons else F.lit(False)
-    rows = rows.withColumn("entity_key", F.when(clear, F.when(by_document, entity_key(F.col("case_id"), F.col("entity_type"), F.col("norm_key"), F.col("fir_id"))).otherwise(entity_key(F.col("case_id"), F.col("entity_type"), F.col("norm_key")))))
-    place = F.struct(*ORDER)
-    known = rows.where("norm_key is not null")
-    in_document = known.groupBy(*KEY, "fir_id").agg(F.min(F.struct(place.alias("place"), "raw_value")).alias("own"))
-    firsts = in_document.groupBy(*KEY).agg(F.min(F.struct(F.col("own.place").alias("place"), "fir_id", F.col("own.raw_value").alias("raw_value"))).alias("first"))
-    same_key = lambda a, b, names: reduce(Column.__and__, (a[c].eqNullSafe(b[f"__{c}"]) for c in names))
-    renamed = lambda df: df.toDF(*(f"__{c}" if c in (*KEY, "fir_id") else c for c in df.columns))
-    there = renamed(firsts)
-    named = renamed(in_document.join(there, same_key(in_document, there, KEY)).select(*KEY, "fir_id", "own", "first"))
-    joined = rows.join(named, same_key(rows, named, (*KEY, "fir_id")), "left").drop(*(f"__{c}" for c in (*KEY, "fir_id")))
-    same = F.col("fir_id").eqNullSafe(F.col("first.fir_id"))
+    group = entity_key(F.col("case_id"), F.col("entity_type"), F.col("__norm"))
+    own = F.when(F.col("by_document"), entity_key(F.col("case_id"), F.col("entity_type"), F.col("__norm"), F.col("fir_id"))).otherwise(group)
+    return rows.withColumns({"group_key": F.when(clear, group), "entity_key": F.when(clear, own)}).drop("__norm")
+
+
+def _in_documents(rows: DataFrame) -> DataFrame:
+    """The first mention of each group in each document: group_key, fir_id, by_document, ``own`` (place and raw value)."""
+    known = rows.where("group_key is not null")
+    return known.groupBy("group_key", "fir_id").agg(F.min(F.struct(F.struct(*ORDER).alias("place"), "raw_value")).alias("own"), F.first("by_document").alias("by_document"))
+
+
+def _firsts(in_documents: DataFrame) -> DataFrame:
+    return in_documents.groupBy("group_key").agg(F.min(F.struct(F.col("own.place").alias("place"), "fir_id", F.col("own.raw_value").alias("raw_value"))).alias("first"))
+
+
+def _decided(rows: DataFrame, in_documents: DataFrame) -> DataFrame:
+    named = in_documents.select("group_key", "fir_id", "own").join(_firsts(in_documents), "group_key").toDF("__group", "__fir", "own", "first")
+    joined = rows.join(named, (F.col("group_key") == F.col("__group")) & F.col("fir_id").eqNullSafe(F.col("__fir")), "left").drop("__group", "__fir")
     decision = (
-        F.when(F.col("norm_key").isNull(), "KEPT_SEPARATE_AMBIGUOUS")
-        .when(place == F.col("first.place"), "CREATED_NEW")
-        .when(same, "MATCHED_EXISTING_SAME_FIR")
-        .when(by_document, "KEPT_SEPARATE_CROSS_FIR")
+        F.when(F.col("group_key").isNull(), "KEPT_SEPARATE_AMBIGUOUS")
+        .when(F.struct(*ORDER) == F.col("first.place"), "CREATED_NEW")
+        .when(F.col("fir_id").eqNullSafe(F.col("first.fir_id")), "MATCHED_EXISTING_SAME_FIR")
+        .when(F.col("by_document"), "KEPT_SEPARATE_CROSS_FIR")
         .otherwise("MATCHED_EXISTING_CROSS_FIR")
     )
-    joined = joined.withColumns({"decision": decision, "entity_name": F.trim(F.when(by_document, F.col("own.raw_value")).otherwise(F.col("first.raw_value")))})
-    return joined.withColumn("reason", _decision_reason(F.col("decision"))).drop("first", "own", "supported", "norm_key")
+    joined = joined.withColumns({"decision": decision, "entity_name": F.trim(F.when(F.col("by_document"), F.col("own.raw_value")).otherwise(F.col("first.raw_value")))})
+    return joined.withColumn("reason", _decision_reason(F.col("decision"))).drop("first", "own", "supported", "by_document", "group_key")
+
+
+def resolve(mentions: DataFrame, merge_persons: bool = False) -> DataFrame:
+    """Add ``decision``, ``reason``, ``entity_key`` and ``entity_name`` to each mention; ambiguous ones get no entity.
+
+    ``mentions`` may hold a ``batch`` column: lower batches were stored earlier
+    and come first in every order. The documents of one name meet its first
+    mention in a plain join, whose larger side AQE can split; its mentions don't.
+    """
+    rows = _keyed(mentions, merge_persons)
+    return _decided(rows, _in_documents(rows))
 
 
-def resolve_incremental(stored: DataFrame, incoming: DataFrame, merge_persons: bool = False) -> DataFrame:
-    """Resolutions of ``incoming`` against everything stored before; stored persons keep their documents."""
-    both = stored.withColumn("batch", F.lit(0)).unionByName(incoming.withColumn("batch", F.lit(1)))
-    return resolve(both, merge_persons).where("batch = 1")
+STATE_COLUMNS = "group_key string, fir_id bigint, image_id bigint, source_index int, span_index int, raw_value string, by_document boolean"
+
+
+class EntityState:
+    """Stored entities, for resolution without their mentions: a table bucketed and sorted by group key, one partition for each batch.
+
+    A row is the first mention of an entity: its group, document, place and raw
+    value (persons are entities of a document, others of a case). Each bucket is
+    read where it lies, and a batch is dealt to the buckets. The manifest names
+    the batches that count; a partition that it does not name is what a failure
+    left, is never read and is written anew. ``path`` opens a state again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16, merge_persons: bool = False):
+        self.spark, self.path = spark, path or new_path(spark, "entity-state")
+        self.manifest = Manifest(spark, f"{self.path}/_manifest")
+        begun = self.manifest.entries()
+        if not begun:
+            self.manifest.commit({"buckets": buckets, "merge_persons": merge_persons})
+            begun = self.manifest.entries()
+        self.buckets, self.merge_persons = begun[0]["buckets"], begun[0]["merge_persons"]
+        self.table = f"entity_state_{uuid.uuid4().hex[:12]}"
+        spark.sql(f"CREATE TABLE {self.table} ({STATE_COLUMNS}, batch int) USING parquet PARTITIONED BY (batch) CLUSTERED BY (group_key) SORTED BY (group_key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/entities'")
+        if exists(spark, f"{self.path}/entities"):
+            spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
+
+    def batches(self) -> dict[str, int]:
+        """Number of each stored batch by its name."""
+        return {entry["batch"]: k for k, entry in enumerate(self.manifest.entries()) if "batch" in entry}
+
+    def read(self) -> DataFrame:
+        """The stored entities of all batches that count."""
+        return self.spark.table(self.table).where(F.col("batch") <= max(self.batches().values(), default=0))
+
+    def known(self, groups: DataFrame) -> DataFrame:
+        """Stored entities of ``groups`` (group_key, each once)."""
+        return self.read().join(groups.repartition(self.buckets, "group_key"), "group_key", "left_semi")
+
+    def add(self, entities: DataFrame, batch: str) -> None:
+        """Store the entities of a batch that is new, and then name it."""
+        number = len(self.manifest.entries())
+        delete(self.spark, f"{self.path}/entities/batch={number}")
+        rows = entities.withColumn("batch", F.lit(number)).repartition(self.buckets, "group_key")
+        rows.write.format("parquet").mode("append").partitionBy("batch").bucketBy(self.buckets, "group_key").sortBy("group_key").option("path", f"{self.path}/entities").saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
+        self.manifest.commit({"batch": batch})
+
+    def close(self) -> None:
+        """Forget the catalog name; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def delete(self) -> None:
+        self.close()
+        delete(self.spark, self.path)
+
+
+def resolve_incremental(state: EntityState, incoming: DataFrame, batch: str) -> DataFrame:
+    """Resolutions of ``incoming`` against the entities stored before, which are read instead of their mentions; stores what is new.
+
+    A batch that comes again under its name is decided as at first and adds
+    nothing. Stored persons keep their documents.
+    """
+    tables = SharedTables(state.spark)
+    number = state.batches().get(batch)
+    rows = _keyed(incoming.withColumn("batch", F.lit(len(state.manifest.entries()) if number is None else number)), state.merge_persons)
+    own = tables.write(_in_documents(rows), "in-documents")
+    stored = state.known(own.select("group_key").distinct())
+    known = tables.write(stored.select("group_key", "fir_id", F.struct(F.struct(*ORDER).alias("place"), "raw_value").alias("own"), "by_document"), "known")
+    whole = own.unionByName(known).groupBy("group_key", "fir_id").agg(F.min("own").alias("own"), F.first("by_document").alias("by_document"))
+    resolved = tables.write(_decided(rows, whole), "resolved")
+    if number is None:
+        persons = own.where("by_document").join(known.select("group_key", F.col("fir_id").alias("__fir"), F.lit(True).alias("__old")), (own["group_key"] == known["group_key"]) & F.col("fir_id").eqNullSafe(F.col("__fir")), "left_anti")
+        others = _firsts(own.where(~F.col("by_document")).join(known.select("group_key").distinct(), "group_key", "left_anti"))
+        place = [F.col(f"place.{c}").alias(c) for c in ORDER if c != "batch"]
+        fresh = persons.select("group_key", "fir_id", "own.*", "by_document").unionByName(others.select("group_key", "first.*", F.lit(False).alias("by_document"))).select("group_key", "fir_id", *place, "raw_value", "by_document")
+        state.add(tables.write(fresh, "fresh"), batch)
+    tables.drop("in-documents", "known", "fresh")
+    return resolved
 
 
 def entities(resolutions: DataFrame) -> DataFrame:
@@ -89,10 +176,10 @@ def entities(resolutions: DataFrame) -> DataFrame:
 
 
 def provenance(resolutions: DataFrame) -> DataFrame:
-    """One row for each mention of an entity, with key, span, confidences and box; repeated coordinates are one row."""
+    """One row for each mention of an entity, with key, span, confidences and box; of repeated coordinates the least row."""
     rows = resolutions.where("entity_key is not null").withColumn("mention_key", mention_key(F.col("evidence_id"), F.col("source_index"), F.col("start_char"), F.col("end_char")))
     columns = ["mention_key", "entity_key", "evidence_id", "source_index", "category_id", "start_char", "end_char", "raw_value", "ocr_confidence", "extraction_confidence", "final_confidence", "low_ocr_confidence", "extraction_method", "extractor_version", "x1", "y1", "x2", "y2"]
-    return rows.select(*columns).dropDuplicates(["mention_key"])
+    return one_of_each(rows.select(*columns), "mention_key")
 
 
 def scope_entities(image_ids: DataFrame, firs: DataFrame, evidence: DataFrame, provenance: DataFrame, entities: DataFrame) -> DataFrame:
@@ -110,7 +197,6 @@ def resolution_job(mentions: DataFrame, evidence: DataFrame, path: str, requeste
     owned by its evidence. A second run appends nothing.
     """
     from casenet.operators.validate import ownership, require_scope
-    from casenet.sources.sinks import append_new
 
     if allowed is not None:
         require_scope(requested, allowed)
@@ -142,9 +228,9 @@ def run_report(resolutions: DataFrame, stored_entities: DataFrame) -> DataFrame:
 
 
 def business_identifiers(resolutions: DataFrame) -> DataFrame:
-    """Identifier rows of the allowed types from an ``identifiers`` array column, one for each entity, type and value."""
+    """Identifiers of the allowed types from an ``identifiers`` array column, one row for each entity, type and value, with the least evidence that holds it."""
     rows = resolutions.where("entity_key is not null").select("entity_key", "evidence_id", F.explode("identifiers").alias("i")).select("entity_key", "i.*", F.col("evidence_id").alias("source_evidence_id"))
-    return rows.where(F.col("identifier_type").isin(*BUSINESS_IDENTIFIERS))
+    return one_of_each(rows.where(F.col("identifier_type").isin(*BUSINESS_IDENTIFIERS)), "entity_key", "identifier_type", "identifier_value", first="source_evidence_id")
 
 
 # Patterns of identifiers in free text (ours); digits keep their separators in the raw value.

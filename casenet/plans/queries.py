@@ -257,14 +257,21 @@ def resolve_metrics(spark, sf_dir):
 
 _BATCHED = {
     "b": "SELECT *, CASE WHEN image_id % 4 = 0 THEN 1 ELSE 0 END AS batch FROM keyed",
-    "r": "SELECT *, row_number() OVER k AS rn, first_value(fir_id) OVER k AS first_fir FROM b WINDOW k AS (PARTITION BY case_id, entity_type, norm_key ORDER BY batch, image_id, source_index, span_index)",
+    "r": """SELECT *, row_number() OVER k AS rn, first_value(fir_id) OVER k AS first_fir, CASE WHEN norm_key IS NOT NULL THEN sha256(concat_ws('|', case_id, entity_type, norm_key, CASE WHEN entity_type = 'PERSON' THEN fir_id END)) END AS entity_key FROM b
+        WINDOW k AS (PARTITION BY case_id, entity_type, norm_key ORDER BY batch, image_id, source_index, span_index)""",
+    "n": "SELECT *, CASE WHEN entity_key IS NOT NULL THEN trim(first_value(raw_value) OVER (PARTITION BY entity_key ORDER BY batch, image_id, source_index, span_index)) END AS entity_name FROM r",
 }
 
 
-@query(sql("SELECT image_id, source_index, span_index, CASE WHEN norm_key IS NULL THEN 'KEPT_SEPARATE_AMBIGUOUS' WHEN rn = 1 THEN 'CREATED_NEW' WHEN fir_id = first_fir THEN 'MATCHED_EXISTING_SAME_FIR' WHEN entity_type = 'PERSON' THEN 'KEPT_SEPARATE_CROSS_FIR' ELSE 'MATCHED_EXISTING_CROSS_FIR' END AS decision FROM r WHERE batch = 1", "keyed", extra=_BATCHED))
+@query(sql("SELECT image_id, source_index, span_index, CASE WHEN norm_key IS NULL THEN 'KEPT_SEPARATE_AMBIGUOUS' WHEN rn = 1 THEN 'CREATED_NEW' WHEN fir_id = first_fir THEN 'MATCHED_EXISTING_SAME_FIR' WHEN entity_type = 'PERSON' THEN 'KEPT_SEPARATE_CROSS_FIR' ELSE 'MATCHED_EXISTING_CROSS_FIR' END AS decision, entity_key, entity_name FROM n WHERE batch = 1", "keyed", extra=_BATCHED))
 def resolve_incremental(spark, sf_dir):
+    """Mentions of a quarter of the images against the entities that the others left."""
     rows = C.mentions(spark, sf_dir)
-    return resolve.resolve_incremental(rows.where("image_id % 4 <> 0"), rows.where("image_id % 4 = 0")).select("image_id", "source_index", "span_index", "decision")
+    state = resolve.EntityState(spark)
+    resolve.resolve_incremental(state, rows.where("image_id % 4 <> 0"), "first")
+    later = resolve.resolve_incremental(state, rows.where("image_id % 4 = 0"), "second")
+    state.delete()
+    return later.select("image_id", "source_index", "span_index", "decision", "entity_key", "entity_name")
 
 
 @query(sql("SELECT decision, count(*) AS n FROM (SELECT CASE WHEN norm_key IS NULL THEN 'KEPT_SEPARATE_AMBIGUOUS' WHEN rn = 1 THEN 'CREATED_NEW' WHEN fir_id = first_fir THEN 'MATCHED_EXISTING_SAME_FIR' ELSE 'MATCHED_EXISTING_CROSS_FIR' END AS decision FROM ranked) GROUP BY 1", "ranked"))
@@ -418,6 +425,12 @@ def louvain(spark, sf_dir):
     return C.communities(spark, sf_dir)
 
 
+@query(sql("""SELECT x.entity_type, x.v AS a, y.v AS b, round(1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v)), 4) AS ratio FROM (SELECT DISTINCT entity_type, lower(normalized_name) AS v FROM entities) x
+    JOIN (SELECT DISTINCT entity_type, lower(normalized_name) AS v FROM entities) y ON x.entity_type = y.entity_type AND x.v < y.v WHERE abs(length(x.v) - length(y.v)) <= 0.1 * greatest(length(x.v), length(y.v)) AND 1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v)) > 0.9""", "entities"))
+def similar_names(spark, sf_dir):
+    return crossval.similar_names(C.entities(spark, sf_dir))
+
+
 @query()
 def fuzzy_groups(spark, sf_dir):
     return crossval.fuzzy_groups(C.entities(spark, sf_dir))
@@ -493,12 +506,12 @@ def alert_triage(spark, sf_dir):
     FROM entities e LEFT JOIN degrees d ON e.entity_key = d.entity_key LEFT JOIN last_runs l ON l.entity_key = e.entity_key LEFT JOIN hot h ON h.entity_key = e.entity_key""", "degrees",
     extra=_ALERTED | {"last_runs": f"SELECT entity_key, CASE WHEN degree % 2 = 0 THEN 1.0 ELSE score END AS score, CASE WHEN degree % 2 = 0 THEN 'LOW' ELSE {_TIER} END AS tier FROM exact WHERE score >= 25"}))
 def explain_entities(spark, sf_dir):
-    """Two runs: the second has analyses of entities of even degree only, and another score; the later one counts."""
+    """Two runs: the second, run-10 after run-9, has analyses of entities of even degree only, and another score; the later one counts."""
     ents, edges, scores = _scores(spark, sf_dir)
     scored = scores.where("score >= 25")
     again = scored.where("degree % 2 = 0").withColumns({"score": F.lit(1.0), "tier": F.lit("LOW")})
-    both = graph.analyses(scored, "run-1").unionByName(graph.analyses(again, "run-2"))
-    rows = graph.explain(ents, edges, graph.latest(both, "entity_key", "run_id"), graph.entity_alerts(scores, "HIGH"))
+    both = graph.analyses(scored, "run-9", 1).unionByName(graph.analyses(again, "run-10", 2))
+    rows = graph.explain(ents, edges, graph.latest(both, "entity_key", "run_sequence"), graph.entity_alerts(scores, "HIGH"))
     return rows.select("entity_key", "degree", "risk_score", F.col("n_alerts").cast("int").alias("n_alerts"), "key_factors", "explanation")
 
 
@@ -599,19 +612,68 @@ def scoped_entities(spark, sf_dir):
     return resolve.scope_entities(firs.where("image_id % 3 = 0").select("image_id"), firs, C.evidence(rows), resolve.provenance(resolved), C.entities(spark, sf_dir)).select("entity_key", "name")
 
 
-@query(sql("SELECT image_id, reason, raw_value, n FROM (SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 'fir_missing' WHEN image_id % 7 = 0 THEN 'evidence_missing' ELSE 'metadata_unreadable' END AS reason, NULL AS raw_value, 1 AS n FROM (SELECT DISTINCT image_id FROM tokens) WHERE image_id % 5 = 0 OR image_id % 7 = 0 OR image_id % 11 = 0 UNION ALL SELECT image_id, NULL, raw_value, count(*) FROM mentions WHERE image_id % 5 <> 0 AND image_id % 7 <> 0 AND image_id % 11 <> 0 GROUP BY 1, 3)", "mentions"))
-def extraction_job(spark, sf_dir):
-    """Mentions from the nested evidence of the images, and rejections of those without a usable one."""
+_ODD_METADATA = ("{\"dataset_image_id\":2}", "[1,2]", "5", "{\"ocr_records\":\"x\"}")  # JSON that holds no records
+_JOB = {
+    "verdict": """SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 'fir_missing' WHEN image_id % 7 = 0 THEN 'evidence_missing' WHEN image_id % 11 = 0 THEN 'metadata_unreadable' WHEN image_id % 13 = 0 THEN 'metadata_without_records' WHEN image_id % 17 = 0 THEN 'empty' ELSE 'ok' END AS v
+        FROM (SELECT DISTINCT image_id FROM tokens)""",
+    "good": "SELECT m.* FROM mentions m JOIN verdict USING (image_id) WHERE v = 'ok'",
+}
+
+
+def _job(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requested images, documents and evidence, some of them missing, broken, without records or with none."""
     rows = C.tokens(spark, sf_dir)
     images = rows.select("image_id", "case_id").distinct()
     written = sinks.provenance_documents(rows.withColumns({"reconstructed_order": F.col("source_index"), "normalized_text": text.collapse_space(F.col("text"))}), "set-1", "a" * 64)
     firs = images.where("image_id % 5 <> 0").select("image_id", F.col("image_id").alias("fir_id"), "case_id")
-    proof = firs.where("image_id % 7 <> 0").join(written, "image_id").select("fir_id", "case_id", F.col("image_id").alias("evidence_id"), F.when(F.col("image_id") % 11 == 0, "{broken").otherwise(F.col("metadata_text")).alias("metadata_text"))
-    mentions, rejections = extract.extraction_job(images, firs, proof)
+    k = F.col("image_id")
+    odd = F.element_at(F.array(*map(F.lit, _ODD_METADATA)), (k % len(_ODD_METADATA) + 1).cast("int"))
+    metadata = F.when(k % 11 == 0, "{broken").when(k % 13 == 0, odd).when(k % 17 == 0, '{"ocr_records":[]}').otherwise(F.col("metadata_text"))
+    proof = firs.where("image_id % 7 <> 0").join(written, "image_id").select("fir_id", "case_id", k.alias("evidence_id"), metadata.alias("metadata_text"))
+    return images, firs, proof
+
+
+@query(sql("SELECT image_id, v AS reason, NULL AS raw_value, 1 AS n FROM verdict WHERE v NOT IN ('ok', 'empty') UNION ALL SELECT image_id, NULL, raw_value, count(*) FROM good GROUP BY 1, 3", "mentions", extra=_JOB))
+def extraction_job(spark, sf_dir):
+    """Mentions from the nested evidence of the images, and rejections of those without a usable one."""
+    mentions, rejections = extract.extraction_job(*_job(spark, sf_dir))
     found = mentions.groupBy("image_id", F.lit(None).cast("string").alias("reason"), "raw_value").agg(F.count(F.lit(1)).alias("n"))
     return rejections.select("image_id", "reason", F.lit(None).cast("string").alias("raw_value"), F.lit(1).cast("bigint").alias("n")).unionByName(found)
 
 
+@query(sql("""SELECT count(*) AS n_requested, count(*) FILTER (WHERE v IN ('ok', 'empty')) AS n_processed, count(*) FILTER (WHERE v = 'empty') AS n_without_records, (SELECT count(*) FROM tokens JOIN verdict USING (image_id) WHERE v = 'ok') AS n_records,
+    count(*) FILTER (WHERE v NOT IN ('ok', 'empty')) AS n_rejected_images, 0 AS n_rejected_spans, (SELECT count(*) FROM good) AS n_mentions, (SELECT count(*) FROM good WHERE low_ocr_confidence) AS n_low_ocr, 0 AS n_unsupported FROM verdict""", "mentions", extra=_JOB))
+def extraction_report(spark, sf_dir):
+    """Every requested image is accounted for."""
+    return extract.extraction_report(*_job(spark, sf_dir))
+
+
+_ASKED = {
+    "asked": "SELECT * FROM keyed WHERE image_id % 3 = 0",
+    "a_rank": "SELECT *, row_number() OVER k AS rn, first_value(fir_id) OVER k AS first_fir FROM asked WINDOW k AS (PARTITION BY case_id, entity_type, norm_key ORDER BY image_id, source_index, span_index)",
+    "a_made": """SELECT *, CASE WHEN norm_key IS NOT NULL THEN concat_ws('|', case_id, entity_type, norm_key, CASE WHEN entity_type = 'PERSON' THEN fir_id END) END AS e, concat_ws('|', evidence_id, source_index, start_char, end_char) AS place,
+        CASE WHEN norm_key IS NULL THEN 'KEPT_SEPARATE_AMBIGUOUS' WHEN rn = 1 THEN 'CREATED_NEW' WHEN fir_id = first_fir THEN 'MATCHED_EXISTING_SAME_FIR' WHEN entity_type = 'PERSON' THEN 'KEPT_SEPARATE_CROSS_FIR' ELSE 'MATCHED_EXISTING_CROSS_FIR' END AS decision FROM a_rank""",
+}
+
+
+@query(sql("""SELECT run, count(*) AS n_mentions, count(DISTINCT e) AS n_entities, count(*) FILTER (WHERE decision = 'CREATED_NEW') AS n_created, count(*) FILTER (WHERE decision = 'MATCHED_EXISTING_SAME_FIR') AS n_same_fir, count(*) FILTER (WHERE decision = 'KEPT_SEPARATE_CROSS_FIR') AS n_person_matches_prevented,
+    count(*) FILTER (WHERE decision = 'KEPT_SEPARATE_AMBIGUOUS') AS n_ambiguous, count(*) FILTER (WHERE decision = 'MATCHED_EXISTING_CROSS_FIR' AND entity_type = 'POLICE_STATION') AS n_cross_fir_stations, count(*) FILTER (WHERE decision = 'MATCHED_EXISTING_CROSS_FIR' AND entity_type = 'STATUTE') AS n_cross_fir_statutes,
+    CASE WHEN run = 1 THEN count(DISTINCT place) FILTER (WHERE e IS NOT NULL) ELSE 0 END AS n_appended FROM a_made, (VALUES (1), (2)) r(run) GROUP BY run""", "keyed", extra=_ASKED))
+def resolution_job(spark, sf_dir):
+    """Images within their scope, resolved and stored twice: the second run appends nothing."""
+    rows, images = C.mentions(spark, sf_dir), C.tokens(spark, sf_dir).select("image_id").distinct()
+    path, runs = new_path(spark, "provenance"), []
+    for run_number in (1, 2):
+        _, metrics = resolve.resolution_job(rows, C.evidence(C.tokens(spark, sf_dir)), path, images.where("image_id % 3 = 0"), images.where("image_id % 2 = 0 or image_id % 3 = 0"))
+        runs.append(SharedTables(spark).write(metrics.withColumn("run", F.lit(run_number)), "metrics"))
+    return runs[0].unionByName(runs[1])
+
+
+@query("SELECT event_type AS entity_type, count(*) AS n_mentions FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1")
+def unsupported_types(spark, sf_dir):
+    return validate.unsupported_types(C.table(spark, sf_dir, "events").withColumnRenamed("event_type", "entity_type"), ("view", "click"))
+
+
 @query("SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents")
 def table_counts(spark, sf_dir):
     return report.table_counts({t: C.table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "documents")})
@@ -642,7 +704,7 @@ def resolve_reasons(spark, sf_dir):
     return C.resolutions(spark, sf_dir).select("image_id", "source_index", "span_index", "reason")
 
 
-@query(sql("SELECT entity_key, evidence_id AS source_evidence_id, CASE entity_type WHEN 'PERSON' THEN 'EMAIL' ELSE 'PHONE' END AS identifier_type, raw_value AS identifier_value FROM resolutions WHERE entity_key IS NOT NULL AND entity_type <> 'STATUTE'", "resolutions"))
+@query(sql("SELECT entity_key, min(evidence_id) AS source_evidence_id, CASE entity_type WHEN 'PERSON' THEN 'EMAIL' ELSE 'PHONE' END AS identifier_type, raw_value AS identifier_value FROM resolutions WHERE entity_key IS NOT NULL AND entity_type <> 'STATUTE' GROUP BY entity_key, entity_type, raw_value", "resolutions"))
 def business_identifiers(spark, sf_dir):
     """Each mention brings an identifier of its type and an alias, which is no business identifier."""
     kind = F.when(F.col("entity_type") == "PERSON", "EMAIL").when(F.col("entity_type") == "POLICE_STATION", "PHONE").otherwise("SECTION")
@@ -712,5 +774,5 @@ def provenance_documents(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of highest degree with their explanation: tokens to mentions, entities, edges and factors."""
     ents, edges, scores = _scores(spark, sf_dir)
-    rows = graph.explain(ents, edges, graph.latest(graph.analyses(scores, "run-1"), "entity_key", "run_id"), graph.entity_alerts(scores))
+    rows = graph.explain(ents, edges, graph.latest(graph.analyses(scores, "run-1"), "entity_key", "run_sequence"), graph.entity_alerts(scores))
     return rows.orderBy(F.desc("degree"), "entity_key").limit(20)

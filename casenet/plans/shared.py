@@ -6,6 +6,7 @@ a task and not the lineage behind it.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,65 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """Paths of the folders ``depth`` levels below ``path``."""
+    system, where = _located(spark, path)
+    found = [where] if system.exists(where) else []
+    for _ in range(depth):
+        found = [status.getPath() for folder in found for status in system.listStatus(folder) if status.isDirectory()]
+    return [folder.toString() for folder in found]
+
+
+class Manifest:
+    """Numbered entries in a shared folder, each a small JSON file that is created once and never changed.
+
+    Creating the file claims its number, so of two writers one takes the next. A
+    file that its writer did not finish is no entry. The driver reads them all:
+    one for each batch or run.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self) -> list[tuple[int, dict]]:
+        system, where = _located(self.spark, self.path)
+        if not system.exists(where):
+            return []
+        found = []
+        for status in system.listStatus(where):
+            number = status.getPath().getName().partition(".")[0]
+            stream = system.open(status.getPath())
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if number.isdigit() and text.endswith("\n"):
+                found.append((int(number), json.loads(text)))
+        return sorted(found, key=lambda x: x[0])
+
+    def entries(self) -> list[dict]:
+        return [entry for _, entry in self._read()]
+
+    def commit(self, entry: dict) -> int:
+        """Add an entry and return its number; numbers grow, with gaps where a writer failed."""
+        system, where = _located(self.spark, self.path)
+        names = [status.getPath().getName() for status in system.listStatus(where)] if system.exists(where) else []
+        number = max((int(name.partition(".")[0]) for name in names if name[0].isdigit()), default=-1) + 1
+        while True:
+            try:
+                stream = system.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{number:012d}.json"), False)
+                break
+            except Exception as taken:
+                if "FileAlreadyExists" not in str(taken):
+                    raise
+                number += 1
+        try:
+            stream.write(bytearray((json.dumps(entry) + "\n").encode()))
+        finally:
+            stream.close()
+        return number
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete all shared tables written inside, when their last reader is done: write what is to stay elsewhere first."""

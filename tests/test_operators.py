@@ -108,13 +108,41 @@ def test_resolution_does_not_depend_on_row_order_or_partitions(spark):
     assert sorted(map(str, resolve.resolve(gold(spark).repartition(5, "raw_value").orderBy(F.desc("image_id"))).select("image_id", "decision", "entity_key").collect())) == plain
 
 
-def test_incremental_keeps_documents_of_stored_persons(spark):
+def decided(df):
+    return [(r["decision"], r["entity_key"], r["entity_name"], r["reason"]) for r in df.orderBy("image_id").collect()]
+
+
+@pytest.mark.parametrize("merge_persons", [False, True])
+def test_incremental_resolution_reads_entities_and_decides_as_a_whole_run(spark, merge_persons):
     rows = gold(spark)
-    later = resolve.resolve_incremental(rows.where("image_id <= 2"), rows.where("image_id > 2")).orderBy("image_id").collect()
-    whole = resolve.resolve(rows).where("image_id > 2").orderBy("image_id").collect()
-    assert [(r["decision"], r["entity_key"]) for r in later] == [(r["decision"], r["entity_key"]) for r in whole]
-    merged = resolve.resolve(rows, merge_persons=True).where("image_id = 3").first()
-    assert merged["decision"] == "MATCHED_EXISTING_CROSS_FIR"
+    state = resolve.EntityState(spark, buckets=2, merge_persons=merge_persons)
+    for name, part in (("a", "image_id <= 2"), ("b", "image_id between 3 and 6"), ("c", "image_id > 6")):
+        got = decided(resolve.resolve_incremental(state, rows.where(part), name))
+        assert got == decided(resolve.resolve(rows, merge_persons).where(part))
+    stored = sorted(map(tuple, state.read().collect()), key=str)
+    assert len(stored) == (3 if merge_persons else 4)
+    assert decided(resolve.resolve_incremental(state, rows.where("image_id between 3 and 6"), "b")) == decided(resolve.resolve(rows, merge_persons).where("image_id between 3 and 6"))
+    assert sorted(map(tuple, state.read().collect()), key=str) == stored
+    state.close()
+    again = resolve.EntityState(spark, state.path)
+    assert sorted(map(tuple, again.read().collect()), key=str) == stored and again.merge_persons == merge_persons
+    plan = again.known(spark.createDataFrame([("x",)], "group_key string"))._jdf.queryExecution().toString()
+    assert "image_id" in plan and "span" in plan
+    again.delete()
+
+
+def test_a_batch_that_failed_leaves_the_state_as_it_was(spark, monkeypatch):
+    rows, state = gold(spark), resolve.EntityState(spark, buckets=2)
+    resolve.resolve_incremental(state, rows.where("image_id <= 2"), "a")
+    with monkeypatch.context() as patched:
+        patched.setattr(state.manifest, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            resolve.resolve_incremental(state, rows.where("image_id > 2").withColumn("raw_value", F.lit("half")), "b")
+    again = resolve.EntityState(spark, state.path)
+    assert list(again.batches()) == ["a"] and again.read().count() == 1
+    assert decided(resolve.resolve_incremental(again, rows.where("image_id > 2"), "b")) == decided(resolve.resolve(rows).where("image_id > 2"))
+    assert again.read().where("raw_value = 'half'").count() == 0
+    again.delete()
 
 
 def test_append_is_idempotent_with_null_keys(spark, tmp_path):
@@ -125,11 +153,37 @@ def test_append_is_idempotent_with_null_keys(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_publish_follows_the_manifest(spark, tmp_path):
+def test_the_row_that_is_stored_is_the_least(spark, tmp_path):
+    rows = [(1, "b", [2]), (1, "a", [9]), (None, "z", [1]), (None, "y", [3])]
+    for part in (rows, rows[::-1]):
+        once = sinks.one_of_each(spark.createDataFrame(part, "k bigint, v string, more array<int>").repartition(3, "v"), "k")
+        assert sorted(map(tuple, once.collect()), key=str) == [(1, "a", [9]), (None, "y", [3])]
+
+
+def test_publish_follows_the_order_of_publishing(spark, tmp_path):
     root = str(tmp_path / "pub")
-    for run in ("r1", "r2"):
+    for run in ("run-9", "run-10", "run-9"):
         sinks.publish(spark, {"t": spark.createDataFrame([(run,)], "v string")}, root, run)
-    assert [r["v"] for r in sinks.read_published(spark, root, "t").collect()] == ["r2"]
+    assert [r["v"] for r in sinks.read_published(spark, root, "t").collect()] == ["run-10"]
+    assert [r["v"] for r in sinks.read_published(spark, root, "t", "run-9").collect()] == ["run-9"]
+
+
+def test_a_failure_between_two_tables_publishes_nothing(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    good = lambda v: {t: spark.createDataFrame([(v,)], "v string") for t in ("a", "b")}
+    with pytest.raises(ValueError):
+        sinks.read_published(spark, root, "a")
+    sinks.publish(spark, good("1"), root, "r1")
+    broken = {"a": good("2")["a"], "b": good("2")["b"].withColumn("v", F.raise_error("lost"))}
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(spark, broken, root, "r2")
+    assert {t: [r["v"] for r in sinks.read_published(spark, root, t).collect()] for t in "ab"} == {"a": ["1"], "b": ["1"]}
+    sinks.publish(spark, good("2"), root, "r2")
+    (tmp_path / "pub/_manifest/000000000099.json").write_text('{"run_id"')  # a writer that died
+    assert {t: [r["v"] for r in sinks.read_published(spark, root, t).collect()] for t in "ab"} == {"a": ["2"], "b": ["2"]}
+    assert len(sinks.sweep(spark, root)) >= 1 and sinks.sweep(spark, root) == []
+    sinks.publish(spark, good("3"), root, "r3")
+    assert [r["v"] for r in sinks.read_published(spark, root, "b").collect()] == ["3"]
 
 
 def test_import_status(spark):
@@ -204,9 +258,11 @@ def test_similar_names_against_brute_force(spark):
                     k = rng.choice([0, 1, len(name) - 1, rng.randrange(len(name))])
                     name[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"]) if len(name) > 3 else "x"
                 rows.add((kind, "".join(name) + tail))
+    rows |= {("H", f"{x} the very same middle of every name {y}") for x in ("aa", "ab", "abc", "zz", "azz") for y in ("one", "onw", "two", "oneone", "xxxx")}
     want = {(t, a, b) for t, a in rows for u, b in rows if t == u and a < b and 1 - distance(a, b) / max(len(a), len(b)) > 0.90}
-    got = crossval.similar_names(spark.createDataFrame(sorted(rows), "entity_type string, normalized_name string")).collect()
-    assert len(got) == len(want) and {(r["entity_type"], r["a"], r["b"]) for r in got} == want
+    for hot_pairs in (crossval.HOT_PAIRS, 3):
+        got = crossval.similar_names(spark.createDataFrame(sorted(rows), "entity_type string, normalized_name string"), hot_pairs=hot_pairs).collect()
+        assert len(got) == len(want) and {(r["entity_type"], r["a"], r["b"]) for r in got} == want
     assert ("P", "abcdefghijklmnopqrstu", "xbcdefghijklmnopqrst#") in want
 
 
