@@ -108,10 +108,22 @@ def edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Louvain's communities of all levels."""
     _, ents, edges = network(spark, sf_dir)
     return stored(spark, sf_dir, "communities", lambda: graph_metrics.louvain(ents, edges))
 
 
+def first_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities after two sweeps of Louvain's first level, which SQL can follow."""
+    _, ents, edges = network(spark, sf_dir)
+    return stored(spark, sf_dir, "first-communities", lambda: graph_metrics.first_communities(ents, edges, sweeps=2))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ents, edges = network(spark, sf_dir)
+    return stored(spark, sf_dir, "scores", lambda: graph.risk_scores(ents, graph.degree_centrality(ents, edges), graph_metrics.pagerank(ents, edges, rounds=5)))
+
+
 def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Resolutions, entities and the edges of both kinds, structured and co-occurring."""
     edges = stored(spark, sf_dir, "edges", lambda: graph.edges_of(edge_documents(spark, sf_dir)))

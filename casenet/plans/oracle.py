@@ -126,6 +126,30 @@ def pagerank_steps(rounds: int) -> dict[str, str]:
     return steps
 
 
+def first_level_steps(sweeps: int) -> dict[str, str]:
+    """Louvain's first level over the edges, half of the waiting nodes at a time; ``firsts`` has the communities after all sweeps, named by their least member."""
+    steps = {
+        "lw": "SELECT entity_key AS src, other AS dst, CAST(sum(weight) AS DOUBLE) AS weight FROM ends WHERE entity_key <> other GROUP BY 1, 2",
+        "l0": "SELECT src AS node, src AS community, sum(weight) AS k, false AS moved, true AS waits FROM lw GROUP BY 1",
+    }
+    for p in range(1, 2 * sweeps + 1):
+        sweep, turn = divmod(p - 1, 2)
+        steps[f"n{p}"] = f"""SELECT s.node, s.community, s.k, s.waits OR b.node IS NOT NULL AS waits, {'NOT ' if turn else ''}contains('02468ace', md5(s.node || '|{sweep}')[1:1]) AS may FROM l{p - 1} s
+            LEFT JOIN (SELECT DISTINCT w.src AS node FROM lw w JOIN l{p - 1} m ON w.dst = m.node WHERE m.moved) b ON s.node = b.node"""
+        steps[f"t{p}"] = f"SELECT community, sum(k) AS tot, count(*) AS n FROM l{p - 1} GROUP BY 1"
+        steps[f"o{p}"] = f"""SELECT node, community, sum(w_in) AS w_in FROM (SELECT n.node, d.community, w.weight AS w_in FROM n{p} n JOIN lw w ON w.src = n.node JOIN l{p - 1} d ON d.node = w.dst WHERE n.waits AND n.may
+            UNION ALL SELECT node, community, 0 FROM n{p} WHERE waits AND may) GROUP BY 1, 2"""
+        steps[f"g{p}"] = f"""SELECT o.node, o.community, n.community AS home, round(o.w_in - n.k * CASE WHEN o.community = n.community THEN t.tot - n.k ELSE t.tot END / (SELECT sum(k) FROM l0), 9) AS gain, h.n AS n_home, t.n AS n_there
+            FROM o{p} o JOIN n{p} n ON o.node = n.node JOIN t{p} t ON t.community = o.community JOIN t{p} h ON h.community = n.community"""
+        steps[f"b{p}"] = f"""SELECT node, community, gain, max(CASE WHEN community = home THEN gain END) OVER (PARTITION BY node) AS stay, row_number() OVER (PARTITION BY node ORDER BY gain DESC, community) AS rn
+            FROM g{p} WHERE NOT (n_home = 1 AND n_there = 1 AND community > home)"""
+        steps[f"l{p}"] = f"""SELECT n.node, CASE WHEN b.gain > b.stay THEN b.community ELSE n.community END AS community, n.k, coalesce(b.gain > b.stay, false) AS moved, n.waits AND NOT n.may AS waits
+            FROM n{p} n LEFT JOIN b{p} b ON b.node = n.node AND b.rn = 1"""
+    steps["placed"] = f"SELECT e.entity_key, coalesce(l.community, e.entity_key) AS c FROM entities e LEFT JOIN l{2 * sweeps} l ON l.node = e.entity_key"
+    steps["firsts"] = "SELECT entity_key, min(entity_key) OVER (PARTITION BY c) AS community FROM placed"
+    return steps
+
+
 def sql(select: str, *needed: str, extra: dict[str, str] | None = None) -> str:
     """``select`` over the derived tables up to the last of ``needed`` (and ``extra`` steps), as one statement."""
     names = list(STEPS)

@@ -416,8 +416,9 @@ def pagerank_k5(spark, sf_dir):
 
 @query()
 def betweenness_sampled(spark, sf_dir):
+    """Every value within a fifth of what is possible in its component, with probability 0.9 at least."""
     _, ents, edges = C.network(spark, sf_dir)
-    return graph_metrics.betweenness(ents, edges, pivots=16)
+    return graph_metrics.betweenness(ents, edges, pivots=64, error=0.2)
 
 
 @query()
@@ -425,6 +426,20 @@ def louvain(spark, sf_dir):
     return C.communities(spark, sf_dir)
 
 
+@query()
+def bridges(spark, sf_dir):
+    _, _, edges = C.network(spark, sf_dir)
+    return graph_metrics.bridges(edges)
+
+
+_FIRSTS = oracle.first_level_steps(2)
+
+
+@query(sql("SELECT entity_key, community FROM firsts", "degrees", extra=_FIRSTS))
+def first_communities(spark, sf_dir):
+    return C.first_communities(spark, sf_dir)
+
+
 @query(sql("""SELECT x.entity_type, x.v AS a, y.v AS b, round(1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v)), 4) AS ratio FROM (SELECT DISTINCT entity_type, lower(normalized_name) AS v FROM entities) x
     JOIN (SELECT DISTINCT entity_type, lower(normalized_name) AS v FROM entities) y ON x.entity_type = y.entity_type AND x.v < y.v WHERE abs(length(x.v) - length(y.v)) <= 0.1 * greatest(length(x.v), length(y.v)) AND 1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v)) > 0.9""", "entities"))
 def similar_names(spark, sf_dir):
@@ -451,8 +466,7 @@ def star_patterns(spark, sf_dir):
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, ents, edges = C.network(spark, sf_dir)
-    scores = graph.risk_scores(ents, graph.degree_centrality(ents, edges), graph_metrics.pagerank(ents, edges, rounds=5))
-    return ents, edges, SharedTables(spark).write(scores, "scores")
+    return ents, edges, C.scores(spark, sf_dir)
 
 
 _SCORED = oracle.pagerank_steps(5) | {
@@ -482,12 +496,21 @@ def entity_alerts(spark, sf_dir):
     return graph.entity_alerts(_scores(spark, sf_dir)[2], "HIGH").select("case_id", "entity_key", "severity")
 
 
-@query(sql("""SELECT case_id, community, n_entities, n_edges, round(n_edges / (n_entities * (n_entities - 1) / 2), 6) AS density FROM (SELECT community, count(*) AS n_entities FROM comm GROUP BY 1) JOIN
-    (SELECT e.case_id, a.community, count(*) AS n_edges FROM (SELECT DISTINCT case_id, source, target FROM edges) e JOIN comm a ON e.source = a.entity_key JOIN comm b ON e.target = b.entity_key AND a.community = b.community GROUP BY 1, 2) USING (community) WHERE n_entities >= 3 AND round(n_edges / (n_entities * (n_entities - 1) / 2), 6) >= 0.1""", "edges", extra={"comm": "SELECT entity_key, min(fir_id) AS community FROM resolutions WHERE entity_key IS NOT NULL GROUP BY 1"}))
+_CLUSTERS = _FIRSTS | {
+    "c_size": "SELECT community, count(*) AS n_entities FROM firsts GROUP BY 1",
+    "c_inner": "SELECT e.case_id, a.community, count(*) AS n_edges FROM (SELECT DISTINCT case_id, source, target FROM edges) e JOIN firsts a ON e.source = a.entity_key JOIN firsts b ON e.target = b.entity_key AND a.community = b.community GROUP BY 1, 2",
+    "clusters": "SELECT case_id, community, n_entities, n_edges, round(n_edges / (n_entities * (n_entities - 1) / 2), 6) AS density FROM c_size JOIN c_inner USING (community) WHERE n_entities >= 4 AND round(n_edges / (n_entities * (n_entities - 1) / 2), 6) >= 0.3",
+}
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, edges = C.network(spark, sf_dir)
+    return graph.cluster_alerts(C.first_communities(spark, sf_dir), edges, min_density=0.3)
+
+
+@query(sql("SELECT case_id, community, n_entities, n_edges, density, CASE WHEN density >= 0.8 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM clusters", "degrees", extra=_CLUSTERS))
 def cluster_alerts(spark, sf_dir):
-    resolved, _, edges = C.network(spark, sf_dir)
-    fixed = resolved.where("entity_key is not null").groupBy("entity_key").agg(F.min("fir_id").alias("community"))
-    return graph.cluster_alerts(fixed, edges, min_size=3, min_density=0.1).select("case_id", "community", "n_entities", "n_edges", "density")
+    return _clusters(spark, sf_dir).select("case_id", "community", "n_entities", "n_edges", "density", "severity")
 
 
 @query("""SELECT event_id AS alert_id, CASE WHEN u.s IS NULL THEN 'OPEN' ELSE u.s END AS status, CASE WHEN u.s = 'RESOLVED' THEN u.at WHEN u.s IS NULL AND event_id % 2 = 0 THEN ts END AS resolved_at
@@ -515,23 +538,23 @@ def explain_entities(spark, sf_dir):
     return rows.select("entity_key", "degree", "risk_score", F.col("n_alerts").cast("int").alias("n_alerts"), "key_factors", "explanation")
 
 
-@query(sql("SELECT run, t.table_name, CASE WHEN run = 2 THEN 0 ELSE n END AS n_created FROM (VALUES (1), (2)) r(run), (SELECT 'relationships' AS table_name, count(*) AS n FROM (SELECT DISTINCT source, target, relationship_type, primary_fir FROM edges) UNION ALL SELECT 'analyses', count(*) FROM exact UNION ALL SELECT 'entity_alerts', count(*) FROM hot) t", "degrees", extra=_ALERTED))
+@query(sql("SELECT run, t.table_name, CASE WHEN run = 2 THEN 0 ELSE n END AS n_created FROM (VALUES (1), (2)) r(run), (SELECT 'relationships' AS table_name, count(*) AS n FROM (SELECT DISTINCT source, target, relationship_type, primary_fir FROM edges) UNION ALL SELECT 'analyses', count(*) FROM exact UNION ALL SELECT 'entity_alerts', count(*) FROM hot UNION ALL SELECT 'cluster_alerts', count(*) FROM clusters) t", "degrees", extra=_ALERTED | _CLUSTERS))
 def persist_run(spark, sf_dir):
     """A run stored twice: the second adds nothing."""
     ents, edges, scores = _scores(spark, sf_dir)
     rows, _ = graph.edge_rows(edges, C.edge_documents(spark, sf_dir), ents, C.evidence(C.tokens(spark, sf_dir)))
-    tables = {"relationships": rows, "analyses": graph.analyses(scores, "run-1"), "entity_alerts": graph.entity_alerts(scores, "HIGH")}
+    tables = {"relationships": rows, "analyses": graph.analyses(scores, "run-1"), "entity_alerts": graph.entity_alerts(scores, "HIGH"), "cluster_alerts": _clusters(spark, sf_dir)}
     root = new_path(spark, "case-store")
     first = run.persist(tables, root)
     return first.select(F.lit(1).alias("run"), "*").unionByName(run.persist(tables, root).select(F.lit(2).alias("run"), "*"))
 
 
-@query()
+@query(sql(f"""SELECT (SELECT count(*) FROM entities) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT community) FROM firsts) AS n_communities, (SELECT count(*) FROM stars) AS n_patterns, (SELECT count(*) FROM exact) AS n_scored,
+    {", ".join(f"(SELECT count(*) FROM exact WHERE {_TIER} = '{t}') AS n_{t.lower()}" for t in ("LOW", "MEDIUM", "HIGH", "CRITICAL"))}, (SELECT count(*) FROM hot) AS n_entity_alerts, (SELECT count(*) FROM clusters) AS n_cluster_alerts, 'completed' AS status""", "degrees",
+    extra=_ALERTED | _CLUSTERS | _STARS | {"stars": "SELECT entity_key FROM dg LEFT JOIN tri USING (entity_key) WHERE degree >= 5 AND round(coalesce(links, 0) / (degree * (degree - 1) / 2), 6) <= 0.3"}))
 def run_summary(spark, sf_dir):
-    """Graph totals with Louvain communities and the alerts on them; SQL can't follow the communities, so tests compare the parts."""
     ents, edges, scores = _scores(spark, sf_dir)
-    communities = C.communities(spark, sf_dir)
-    return run.run_summary(ents, edges, communities, graph.star_patterns(edges), scores, graph.entity_alerts(scores, "HIGH"), graph.cluster_alerts(communities, edges))
+    return run.run_summary(ents, edges, C.first_communities(spark, sf_dir), graph.star_patterns(edges), scores, graph.entity_alerts(scores, "HIGH"), _clusters(spark, sf_dir))
 
 
 def _kpis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,65 @@ def test_annotations_are_scanned_and_typed(spark, tmp_path):
     assert found == {0: [], 1: ["image_id"], 2: ["bbox"], 3: ["text"], 4: ["fields"], 5: ["score"], 6: ["reversed_bbox"]}
 
 
+def test_an_array_is_scanned_in_ranges(spark, tmp_path):
+    """Braces and quotes in strings, nested values, records over several ranges, and a file that is cut off."""
+    rng = random.Random(3)
+    rows = [{"a": i, "t": rng.choice(['x } {" \\" y', "plain", "{{{", 'é"}]', "\\\\", "a\nb", ""]), "bbox": [1, 2, {"n": {"d": "}"}}], "m": {"z": []}} for i in range(400)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("\n[\n" + ",\n ".join(json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate(rows)) + " ]\n")
+    (tmp_path / "in/b.json").write_text("[]")
+    (tmp_path / "in/c.json").write_text(json.dumps(rows[:3]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = scans.read_annotation_array(spark, str(tmp_path / "in")).select("source_index", F.to_json("record").alias("r")).collect()
+        for cut in ('[{"a": 1}, {"a":', '[{"a": 1}, {"a":2', '[{"a": 1}'):
+            (tmp_path / "cut.json").write_text(cut)
+            with pytest.raises(Exception, match="does not end behind a record"):
+                scans.read_annotation_array(spark, str(tmp_path / "cut.json")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    key = lambda x: (x[0], json.dumps(x[1]))
+    assert sorted(((r["source_index"], json.loads(r["r"])) for r in found), key=key) == sorted([*enumerate(rows), *enumerate(rows[:3])], key=key)
+
+
+def test_ids_of_a_list_are_digits():
+    assert scans.parse_ids(" 3, 10,,2 ") == [3, 10, 2] and scans.parse_ids(None) is None and scans.parse_ids(" ") is None
+    for text_of_ids in ("1,x", "-1", "1.5", "²"):
+        with pytest.raises(ValueError):
+            scans.parse_ids(text_of_ids)
+
+
+def test_types_outside_the_domain_are_counted(spark):
+    rows = spark.createDataFrame([("PERSON",), ("PHONE",), ("PHONE",), (None,)], "entity_type string")
+    assert {(r["entity_type"], r["n_mentions"]) for r in validate.unsupported_types(rows, ("PERSON",)).collect()} == {("PHONE", 2), (None, 1)}
+
+
+def test_every_requested_image_is_accounted_for(spark):
+    odd = {2: '{"dataset_image_id":2}', 3: "[1,2]", 4: "5", 5: '{"ocr_records":"x"}', 6: "{broken", 7: '{"ocr_records":[]}', 8: json.dumps({"ocr_records": [{"source_index": 0, "score": 0.9, "category_id": 0, "original_text": "X PS"}]})}
+    firs = spark.createDataFrame([(i, i, 1) for i in range(1, 9)], "image_id bigint, fir_id bigint, case_id bigint")
+    proof = spark.createDataFrame([(i, i, 1, t) for i, t in odd.items()], "evidence_id bigint, fir_id bigint, case_id bigint, metadata_text string")
+    asked = spark.createDataFrame([(i,) for i in range(10)], "image_id bigint")
+    mentions, rejections = extract.extraction_job(asked, firs, proof)
+    assert [(r["image_id"], r["raw_value"]) for r in mentions.collect()] == [(8, "X PS")]
+    bare = "metadata_without_records"
+    assert {r["image_id"]: r["reason"] for r in rejections.collect()} == {0: "fir_missing", 9: "fir_missing", 1: "evidence_missing", 2: bare, 3: bare, 4: bare, 5: bare, 6: "metadata_unreadable"}
+    row = extract.extraction_report(asked, firs, proof).first().asDict()
+    assert (row["n_requested"], row["n_processed"], row["n_rejected_images"], row["n_without_records"], row["n_records"], row["n_mentions"]) == (10, 2, 8, 1, 1, 1)
+
+
+def test_a_resolution_job_stays_in_its_scope_and_adds_nothing_twice(spark, tmp_path):
+    rows = gold(spark).withColumns({"start_char": F.lit(0), "end_char": F.length("raw_value"), **{c: F.lit(1.0) for c in ("x1", "y1", "x2", "y2", "ocr_confidence", "extraction_confidence")}, "category_id": F.lit(3), "low_ocr_confidence": F.lit(False), "extraction_method": F.lit("m"), "extractor_version": F.lit("1")})
+    proof = rows.select("evidence_id", "case_id", "fir_id").distinct()
+    images, path = rows.select("image_id"), str(tmp_path / "store")
+    first = resolve.resolution_job(rows, proof, path, images.where("image_id <> 3"), images)[1].first()
+    again = resolve.resolution_job(rows, proof, path, images.where("image_id <> 3"), images)[1].first()
+    assert (first["n_appended"], again["n_appended"]) == (5, 0) and first["n_mentions"] == 9
+    with pytest.raises(ValueError, match="scope"):
+        resolve.resolution_job(rows, proof, path, images, images.where("image_id <> 3"))
+
+
 def test_quarantine_loses_no_row(spark):
     rows = spark.createDataFrame([token(), token(score=None), token(x2=0.0), token(text=" "), token(image_name="b/c.jpg")], TOKEN)
     good, bad = validate.split(validate.missing_images(validate.check_tokens(rows), spark.createDataFrame([("a.jpg",)], "image_name string")))
