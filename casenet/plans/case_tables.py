@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from casenet.operators import extract, graph, resolve
 from casenet.plans import graph_metrics
-from casenet.plans.shared import exists, new_path, shared_folder
+from casenet.plans.shared import delete, exists, passing_path, shared_folder
 
 TOKENS_SQL = """
 SELECT CAST(c.c_nationkey AS BIGINT) AS case_id, l.l_orderkey AS fir_id, 2 * l.l_orderkey + l.l_linenumber % 2 AS evidence_id, l.l_orderkey AS image_id,
@@ -85,12 +85,18 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
     key = (spark.sparkContext.applicationId, shared_folder(spark), name, _state(spark, sf_dir))
     path = _stored.get(key)
     if path is None or not exists(spark, f"{path}/_SUCCESS"):
-        path = new_path(spark, name)
+        path = passing_path(spark, name)
         make().write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the stored tables of this session, so that the next query that needs one makes it anew."""
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        delete(spark, _stored.pop(key))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "mentions", lambda: extract.accepted(extract.extract_mentions(tokens(spark, sf_dir))))
 

@@ -17,7 +17,7 @@ from casenet.operators import crossval, extract, graph, layout, profile, report,
 from casenet.plans import case_tables as C
 from casenet.plans import graph_metrics, oracle, run
 from casenet.plans.oracle import sql
-from casenet.plans.shared import SharedTables, new_path
+from casenet.plans.shared import SharedTables, passing_path
 from casenet.sources import scans, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,7 +190,7 @@ def typed_violations(spark, sf_dir):
         odd(F.concat(F.lit('"score":'), F.col("score").cast("string")), (4, '"score":"x"'), (8, '"score":1.2')), odd(F.concat(F.lit('"text":'), quoted(F.col("text"))), (6, '"text":7'), (12, None)), F.when(kind == 7, '"more":1'),
     ]
     rows = C.tokens(spark, sf_dir).select(F.concat(F.lit('{"source_index":'), (F.col("image_id") * 100 + F.col("source_index")).cast("string"), F.lit(',"record":{'), F.concat_ws(",", *fields), F.lit("}}")).alias("value"))
-    path = new_path(spark, "annotations")
+    path = passing_path(spark, "annotations")
     rows.write.text(path)
     lines = scans.read_annotation_lines(spark, path)
     checked = validate.check_tokens(validate.typed_record(lines.select("source_index", F.try_variant_get("record", "$.record", "variant").alias("record"))))
@@ -544,7 +544,7 @@ def persist_run(spark, sf_dir):
     ents, edges, scores = _scores(spark, sf_dir)
     rows, _ = graph.edge_rows(edges, C.edge_documents(spark, sf_dir), ents, C.evidence(C.tokens(spark, sf_dir)))
     tables = {"relationships": rows, "analyses": graph.analyses(scores, "run-1"), "entity_alerts": graph.entity_alerts(scores, "HIGH"), "cluster_alerts": _clusters(spark, sf_dir)}
-    root = new_path(spark, "case-store")
+    root = passing_path(spark, "case-store")
     first = run.persist(tables, root)
     return first.select(F.lit(1).alias("run"), "*").unionByName(run.persist(tables, root).select(F.lit(2).alias("run"), "*"))
 
@@ -685,7 +685,7 @@ _ASKED = {
 def resolution_job(spark, sf_dir):
     """Images within their scope, resolved and stored twice: the second run appends nothing."""
     rows, images = C.mentions(spark, sf_dir), C.tokens(spark, sf_dir).select("image_id").distinct()
-    path, runs = new_path(spark, "provenance"), []
+    path, runs = passing_path(spark, "provenance"), []
     for run_number in (1, 2):
         _, metrics = resolve.resolution_job(rows, C.evidence(C.tokens(spark, sf_dir)), path, images.where("image_id % 3 = 0"), images.where("image_id % 2 = 0 or image_id % 3 = 0"))
         runs.append(SharedTables(spark).write(metrics.withColumn("run", F.lit(run_number)), "metrics"))
@@ -756,7 +756,7 @@ def outside_scope(spark, sf_dir):
 def handoff_records(spark, sf_dir):
     """All tokens of images with a badly read one, written as JSON lines and read again."""
     rows = C.tokens(spark, sf_dir).select("image_id", "source_index", "image_name", "score", "category_id", "text")
-    path = new_path(spark, "handoff")
+    path = passing_path(spark, "handoff")
     sinks.write_handoff(scans.semi_scan(rows, rows.where("score < 0.6"), "image_id"), path)
     return spark.read.schema(rows.schema).json(path)
 

@@ -6,15 +6,17 @@ a task and not the lineage behind it.
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _open_scopes: list[list[str]] = []
+_of_session: dict[str, SparkSession] = {}  # tables to delete when this process ends
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +36,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new path for what nobody needs once this process ends, when it is deleted, or at the end of a surrounding ``scratch``."""
+    path = new_path(spark, name)
+    for written in _open_scopes:
+        written.append(path)
+    _of_session[path] = spark
+    return path
+
+
+@atexit.register
+def delete_passing() -> None:
+    """Delete all passing tables; a session that has already lost its JVM leaves them."""
+    for path, spark in list(_of_session.items()):
+        with suppress(Exception):
+            delete(spark, path)
+
+
 def _located(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -47,6 +66,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     system, where = _located(spark, path)
     system.delete(where, True)
+    _of_session.pop(path, None)
 
 
 def folders(spark: SparkSession, path: str, depth: int) -> list[str]:
@@ -122,15 +142,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 class SharedTables:
-    """Intermediate tables of one run; ``drop`` deletes those that nothing reads any more, ``scratch`` the rest."""
+    """Intermediate tables of one run; ``drop`` deletes those that nothing reads any more, ``scratch`` or the end of the process the rest."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        for written in _open_scopes:
-            written.append(path)
+        path = passing_path(self.spark, name)
         df.write.partitionBy(*partition_by).parquet(path)
         self.paths[name] = self.paths.get(name, ()) + (path,)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -350,3 +350,20 @@ def test_reasons_that_are_null_or_no_json(spark):
     got = [tuple(r) for r in rows.select(text.joined_reasons(F.col("l")), text.reasons_payload(F.col("r"), F.col("s"))).collect()]
     default = "Single appearance in network with low risk indicators."
     assert got == [(default, "{}"), (default, "{}"), ("x", '{"raw_reasons":"[1, "}'), ("x | y", '{"a":1}')]
+
+
+def test_passing_tables_go_and_others_stay(spark):
+    from casenet.plans import shared
+
+    tables, kept = shared.SharedTables(spark), shared.new_path(spark, "kept")
+    spark.range(1).write.parquet(kept)
+    with shared.scratch(spark):
+        inner = shared.passing_path(spark, "inner")
+        tables.write(spark.range(2), "t")
+        spark.range(1).write.parquet(inner)
+    assert not shared.exists(spark, inner) and not any(shared.exists(spark, p) for p in tables.paths["t"])
+    tables.write(spark.range(2), "u")
+    (path,) = tables.paths["u"]
+    assert path in shared._of_session and kept not in shared._of_session
+    tables.drop("u")
+    assert path not in shared._of_session and not shared.exists(spark, path) and shared.exists(spark, kept)

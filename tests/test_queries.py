@@ -42,8 +42,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr([plain(row[c]) for c in sorted(columns)]) for row in df.collect()) == want
 
 
-def test_entry_stands_without_the_llm_folder(tmp_path):
-    shutil.copytree(f"{ROOT}/casenet", tmp_path / "casenet", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+@pytest.mark.parametrize("missing", ["folder", "library"])
+def test_entry_stands_without_the_llm_folder_or_its_libraries(tmp_path, missing):
+    left_out = ("llm", "__pycache__") if missing == "folder" else ("__pycache__",)
+    shutil.copytree(f"{ROOT}/casenet", tmp_path / "casenet", ignore=shutil.ignore_patterns(*left_out))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'entities' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    if missing == "library":
+        shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert 'entities' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": str(tmp_path)}, check=True, timeout=120)
