@@ -8,11 +8,13 @@ learn to trust fitted labels. The verdict is that of the last category, so it
 comes through the whole chain, and its threshold is chosen on out-of-fold
 probabilities too.
 
-The label table has one toxic column, so the categories before it are defined
-on it: ``severe`` is a toxic text in which at least ``SEVERE`` in a thousand
-words are toxic terms, ``spread`` one that holds three different ones or more.
-Toxic terms are the features that the first pass over the labelled sample
-selects.
+The label table has one toxic column, so the categories before it say by which
+terms a text is toxic. Toxic terms are the selected features of the greatest
+lift; those that nearly always stand in the same toxic texts (a word and its
+beginnings, words of one phrase) are one family, and the families are dealt to
+two sides of about equal frequency. ``first`` and ``second`` are toxic texts that
+hold a term of that side: a text may be either or both, so each tells what the
+other doesn't.
 
 Features are lower-cased words and their beginnings, hashed; they are counted
 over a bounded sample of labelled rows, the most telling ones are selected (in a
@@ -41,7 +43,7 @@ from casenet.llm.linemodel import held_out, one_text
 from casenet.plans.shared import SharedTables
 
 BITS, PREFIXES = 20, (4, 5, 6, 8)
-SEVERE, CATEGORIES = 5, ("severe", "spread", "toxic")
+CATEGORIES, TOGETHER = ("first", "second", "toxic"), 0.5
 _EDGE = tk.flags(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -78,30 +80,51 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class ToxicityModel:
-    """``column``: of each hashed bucket, -1 if not selected; ``term``: selected features that mark toxic text."""
+    """``column``: of each hashed bucket, -1 if not selected; ``losses``: mean out-of-fold log loss of the verdict without and with the chain."""
 
     column: np.ndarray
-    term: np.ndarray
+    width: int
     weights: list[np.ndarray]
     threshold: float
+    losses: tuple[float, float]
 
 
-def term_table(data: np.ndarray, offsets: np.ndarray, column: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, column) pairs of the selected features, and per document toxic words in a thousand and different toxic terms."""
-    n = len(offsets) - 1
-    doc, word, bucket = features(data, offsets)
+def selected(data: np.ndarray, offsets: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """(document, column) pairs of the selected features, each once, in order."""
+    doc, _, bucket = features(data, offsets)
     chosen = column[bucket]
     hit = chosen >= 0
-    pairs = np.unique(np.column_stack([doc[hit], chosen[hit]]), axis=0) if hit.any() else np.zeros((0, 2), dtype=np.int64)
-    marks = hit & term[np.maximum(chosen, 0)]
-    toxic_word = np.unique(word[marks])
-    word_doc = np.zeros(int(word.max()) + 1 if len(word) else 0, dtype=np.int64)
-    word_doc[word] = doc
-    rate = 1000 * np.bincount(word_doc[toxic_word], minlength=n) / np.maximum(np.bincount(word_doc, minlength=n), 1)
-    first = np.zeros(len(word_doc), dtype=np.int64)
-    first[word[: len(word_doc)]] = bucket[: len(word_doc)]
-    kinds = np.unique((word_doc[toxic_word] << BITS) | first[toxic_word]) >> BITS
-    return pairs, rate, np.bincount(kinds, minlength=n)
+    return np.unique(np.column_stack([doc[hit], chosen[hit]]), axis=0) if hit.any() else np.zeros((0, 2), dtype=np.int64)
+
+
+def sides_of(x: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Side (0 or 1) of each column that is a term, -1 of the others, from the rows ``x`` of toxic texts.
+
+    Terms whose cosine over the rows is above ``TOGETHER`` are one family, and so
+    on from term to term; the most frequent family comes first and each goes to
+    the side with fewer rows so far (in a tie the first).
+    """
+    at = np.flatnonzero(term)
+    side = np.full(len(term), -1)
+    if not len(at):
+        return side
+    held = x[:, at].astype(np.float64)
+    norm = np.sqrt(np.maximum((held * held).sum(axis=0), 1))
+    near = (held.T @ held) / norm[:, None] / norm > TOGETHER
+    family = np.arange(len(at))
+    while True:
+        least = np.where(near | np.eye(len(at), dtype=bool), family, len(at)).min(axis=1)
+        if (least == family).all():
+            break
+        family = least
+    names = np.unique(family)
+    rows = [int(held[:, family == f].any(axis=1).sum()) for f in names]
+    load = [0, 0]
+    for k in sorted(range(len(names)), key=lambda k: (-rows[k], names[k])):
+        to = int(load[1] < load[0])
+        side[at[family == names[k]]] = to
+        load[to] += rows[k]
+    return side
 
 
 def _design(pairs: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -163,6 +186,11 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> tuple[list
     return weights, np.column_stack(extra)
 
 
+def log_loss(p: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))) if len(y) else 0.0
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the widest stretch of thresholds that tell the labels apart best (true less false positive rate); infinite without both labels."""
     if not len(y) or y.min() == y.max():
@@ -196,39 +224,42 @@ def fit(docs: DataFrame, labels: DataFrame, n_features: int = 384, max_docs: int
     best = counts.withColumn("lift", lift).withColumn("gain", F.col("n_toxic") * F.col("lift")).where("n_toxic >= 3 and lift > 1").orderBy(F.desc("gain"), "bucket").limit(n_features).collect()
     column = np.full(1 << BITS, -1, dtype=np.int16)
     column[[r["bucket"] for r in best]] = np.arange(len(best))
-    term = np.array([r["lift"] > 2.5 for r in best] or [False])
     width = max(len(best), 1)
+    term = np.array([r["lift"] > 2.5 for r in best] or [False])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(pc.utf8_lower(pc.fill_null(batch.column("text"), ""))):
-                pairs, rate, kinds = term_table(data, offsets, column, term)
+                pairs = selected(data, offsets, column)
                 cut = np.searchsorted(pairs[:, 0], np.arange(hi - lo + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs[:, 1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), lists, pa.array(rate), pa.array(kinds, pa.int64())], names=["toxic", "columns", "rate", "kinds"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), lists], names=["toxic", "columns"])
 
-    got = texts.mapInArrow(rows, "toxic int, columns array<int>, rate double, kinds bigint").toArrow().to_pylist()
+    got = texts.mapInArrow(rows, "toxic int, columns array<int>").toArrow().to_pylist()
     tables.drop("labelled", "texts")
-    got.sort(key=lambda r: (r["toxic"], r["columns"], r["rate"], r["kinds"]))
+    got.sort(key=lambda r: (r["toxic"], r["columns"]))
     pairs = np.array([(i, c) for i, r in enumerate(got) for c in r["columns"]], dtype=np.int64).reshape(-1, 2)
-    y = np.array([(r["toxic"] and r["rate"] >= SEVERE, r["toxic"] and r["kinds"] >= 3, r["toxic"]) for r in got], dtype=float).reshape(-1, 3)
-    weights, unseen = fit_chain(_design(pairs, len(got), width), y, folds_of(pairs, len(got), folds))
-    return ToxicityModel(column, term, weights, best_threshold(unseen[:, -1], y[:, -1]) if threshold is None else threshold)
+    x, toxic = _design(pairs, len(got), width), np.array([r["toxic"] for r in got], dtype=bool)
+    side = sides_of(x[toxic, :width], term)
+    y = np.column_stack([*(toxic & (x[:, :width][:, side == k] > 0).any(axis=1) for k in (0, 1)), toxic]).astype(float).reshape(-1, 3)
+    fold = folds_of(pairs, len(got), folds)
+    weights, unseen = fit_chain(x, y, fold)
+    _, alone = fit_chain(x, y[:, -1:], fold)
+    losses = (log_loss(alone[:, -1], y[:, -1]), log_loss(unseen[:, -1], y[:, -1]))
+    return ToxicityModel(column, width, weights, best_threshold(unseen[:, -1], y[:, -1]) if threshold is None else threshold, losses)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """One row for each document: doc_id, held_out, p_severe, p_spread, p_toxic, toxic."""
-    width = len(model.term)
+    """One row for each document: doc_id, held_out, p_first, p_second, p_toxic, toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(pc.utf8_lower(pc.fill_null(batch.column("text"), ""))):
-                pairs, _, _ = term_table(data, offsets, model.column, model.term)
-                p = predict(model.weights, _design(pairs, hi - lo, width))
+                p = predict(model.weights, _design(selected(data, offsets, model.column), hi - lo, model.width))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), pa.array(p[:, -1] >= model.threshold)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
-    scored = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, p_severe double, p_spread double, p_toxic double, toxic boolean")
-    return scored.select("doc_id", held_out().alias("held_out"), "p_severe", "p_spread", "p_toxic", "toxic")
+    scored = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, p_first double, p_second double, p_toxic double, toxic boolean")
+    return scored.select("doc_id", held_out().alias("held_out"), "p_first", "p_second", "p_toxic", "toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -226,7 +226,7 @@ def test_toxicity_on_held_out_documents(labelled):
     rows = toxicity.classify(docs, labels).join(labels.withColumnRenamed("toxic", "label"), "doc_id").collect()
     unseen = [r for r in rows if r["held_out"]]
     assert np.mean([r["toxic"] == bool(r["label"]) for r in unseen]) > 0.9
-    assert all(0 <= r[c] <= 1 for r in rows for c in ("p_toxic", "p_severe", "p_spread"))
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("p_toxic", "p_first", "p_second"))
 
 
 def test_chain_feeds_earlier_categories_forward():
@@ -240,6 +240,61 @@ def test_chain_feeds_earlier_categories_forward():
     assert abs(weights[1][0]) > 0.1
 
 
+def test_features_against_a_plain_version():
+    """Words and beginnings by their bytes: equal features share a bucket, and each document has those of its own words."""
+    import pyarrow as pa
+
+    texts = ["idiots, idiot (idiotic)", "Straße naïve idiot", "", "a bb ccc dddd", "!!! ---"]
+    (_, _, data, offsets) = next(iter(textkernel.chunks(pa.array(texts))))
+    doc, _, bucket = toxicity.features(data, offsets)
+    plain = []
+    for d, text in enumerate(texts):
+        for word in re.sub(r"[!-/:-@\[-`{-~]", " ", text).split():
+            raw = word.encode()
+            plain += [(d, ("word", raw)), *((d, (size, raw[:size])) for size in toxicity.PREFIXES if len(raw) >= size)]
+    assert sorted(doc.tolist()) == sorted(d for d, _ in plain)
+    names = {}
+    for d, name in plain:
+        names.setdefault(name, []).append(d)
+    found = {}
+    for d, b in zip(doc.tolist(), bucket.tolist(), strict=True):
+        found.setdefault(b, []).append(d)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, names.values()))
+
+
+def test_selected_features_are_pairs_of_document_and_column():
+    import pyarrow as pa
+
+    texts = ["bad bad words", "fine words", ""]
+    (_, _, data, offsets) = next(iter(textkernel.chunks(pa.array(texts))))
+    doc, _, bucket = toxicity.features(data, offsets)
+    column = np.full(1 << toxicity.BITS, -1, dtype=np.int16)
+    some = sorted(set(bucket[doc == 0].tolist()))[:2]
+    column[some] = [0, 1]
+    want = sorted({(d, int(column[b])) for d, b in zip(doc.tolist(), bucket.tolist(), strict=True) if b in some})
+    assert list(map(tuple, toxicity.selected(data, offsets, column).tolist())) == want
+
+
+def test_terms_of_one_family_take_one_side():
+    """Columns 0 and 1 always together, 2 and 3 together, 4 alone, 5 no term."""
+    rows = [(1, 1, 0, 0, 0, 1)] * 6 + [(0, 0, 1, 1, 0, 0)] * 4 + [(0, 0, 0, 0, 1, 1)] * 3 + [(1, 1, 0, 0, 1, 0)]
+    side = toxicity.sides_of(np.array(rows), np.array([True] * 5 + [False]))
+    assert side.tolist() == [0, 0, 1, 1, 1, -1]
+    assert toxicity.sides_of(np.zeros((0, 3)), np.zeros(3, dtype=bool)).tolist() == [-1, -1, -1]
+
+
+def test_a_chain_tells_more_than_a_lone_model():
+    """The verdict needs either of two conjunctions, each of which an earlier category learns with its own terms."""
+    rng = np.random.default_rng(2)
+    pairs = np.array([(i, c) for i in range(600) for c in np.flatnonzero(rng.random(12) < 0.3)])
+    x = toxicity._design(pairs, 600, 12)
+    sides = [x[:, :5].sum(axis=1) >= 3, x[:, 5:10].sum(axis=1) >= 3]
+    y = np.column_stack([*sides, sides[0] | sides[1]]).astype(float)
+    fold = toxicity.folds_of(pairs, 600, 5)
+    chained, alone = toxicity.fit_chain(x, y, fold)[1][:, -1], toxicity.fit_chain(x, y[:, -1:], fold)[1][:, -1]
+    assert toxicity.log_loss(chained, y[:, -1]) < 0.9 * toxicity.log_loss(alone, y[:, -1])
+
+
 def newton(x, y):
     """Ridge logistic regression by plain Newton steps."""
     w = np.zeros(x.shape[1])
