@@ -88,9 +88,13 @@ def field_constraints(spark, sf_dir):
     return rows.select("c_custkey", F.array_join("violations", ",").alias("violations"))
 
 
-@query(sql("SELECT m.image_id, m.source_index, CASE WHEN e.evidence_id IS NULL THEN 'evidence_missing' WHEN e.case_id <> m.case_id THEN 'case_mismatch' END AS reason FROM mentions m LEFT JOIN (SELECT DISTINCT evidence_id, CASE WHEN evidence_id % 13 = 0 THEN case_id + 1 ELSE case_id END AS case_id FROM tokens WHERE evidence_id % 17 <> 0) e USING (evidence_id) WHERE e.evidence_id IS NULL OR e.case_id <> m.case_id", "mentions"))
+@query(sql("""SELECT m.image_id, m.source_index, CASE WHEN e.evidence_id IS NULL THEN 'evidence_missing' WHEN e.case_id <> m.case_id THEN 'case_mismatch' ELSE 'fir_mismatch' END AS reason FROM mentions m LEFT JOIN (SELECT DISTINCT evidence_id,
+    CASE WHEN evidence_id % 13 = 0 THEN case_id + 1 ELSE case_id END AS case_id, CASE WHEN evidence_id % 19 = 0 THEN fir_id + 1 WHEN evidence_id % 23 <> 0 THEN fir_id END AS fir_id FROM tokens WHERE evidence_id % 17 <> 0) e USING (evidence_id)
+    WHERE e.evidence_id IS NULL OR e.case_id <> m.case_id OR m.fir_id IS DISTINCT FROM e.fir_id""", "mentions"))
 def ownership_violations(spark, sf_dir):
-    proof = C.evidence(C.tokens(spark, sf_dir)).where("evidence_id % 17 <> 0").withColumn("case_id", F.when(F.col("evidence_id") % 13 == 0, F.col("case_id") + 1).otherwise(F.col("case_id")))
+    """Some evidence is missing, belongs to another case or document, or to no document."""
+    k = F.col("evidence_id")
+    proof = C.foreign_evidence(C.tokens(spark, sf_dir)).where(k % 17 != 0).withColumn("fir_id", F.when(k % 19 == 0, F.col("fir_id") + 1).when(k % 23 != 0, F.col("fir_id")))
     return validate.ownership(C.mentions(spark, sf_dir), proof).where("ownership_reason is not null").select("image_id", "source_index", F.col("ownership_reason").alias("reason"))
 
 
@@ -595,6 +599,28 @@ def page_edges(spark, sf_dir):
     return report.page(edges, [F.desc("weight"), F.col("source"), F.col("target"), F.col("origin"), F.col("relation")], limit=100).select("origin", "source", "target", "weight", "total_rows")
 
 
+_ASKED_ENTITIES = {"asked_for": "SELECT entity_key FROM entities WHERE case_id = 3 AND entity_type = 'POLICE_STATION'", "listed": "SELECT DISTINCT entity_key, sha256(concat_ws('|', evidence_id, source_index, start_char, end_char)) AS mention_key FROM resolutions WHERE entity_key IN (SELECT entity_key FROM asked_for)"}
+
+
+@query(sql("SELECT entity_key, mention_key, (SELECT count(*) FROM listed) AS total_rows FROM listed ORDER BY entity_key, mention_key OFFSET 10 LIMIT 50", "entities", extra=_ASKED_ENTITIES))
+def page_mentions(spark, sf_dir):
+    """Mentions of the stations of one case."""
+    asked = C.entities(spark, sf_dir).where("case_id = 3 and entity_type = 'POLICE_STATION'")
+    rows = scans.semi_scan(resolve.provenance(C.resolutions(spark, sf_dir)), asked, "entity_key")
+    return report.page(rows, [F.col("entity_key"), F.col("mention_key")], offset=10, limit=50).select("entity_key", "mention_key", "total_rows")
+
+
+_LISTED_SECTIONS = {"sections": f"""SELECT DISTINCT case_id, act || '_' || upper(s) AS normalized_value FROM (SELECT case_id, {oracle.act('c', 'Ipc|Arms\\s+Act|Electricity\\s+Act.*')} AS act, unnest({oracle.sections('c', 'Ipc|Arms\\s+Act|Electricity\\s+Act.*')}) AS s
+    FROM (SELECT case_id, unnest({oracle.clauses('raw_value')}) AS c FROM mentions WHERE entity_type = 'STATUTE') WHERE regexp_matches(c, '(?i)^[\\d\\w/(),\\s]+?\\s+(Ipc|Arms\\s+Act|Electricity\\s+Act.*)$')) WHERE case_id = 3"""}
+
+
+@query(sql("SELECT normalized_value, (SELECT count(*) FROM sections) AS total_rows FROM sections ORDER BY normalized_value LIMIT 100", "mentions", extra=_LISTED_SECTIONS))
+def page_identifiers(spark, sf_dir):
+    """The different section identifiers of one case."""
+    rows = extract.section_identifiers(C.mentions(spark, sf_dir)).select("case_id", "normalized_value").distinct()
+    return report.page(rows, [F.col("normalized_value")], case_id=3).select("normalized_value", "total_rows")
+
+
 @query("SELECT event_id, event_type, (SELECT count(*) FROM events WHERE event_type = 'error') AS total_rows FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 20")
 def page_alerts(spark, sf_dir):
     return report.page(C.table(spark, sf_dir, "events"), [F.desc("event_id")], limit=20, event_type="error").select("event_id", "event_type", "total_rows")

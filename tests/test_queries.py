@@ -15,7 +15,6 @@ from casenet.plans.queries import ORACLES, QUERIES
 
 DATA, ROOT = "/root/testdata/sf0.001", os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"tier_hist", "entity_alerts", "persist_run"}  # their parts are in risk_scores, explain_entities and the graph tests
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +31,7 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     cursor = duck.execute(ORACLES[name])
