@@ -118,9 +118,9 @@ class LineRuns:
         Runs are read by their paths: a union of bucketed scans claims their
         partitioning, and may then be read unbucketed without a shuffle.
         """
-        first = F.min(F.struct("batch", (-F.col("keep_id")).alias("turned"))).alias("first")
+        first = F.min(F.struct("batch", "keep_id")).alias("first")
         rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{name}" for name in names)).repartition(self.buckets, *KEY)
-        return rows.groupBy(*KEY).agg(first, F.sum("n_docs").alias("n_docs")).select(*KEY, "first.batch", (-F.col("first.turned")).alias("keep_id"), "n_docs")
+        return rows.groupBy(*KEY).agg(first, F.sum("n_docs").alias("n_docs")).select(*KEY, "first.batch", "first.keep_id", "n_docs")
 
     def repeated(self) -> DataFrame:
         """h1, h2 and keep_id of the keys found in ``least_docs`` documents or more."""
@@ -172,7 +172,7 @@ def deduplicate(docs: DataFrame, batches: int = 4, least_chars: int = 20, least_
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     low, high = docs.agg(F.min(F.col("doc_id").cast("bigint")), F.max(F.col("doc_id").cast("bigint"))).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // batches))
-    part = F.coalesce(F.floor((F.lit(high or 0) - F.col("doc_id").cast("bigint")) / width), F.lit(batches - 1)).cast("int")
+    part = F.coalesce(F.expr(f"cast((cast({high or 0} as decimal(20, 0)) - cast(doc_id as bigint)) div {width} as int)"), F.lit(batches - 1))
     lines = tables.write(long_lines(rows.select("doc_id", "text", part.alias("part")), least_chars), "lines", "part")
     buckets = min(MOST_BUCKETS, max(16, -(-lines.count() // LINES_PER_BUCKET)))
     runs = LineRuns(spark, buckets=buckets, fanout=fanout, least_docs=least_docs)

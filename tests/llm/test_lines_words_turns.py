@@ -68,6 +68,13 @@ def test_line_dedup_does_not_depend_on_the_number_of_batches(spark, batches):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.collect()), key=str) == plain_lines(docs)
 
 
+def test_line_dedup_over_all_ids_there_are(spark):
+    line = "a line of the least and the greatest ids"
+    docs = [(i, line) for i in (-(2**63), -(2**63) + 1, -1, 0, 2**53 + 1, 2**63 - 2, 2**63 - 1)]
+    found = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.collect()), key=str) == plain_lines(docs)
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.digests(line_dedup.deduplicate(spark.createDataFrame([], "doc_id bigint, text string"))).collect() == []
 
