@@ -8,7 +8,9 @@ template are the only ones that a reader or the tokenizer can see, and
 ``unescape`` restores every text.
 
 Edge cases: null roles and texts are empty; turns are ordered by (turn, role,
-text), so ties and repeated rows have one defined order and all stay; a null
+text), so ties and repeated rows have one defined order and all stay; a text or
+conversation of any length is taken whole, as one row and one call of the
+encoder, as the ids depend on all of it; a null
 conv_id is a conversation like any other; an empty table gives an empty
 result; columns besides conv_id, turn, role and text are ignored.
 """

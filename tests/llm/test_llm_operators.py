@@ -799,3 +799,13 @@ def test_columns_without_an_order_pass_the_exact_stage(spark, kind):
 
 def test_buckets_follow_the_rows():
     assert [exact_dedup.buckets_for(n) for n in (0, 1000, 50_000_000, 10**12)] == [16, 16, 100, 1 << 15]
+
+
+def test_a_long_conversation_is_formatted_whole(spark):
+    said = ("word <|im_end|> \\ é 😀 " * 8_000, "short")
+    turns = [(1, k, "assistant" if k % 2 else "user", said[k % 3 == 0] if k else said[0]) for k in range(400)]
+    row = chat_format.digests(chat_format.format_conversations(spark.createDataFrame(turns[:1] + [(1, k, r, t[:5000]) for _, k, r, t in turns[1:]], "conv_id bigint, turn bigint, role string, text string"), public_tokenizers.path("byte_bpe_50k.json"))).first()
+    texts = [turns[0][3]] + [t[:5000] for _, _, _, t in turns[1:]]
+    assert row["n_turns"] == 400
+    assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for (_, _, r, _), t in zip(turns, texts, strict=True)).encode()).hexdigest()
+    assert row["loss_sha256"] == hashlib.sha256("".join(t for (_, _, r, _), t in zip(turns, texts, strict=True) if r == "assistant").encode()).hexdigest()
