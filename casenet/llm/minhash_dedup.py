@@ -10,10 +10,14 @@ exact Jaccard similarity of the full sets.
 Bands hold hot groups, so a band never yields all its pairs. In linear rounds
 each document is compared with one pivot of its bands; what is linked is one
 component from then on, and only bands that still hold several components are
-looked at again. Members that are left are compared by sketches in blocks of at
-most ``BLOCK``. Where a band has so many that each would be copied to more than
-``SPLITS`` blocks, it is split by further coordinates of the signature first,
-again in bands of their own, as long as that halves it. Members of a band are
+looked at again. Crowded bands, of more than ``SPLITS`` blocks of ``BLOCK``
+members beside their largest component, take further rounds with pivots among
+the open components for as long as these become an eighth fewer each time.
+Members that are left are compared by sketches in blocks of at most ``BLOCK``;
+those of a band's largest component do not meet each other. A crowded band is
+split by further coordinates of the signature first, again in bands of their
+own, as long as that halves it, and what stays crowded meets on its rarest
+shingles, which miss no pair. Members of a band are
 spread over ``SALTS`` tasks, and a pivot's set is copied for every ``PARTNERS``
 members of its bands.
 
@@ -34,7 +38,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casenet.llm import textkernel as tk
@@ -47,6 +51,7 @@ LINEAR_ROUNDS = 2
 SKETCH, BLOCK = 512, 512
 LEVELS, SPLITS, BYTES = 4, 16, 3  # at each level a large band is split by SPLITS groups of BYTES coordinates
 SALTS, PARTNERS = 16, 256
+SLOT_BITS = 18  # of the counters that order shingles by their frequency: 2 MB, whatever the input
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +143,22 @@ def _sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, items binary, sketch binary")
 
 
-def _spread(members: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def _spread(members: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``members`` joined to ``table``, which has one row for each ``key``; a hot key's members are dealt over ``SALTS`` tasks."""
     salted = table.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+
+
+def _with_idle(parts: DataFrame, key: str) -> DataFrame:
+    """``parts`` with ``idle`` rows, which need not meet each other, and their number: a part's largest component, where it has more than ``BLOCK`` rows."""
+    large = parts.where(F.col("rows") > BLOCK).groupBy(key, "component").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > BLOCK)
+    largest = large.groupBy(key).agg(F.max(F.struct("of", "component")).alias("m")).select(key, F.col("m.of").alias("idle_rows"), F.col("m.component").alias("largest"))
+    marked = _spread(parts, largest, key, "left").withColumn("idle", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
+    return marked.withColumn("idle_rows", F.coalesce("idle_rows", F.lit(0))).drop("largest")
+
+
+def _crowded() -> Column:
+    return F.col("rows") - F.col("idle_rows") > SPLITS * BLOCK
 
 
 def _split(parts: DataFrame, sketches: DataFrame, level: int, bands: int) -> DataFrame:
@@ -151,23 +168,73 @@ def _split(parts: DataFrame, sketches: DataFrame, level: int, bands: int) -> Dat
     """
     first = 8 * bands + BYTES * SPLITS * level + 1
     pieces = F.array(*(F.substring("sketch", first + BYTES * j, BYTES) for j in range(SPLITS)))
-    rows = parts.join(sketches, "doc_id").select("key", "path", "part", "rows", "doc_id", "n", "component", F.posexplode(pieces).alias("j", "piece"))
-    split = rows.select("key", F.array_append("path", F.col("j")).alias("path"), F.xxhash64("part", "j", "piece").alias("part"), F.col("rows").alias("was"), "doc_id", "n", "component")
+    rows = parts.join(sketches, "doc_id").select("key", "path", "part", "rows", "idle_rows", "doc_id", "n", "component", F.posexplode(pieces).alias("j", "piece"))
+    split = rows.select("key", F.array_append("path", F.col("j")).alias("path"), F.xxhash64("part", "j", "piece").alias("part"), (F.col("rows") - F.col("idle_rows")).alias("was"), "doc_id", "n", "component")
     sizes = split.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part", "rows")
     return _spread(split, sizes, "part")
 
 
-def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int) -> DataFrame:
+def _rare_parts(members: DataFrame, sets: DataFrame, percent: int, tables: SharedTables) -> DataFrame:
+    """Members once for each of their rarest shingles, as parts in which every pair of the similarity meets at least once.
+
+    A pair has at least ``2 * percent / (100 + percent)`` of the smaller set in
+    common and ``percent / 100`` of the larger. In any common order of shingles
+    the pair therefore shares one of the first that are left over, and one, of
+    each (prefix filtering). The order is by frequency, so that these are what
+    a crowd does not have in common. Shingles of a set that only count where
+    the other is smaller make it ``idle`` there. The counters are as many for
+    every input, so the driver and each task can hold them.
+    """
+
+    def slots(values: np.ndarray) -> np.ndarray:
+        return (tk.mix(values ^ tk.U64(0x9E6C63D0876A68E5)) >> tk.U64(64 - SLOT_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            for items in batch.column("items"):
+                np.add.at(total, slots(np.frombuffer(items.as_buffer(), dtype=tk.U64)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    held = tables.write(members.join(sets.select("doc_id", "items"), "doc_id").select("doc_id", "n", "component", "items"), "crowd")
+    counted = held.select("items").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, items in enumerate(batch.column("items")):
+                values = np.frombuffer(items.as_buffer(), dtype=tk.U64)
+                n = len(values)
+                beside_smaller = n + 1 + (-percent * n) // 100
+                beside_larger = n + 1 + (-2 * percent * n) // (100 + percent)
+                seen = often[slots(values)]
+                order = np.lexsort((values, seen))[:beside_smaller]
+                idle = np.arange(len(order)) >= beside_larger
+                shared = seen[order] > 1
+                own = batch.slice(row, 1).select(["doc_id", "n", "component"]).take(pa.array(np.zeros(int(shared.sum()), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([_signed(values[order][shared]), *own.columns, pa.array(idle[shared])], names=["part", "doc_id", "n", "component", "idle"])
+
+    rows = tables.write(held.mapInArrow(rare, "part bigint, doc_id bigint, n bigint, component bigint, idle boolean"), "rare")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_if("idle").alias("idle_rows"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return _spread(rows, sizes.where("low < high and idle_rows < rows").select("part", "rows", "idle_rows"), "part")
+
+
+def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int, once: bool = True) -> DataFrame:
     """Pairs (a < b) of members of one part, of different components, whose sizes and sketches allow the similarity.
 
     A part of more than ``BLOCK`` members is dealt over blocks by a hash of the
-    id, and each two of its blocks meet as one bounded group. A pair counts in
-    the first of the bands (and groups of coordinates) that it shares, so it
-    comes once.
+    id, and each two of its blocks meet as one bounded group, but for two
+    blocks of idle rows. With ``once`` a pair counts in the first of the bands
+    (and groups of coordinates) that it shares, so it comes once.
     """
     least = int(SKETCH * percent / 100 - 4.5 * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5)
-    rows = parts.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(sketches, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = parts.withColumn("idle_blocks", F.ceil(F.col("idle_rows") / BLOCK).cast("int"))
+    rows = rows.withColumn("blocks", F.col("idle_blocks") + F.ceil((F.col("rows") - F.col("idle_rows")) / BLOCK).cast("int"))
+    spot = F.xxhash64("doc_id")
+    rows = rows.withColumn("own", F.when(F.col("idle"), F.pmod(spot, F.col("idle_blocks"))).otherwise(F.col("idle_blocks") + F.pmod(spot, F.col("blocks") - F.col("idle_blocks"))).cast("int"))
+    rows = rows.join(sketches, "doc_id").withColumn("other", F.explode(F.sequence(F.when(F.col("idle"), F.col("idle_blocks")).otherwise(0), F.col("blocks") - 1)))
     met = rows.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "key", F.col("path").cast("array<bigint>").alias("path"), "sketch")
     met = met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high", "own")
 
@@ -190,7 +257,7 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
                 close = (k[x] == sketch[right][y]).sum(axis=1) >= least
                 x, y = x[close], y[close]
                 shared = (name[x] == names[right][y]).argmax(axis=1)
-                here = name[x, shared] == key[0]
+                here = (name[x, shared] == key[0]) | (not once)
                 for piece, wanted in zip(pieces, path[0], strict=True):
                     here &= (piece[left][part][x] == piece[right][y]).all(axis=2).argmax(axis=1) == wanted
                 x, y = d[x[here]], doc[right][y[here]]
@@ -226,16 +293,26 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _close_pairs(still: DataFrame, sketches: DataFrame, percent: int, bands: int, tables: SharedTables) -> DataFrame:
-    """Pairs of members of open bands whose sketches allow the similarity; large bands are split by further coordinates first."""
-    parts, found = still.select("key", F.array().cast("array<int>").alias("path"), F.col("key").alias("part"), "rows", (2 * F.col("rows")).alias("was"), "doc_id", "n", "component"), []
-    large = (F.col("rows") > SPLITS * BLOCK) & (2 * F.col("rows") <= F.col("was"))
+def _close_pairs(still: DataFrame, sets: DataFrame, percent: int, bands: int, tables: SharedTables) -> DataFrame:
+    """Pairs of members of open bands whose sketches allow the similarity; crowded bands are split first, by further coordinates or rare shingles."""
+    sketches = sets.select("doc_id", "sketch")
+    parts = still.select("key", F.array().cast("array<int>").alias("path"), F.col("key").alias("part"), "rows", F.lit(None).cast("bigint").alias("was"), "doc_id", "n", "component")
+    if still.where(F.col("rows") > BLOCK).isEmpty():
+        return _block_pairs(parts.withColumns({"idle": F.lit(False), "idle_rows": F.lit(0)}), sketches, percent, bands)
+    found, crowds = [], []
     for level in range(LEVELS + 1):
-        if level == LEVELS or parts.where(large).isEmpty():
-            return reduce(DataFrame.unionByName, [*found, _block_pairs(parts, sketches, percent, bands)])
-        found.append(_block_pairs(parts.where(~large), sketches, percent, bands))
-        parts = tables.write(_split(parts.where(large), sketches, level, bands), f"parts-{level}")
-    raise AssertionError("the last level returns")
+        parts = tables.write(_with_idle(parts, "part"), f"parts-{level}")
+        found.append(_block_pairs(parts.where(~_crowded()), sketches, percent, bands))
+        halved = F.lit(level < LEVELS) & F.coalesce(2 * (F.col("rows") - F.col("idle_rows")) <= F.col("was"), F.lit(True))
+        crowds.append(parts.where(_crowded() & ~halved).select("doc_id", "n", "component"))
+        if parts.where(_crowded() & halved).isEmpty():
+            break
+        parts = _split(parts.where(_crowded() & halved), sketches, level, bands)
+    crowd = reduce(DataFrame.unionByName, crowds)
+    if not crowd.isEmpty():
+        rare = _rare_parts(crowd.distinct(), sets, percent, tables).withColumns({"key": F.lit(0).cast("bigint"), "path": F.array().cast("array<int>")})
+        found.append(_block_pairs(rare, sketches, percent, bands, once=False))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _confirmed(pairs: DataFrame, copies: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +348,8 @@ def _open_bands(members: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 def _pivot_pairs(still: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Each document (a) with the pivot (b) that most of its bands name and that it was not compared with, and how many copies a pivot needs."""
-    choice = F.struct(F.lit(0) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
+    by = F.lit(0) if turn == 0 else F.xxhash64("doc_id" if turn < LINEAR_ROUNDS else "component", F.lit(turn))
+    choice = F.struct(by, "doc_id", "n", "component")
     pivots = still.groupBy("key").agg(F.min(choice).alias("p"), F.count(F.lit(1)).alias("members"))
     pivots = pivots.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("n_b"), F.col("p.component").alias("c"), F.ceil(F.col("members") / PARTNERS).cast("int").alias("copies"))
     near = _spread(still.withColumnRenamed("n", "n_a"), pivots, "key").where("component <> c").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -304,19 +382,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     tested: DataFrame | None = None
     edges: DataFrame | None = None
-    turn = 0
+    turn, crowds = 0, None
     while True:
         still = tables.write(_open_bands(members, edges), "open")
-        if turn < LINEAR_ROUNDS:
-            pairs, copies = _pivot_pairs(still, tested, turn, percent)
+        further = still
+        if turn >= LINEAR_ROUNDS:
+            further = _with_idle(still.where(F.col("rows") > SPLITS * BLOCK), "key").where(_crowded() & ~F.col("idle")).drop("idle", "idle_rows")
+            before, crowds = crowds, further.select("key", "component").distinct().count()
+        last = turn >= LINEAR_ROUNDS and (crowds == 0 or (before is not None and 8 * crowds > 7 * before))
+        if not last:
+            pairs, copies = _pivot_pairs(further, tested, turn, percent)
         else:
-            pairs, copies = _close_pairs(still, sets.select("doc_id", "sketch"), percent, bands, tables).withColumn("copy", F.lit(0)), None
+            pairs, copies = _close_pairs(still, sets, percent, bands, tables).withColumn("copy", F.lit(0)), None
             known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         checked = tables.write(_confirmed(pairs, copies, sets, percent), "tested")
         tested = checked if tested is None else tested.unionByName(checked)
         edges = tested.where("linked").select("a", "b")
-        if turn == LINEAR_ROUNDS or still.isEmpty():
+        if last or still.isEmpty():
             break
         turn += 1
         tables.drop("open")

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casenet.llm import byte_bpe, chat_format, exact_dedup, linemodel, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, textkernel, token_counts, toxicity
+from casenet.plans.shared import SharedTables
 
 DOCS = "doc_id bigint, text string, lang string, n_chars bigint, score double, ids array<int>, n_tokens bigint, kept boolean, component_id string, held_out string, predicted string, name string, place string"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -723,6 +724,57 @@ def test_hot_bands_are_compared_in_blocks(spark, monkeypatch, block, levels):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_rare_shingles_miss_no_pair(spark, tmp_path, size, percent):
+    data = family_rows()
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations([(i, shingle_set(t, size)) for i, t in data], 2) if 100 * len(x & y) >= percent * len(x | y)}
+    docs = documents(spark, data).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets = minhash_dedup._sets(docs, size, 24, 6)
+    members = minhash_dedup.signature_table(docs, size, 24, 6).select("doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component"))
+    parts = minhash_dedup._rare_parts(members, sets, percent, SharedTables(spark)).select("part", "doc_id", "idle").collect()
+    met = {}
+    for r in parts:
+        met.setdefault(r["part"], []).append((r["doc_id"], r["idle"]))
+    found = {tuple(sorted((a, b))) for rows in met.values() for (a, i), (b, j) in itertools.combinations(rows, 2) if not (i and j)}
+    assert want <= found and len(found) < len(data) ** 2 / 6
+
+
+@pytest.mark.parametrize("changed", [4, 12])
+def test_a_crowd_on_one_form(spark, monkeypatch, changed):
+    """Texts on one form, all unlinked where 12 of 100 words are their own, and one large component beside some others where 4 are."""
+    for name, value in {"BLOCK": 8, "SPLITS": 4, "LEVELS": 1}.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
+    met, rare = [], minhash_dedup._rare_parts
+    monkeypatch.setattr(minhash_dedup, "_rare_parts", lambda *given: met.append(given) or rare(*given))
+    rng, form = random.Random(8), prose(77, 100).split()
+    data = []
+    for k in range(240):
+        words = list(form)
+        first = rng.randrange(100 - changed)
+        for at in range(first, first + (changed if k % 20 else 14)):
+            words[min(at, 99)] = f"own{k}x{at}"
+        data.append((k, " ".join(words)))
+    want = components(data, 3, 85)
+    got = minhash_dedup.near_duplicates(documents(spark, data), 3, 85, 24, 6).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert met or changed == 4
+
+
+def test_families_of_one_band_become_components_before_blocks(spark, monkeypatch):
+    """Ten families that share every band and link only within: pivots among the open components leave no crowd."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
+    monkeypatch.setattr(minhash_dedup, "SPLITS", 4)
+    turns = []
+    pivots = minhash_dedup._pivot_pairs
+    monkeypatch.setattr(minhash_dedup, "_pivot_pairs", lambda still, tested, turn, percent: turns.append(turn) or pivots(still, tested, turn, percent))
+    form = prose(78, 200).split()
+    data = [(100 * f + k, " ".join([*form, *prose(600 + f, 45).split(), f"tail{k}"])) for f in range(10) for k in range(20)]
+    want = components(data, 3, 85)
+    got = minhash_dedup.near_duplicates(documents(spark, data), 3, 85, 24, 6).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) == 10 and max(turns) >= minhash_dedup.LINEAR_ROUNDS
+
+
 def test_near_duplicate_edges(messy, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
     kept = minhash_dedup.keep_one(messy)
