@@ -14,10 +14,10 @@ looked at again. Crowded bands, of more than ``SPLITS`` blocks of ``BLOCK``
 members beside their largest component, take further rounds with pivots among
 the open components for as long as these become an eighth fewer each time.
 Members that are left are compared by sketches in blocks of at most ``BLOCK``;
-those of a band's largest component do not meet each other. A crowded band is
-split by further coordinates of the signature first, again in bands of their
-own, as long as that halves it, and what stays crowded meets on its rarest
-shingles, which miss no pair. Members of a band are
+those of a band's largest component do not meet each other. Members of
+crowded bands meet on their rarest shingles instead, which miss no pair (with
+``LEVELS``, after splits by further coordinates as long as these halve a band).
+Members of a band are
 spread over ``SALTS`` tasks, and a pivot's set is copied for every ``PARTNERS``
 members of its bands.
 
@@ -49,7 +49,7 @@ from casenet.plans.shared import SharedTables
 UNIVERSE_BITS = 22
 LINEAR_ROUNDS = 2
 SKETCH, BLOCK = 512, 512
-LEVELS, SPLITS, BYTES = 4, 16, 3  # at each level a large band is split by SPLITS groups of BYTES coordinates
+LEVELS, SPLITS, BYTES = 0, 16, 3  # levels at which a crowded band is split by SPLITS groups of BYTES coordinates, before its rare shingles
 SALTS, PARTNERS = 16, 256
 SLOT_BITS = 18  # of the counters that order shingles by their frequency: 2 MB, whatever the input
 
@@ -204,7 +204,8 @@ def _rare_parts(members: DataFrame, sets: DataFrame, percent: int, tables: Share
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, items in enumerate(batch.column("items")):
+            kept: list[tuple[np.ndarray, np.ndarray]] = []
+            for items in batch.column("items"):
                 values = np.frombuffer(items.as_buffer(), dtype=tk.U64)
                 n = len(values)
                 beside_smaller = n + 1 + (-percent * n) // 100
@@ -213,8 +214,11 @@ def _rare_parts(members: DataFrame, sets: DataFrame, percent: int, tables: Share
                 order = np.lexsort((values, seen))[:beside_smaller]
                 idle = np.arange(len(order)) >= beside_larger
                 shared = seen[order] > 1
-                own = batch.slice(row, 1).select(["doc_id", "n", "component"]).take(pa.array(np.zeros(int(shared.sum()), dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([_signed(values[order][shared]), *own.columns, pa.array(idle[shared])], names=["part", "doc_id", "n", "component", "idle"])
+                kept.append((values[order][shared], idle[shared]))
+            if kept:
+                own = batch.select(["doc_id", "n", "component"]).take(pa.array(np.repeat(np.arange(len(kept)), [len(v) for v, _ in kept])))
+                part, idle = (np.concatenate(c) for c in zip(*kept, strict=True))
+                yield pa.RecordBatch.from_arrays([_signed(part), *own.columns, pa.array(idle)], names=["part", "doc_id", "n", "component", "idle"])
 
     rows = tables.write(held.mapInArrow(rare, "part bigint, doc_id bigint, n bigint, component bigint, idle boolean"), "rare")
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_if("idle").alias("idle_rows"), F.min("component").alias("low"), F.max("component").alias("high"))
