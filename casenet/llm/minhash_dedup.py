@@ -10,14 +10,12 @@ exact Jaccard similarity of the full sets.
 Bands hold hot groups, so a band never yields all its pairs. In linear rounds
 each document is compared with one pivot of its bands; what is linked is one
 component from then on, and only bands that still hold several components are
-looked at again. Crowded bands, of more than ``SPLITS`` blocks of ``BLOCK``
-members beside their largest component, take further rounds with pivots among
-the open components for as long as these become an eighth fewer each time.
-Members that are left are compared by sketches in blocks of at most ``BLOCK``;
-those of a band's largest component do not meet each other. Members of
-crowded bands meet on their rarest shingles instead, which miss no pair (with
-``LEVELS``, after splits by further coordinates as long as these halve a band).
-Members of a band are
+looked at again. Crowded bands, of more than ``CROWD`` members beside their
+largest component, take further rounds with pivots among the open components
+for as long as these become an eighth fewer each time. Members that are left
+are compared by sketches in blocks of at most ``BLOCK``; those of a band's
+largest component do not meet each other. Members of crowded bands meet on
+their rarest shingles instead, which miss no pair. Members of a band are
 spread over ``SALTS`` tasks, and a pivot's set is copied for every ``PARTNERS``
 members of its bands.
 
@@ -34,7 +32,7 @@ result; only the id and ``text`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +47,7 @@ from casenet.plans.shared import SharedTables
 UNIVERSE_BITS = 22
 LINEAR_ROUNDS = 2
 SKETCH, BLOCK = 512, 512
-LEVELS, SPLITS, BYTES = 0, 16, 3  # levels at which a crowded band is split by SPLITS groups of BYTES coordinates, before its rare shingles
+CROWD = 2 * BLOCK  # open members of a band; texts of one form just below the similarity pass the sketches, so what a band may bring to the exact comparison is half the square of this
 SALTS, PARTNERS = 16, 256
 SLOT_BITS = 18  # of the counters that order shingles by their frequency: 2 MB, whatever the input
 
@@ -158,20 +156,7 @@ def _with_idle(parts: DataFrame, key: str) -> DataFrame:
 
 
 def _crowded() -> Column:
-    return F.col("rows") - F.col("idle_rows") > SPLITS * BLOCK
-
-
-def _split(parts: DataFrame, sketches: DataFrame, level: int, bands: int) -> DataFrame:
-    """The members of each part in parts of their own, for each of ``SPLITS`` groups of coordinates that they agree in.
-
-    A pair at 0.80 agrees in none of 16 groups of 3 with probability 1.0e-5, at 0.85 with 2.7e-7.
-    """
-    first = 8 * bands + BYTES * SPLITS * level + 1
-    pieces = F.array(*(F.substring("sketch", first + BYTES * j, BYTES) for j in range(SPLITS)))
-    rows = parts.join(sketches, "doc_id").select("key", "path", "part", "rows", "idle_rows", "doc_id", "n", "component", F.posexplode(pieces).alias("j", "piece"))
-    split = rows.select("key", F.array_append("path", F.col("j")).alias("path"), F.xxhash64("part", "j", "piece").alias("part"), (F.col("rows") - F.col("idle_rows")).alias("was"), "doc_id", "n", "component")
-    sizes = split.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part", "rows")
-    return _spread(split, sizes, "part")
+    return F.col("rows") - F.col("idle_rows") > CROWD
 
 
 def _rare_parts(members: DataFrame, sets: DataFrame, percent: int, tables: SharedTables) -> DataFrame:
@@ -231,7 +216,7 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
     A part of more than ``BLOCK`` members is dealt over blocks by a hash of the
     id, and each two of its blocks meet as one bounded group, but for two
     blocks of idle rows. With ``once`` a pair counts in the first of the bands
-    (and groups of coordinates) that it shares, so it comes once.
+    that it shares, so it comes once.
     """
     least = int(SKETCH * percent / 100 - 4.5 * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5)
     rows = parts.withColumn("idle_blocks", F.ceil(F.col("idle_rows") / BLOCK).cast("int"))
@@ -239,16 +224,15 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
     spot = F.xxhash64("doc_id")
     rows = rows.withColumn("own", F.when(F.col("idle"), F.pmod(spot, F.col("idle_blocks"))).otherwise(F.col("idle_blocks") + F.pmod(spot, F.col("blocks") - F.col("idle_blocks"))).cast("int"))
     rows = rows.join(sketches, "doc_id").withColumn("other", F.explode(F.sequence(F.when(F.col("idle"), F.col("idle_blocks")).otherwise(0), F.col("blocks") - 1)))
-    met = rows.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "key", F.col("path").cast("array<bigint>").alias("path"), "sketch")
+    met = rows.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "component", "key", "sketch")
     met = met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high", "own")
 
-    def compare(high, own, doc, n, component, key, path, sketch) -> list[np.ndarray]:
+    def compare(high, own, doc, n, component, key, sketch) -> list[np.ndarray]:
         names, sketch = sketch[:, : 8 * bands].copy().view(np.int64), sketch[:, 8 * bands :]
         cut = int(np.searchsorted(own, high[0])) if own[0] < own[-1] else 0
         left, right = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
         if not cut and own[0] < high[0]:
             return []
-        pieces = [sketch[:, BYTES * SPLITS * k : BYTES * SPLITS * (k + 1)].reshape(len(doc), SPLITS, BYTES) for k in range(len(path[0]))]
         found = []
         for lo in range(0, len(doc[left]), 64):
             part = slice(lo, lo + 64)
@@ -262,8 +246,6 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
                 x, y = x[close], y[close]
                 shared = (name[x] == names[right][y]).argmax(axis=1)
                 here = (name[x, shared] == key[0]) | (not once)
-                for piece, wanted in zip(pieces, path[0], strict=True):
-                    here &= (piece[left][part][x] == piece[right][y]).all(axis=2).argmax(axis=1) == wanted
                 x, y = d[x[here]], doc[right][y[here]]
                 found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
         return found
@@ -288,7 +270,7 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
 
         for batch in batches:
             if batch.num_rows:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:9]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH + 8 * bands)]
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH + 8 * bands)]
                 columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
                 yield from pairs(groups(columns, False))
         if held is not None:
@@ -298,25 +280,18 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
 
 
 def _close_pairs(still: DataFrame, sets: DataFrame, percent: int, bands: int, tables: SharedTables) -> DataFrame:
-    """Pairs of members of open bands whose sketches allow the similarity; crowded bands are split first, by further coordinates or rare shingles."""
+    """Pairs of members of open bands whose sketches allow the similarity; those of crowded bands meet on rare shingles."""
     sketches = sets.select("doc_id", "sketch")
-    parts = still.select("key", F.array().cast("array<int>").alias("path"), F.col("key").alias("part"), "rows", F.lit(None).cast("bigint").alias("was"), "doc_id", "n", "component")
+    parts = still.select("key", F.col("key").alias("part"), "rows", "doc_id", "n", "component")
     if still.where(F.col("rows") > BLOCK).isEmpty():
         return _block_pairs(parts.withColumns({"idle": F.lit(False), "idle_rows": F.lit(0)}), sketches, percent, bands)
-    found, crowds = [], []
-    for level in range(LEVELS + 1):
-        parts = tables.write(_with_idle(parts, "part"), f"parts-{level}")
-        found.append(_block_pairs(parts.where(~_crowded()), sketches, percent, bands))
-        halved = F.lit(level < LEVELS) & F.coalesce(2 * (F.col("rows") - F.col("idle_rows")) <= F.col("was"), F.lit(True))
-        crowds.append(parts.where(_crowded() & ~halved).select("doc_id", "n", "component"))
-        if parts.where(_crowded() & halved).isEmpty():
-            break
-        parts = _split(parts.where(_crowded() & halved), sketches, level, bands)
-    crowd = reduce(DataFrame.unionByName, crowds)
-    if not crowd.isEmpty():
-        rare = _rare_parts(crowd.distinct(), sets, percent, tables).withColumns({"key": F.lit(0).cast("bigint"), "path": F.array().cast("array<int>")})
-        found.append(_block_pairs(rare, sketches, percent, bands, once=False))
-    return reduce(DataFrame.unionByName, found).distinct()
+    parts = tables.write(_with_idle(parts, "part"), "parts")
+    found = _block_pairs(parts.where(~_crowded()), sketches, percent, bands)
+    crowd = parts.where(_crowded()).select("doc_id", "n", "component").distinct()
+    if crowd.isEmpty():
+        return found
+    rare = _rare_parts(crowd, sets, percent, tables).withColumn("key", F.lit(0).cast("bigint"))
+    return found.unionByName(_block_pairs(rare, sketches, percent, bands, once=False)).distinct()
 
 
 def _confirmed(pairs: DataFrame, copies: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
@@ -391,7 +366,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         still = tables.write(_open_bands(members, edges), "open")
         further = still
         if turn >= LINEAR_ROUNDS:
-            further = _with_idle(still.where(F.col("rows") > SPLITS * BLOCK), "key").where(_crowded() & ~F.col("idle")).drop("idle", "idle_rows")
+            further = _with_idle(still.where(F.col("rows") > CROWD), "key").where(_crowded() & ~F.col("idle")).drop("idle", "idle_rows")
             before, crowds = crowds, further.select("key", "component").distinct().count()
         last = turn >= LINEAR_ROUNDS and (crowds == 0 or (before is not None and 8 * crowds > 7 * before))
         if not last:

@@ -713,11 +713,11 @@ def test_near_duplicates_against_brute_force(spark, size, percent, bands, rows):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-@pytest.mark.parametrize(("block", "levels"), [(8, 0), (1, 4)])
-def test_hot_bands_are_compared_in_blocks(spark, monkeypatch, block, levels):
+@pytest.mark.parametrize(("block", "crowd"), [(8, 128), (1, 16), (8, 8)])
+def test_hot_bands_are_compared_in_blocks(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     monkeypatch.setattr(minhash_dedup, "LINEAR_ROUNDS", 1)
-    monkeypatch.setattr(minhash_dedup, "LEVELS", levels)
+    monkeypatch.setattr(minhash_dedup, "CROWD", crowd)
     data = family_rows()
     want = components(data, 3, 85)
     got = minhash_dedup.near_duplicates(documents(spark, data), 3, 85, 24, 6).collect()
@@ -742,7 +742,7 @@ def test_rare_shingles_miss_no_pair(spark, tmp_path, size, percent):
 @pytest.mark.parametrize("changed", [4, 12])
 def test_a_crowd_on_one_form(spark, monkeypatch, changed):
     """Texts on one form, all unlinked where 12 of 100 words are their own, and one large component beside some others where 4 are."""
-    for name, value in {"BLOCK": 8, "SPLITS": 4, "LEVELS": 1}.items():
+    for name, value in {"BLOCK": 8, "CROWD": 32}.items():
         monkeypatch.setattr(minhash_dedup, name, value)
     met, rare = [], minhash_dedup._rare_parts
     monkeypatch.setattr(minhash_dedup, "_rare_parts", lambda *given: met.append(given) or rare(*given))
@@ -763,7 +763,7 @@ def test_a_crowd_on_one_form(spark, monkeypatch, changed):
 def test_families_of_one_band_become_components_before_blocks(spark, monkeypatch):
     """Ten families that share every band and link only within: pivots among the open components leave no crowd."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
-    monkeypatch.setattr(minhash_dedup, "SPLITS", 4)
+    monkeypatch.setattr(minhash_dedup, "CROWD", 8)
     turns = []
     pivots = minhash_dedup._pivot_pairs
     monkeypatch.setattr(minhash_dedup, "_pivot_pairs", lambda still, tested, turn, percent: turns.append(turn) or pivots(still, tested, turn, percent))
