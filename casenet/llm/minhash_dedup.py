@@ -13,7 +13,7 @@ component from then on, and only bands that still hold several components are
 looked at again. Crowded bands, of more than ``CROWD`` members beside their
 largest component, take further rounds with pivots among the open components
 for as long as these become an eighth fewer each time. Members that are left
-are compared by sketches in blocks of at most ``BLOCK``; those of a band's
+are sketched and compared in blocks of at most ``BLOCK``; those of a band's
 largest component do not meet each other. Members of crowded bands meet on
 their rarest shingles instead, which miss no pair. Members of a band are
 spread over ``SALTS`` tasks, and a pivot's set is copied for every ``PARTNERS``
@@ -125,8 +125,8 @@ def signature_table(docs: DataFrame, size: int, bands: int, rows: int) -> DataFr
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, its whole shingle set as sorted 64-bit values, and a sketch: its band keys and the low bytes of ``SKETCH`` coordinates."""
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and its whole shingle set as sorted 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +134,24 @@ def _sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 doc, value = shingles(data, offsets, size)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets = [value[cut[d] : cut[d + 1]].tobytes() for d in range(hi - lo)]
-                wide = signatures(doc, value, hi - lo, max(SKETCH, bands * rows))
-                sketch = np.hstack([band_keys(wide[:, : bands * rows], bands, rows).view(np.uint8), wide[:, :SKETCH].astype(np.uint8)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary()), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["doc_id", "items", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "items"])
 
-    return docs.mapInArrow(run, "doc_id bigint, items binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, items binary")
+
+
+def _sketches(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc_id and a sketch of its set: the band keys and the low bytes of ``SKETCH`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = []
+            for items in batch.column("items"):
+                value = np.frombuffer(items.as_buffer(), dtype=tk.U64)
+                wide = signatures(np.zeros(len(value), dtype=np.int64), value, 1, max(SKETCH, bands * rows))
+                sketches.append(band_keys(wide[:, : bands * rows], bands, rows).tobytes() + wide[0, :SKETCH].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.binary())], names=["doc_id", "sketch"])
+
+    return sets.select("doc_id", "items").mapInArrow(run, "doc_id bigint, sketch binary")
 
 
 def _spread(members: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -279,9 +292,9 @@ def _block_pairs(parts: DataFrame, sketches: DataFrame, percent: int, bands: int
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _close_pairs(still: DataFrame, sets: DataFrame, percent: int, bands: int, tables: SharedTables) -> DataFrame:
+def _close_pairs(still: DataFrame, sets: DataFrame, percent: int, bands: int, n_rows: int, tables: SharedTables) -> DataFrame:
     """Pairs of members of open bands whose sketches allow the similarity; those of crowded bands meet on rare shingles."""
-    sketches = sets.select("doc_id", "sketch")
+    sketches = tables.write(_sketches(sets.join(still.select("doc_id").distinct(), "doc_id", "left_semi"), bands, n_rows), "sketches")
     parts = still.select("key", F.col("key").alias("part"), "rows", "doc_id", "n", "component")
     if still.where(F.col("rows") > BLOCK).isEmpty():
         return _block_pairs(parts.withColumns({"idle": F.lit(False), "idle_rows": F.lit(0)}), sketches, percent, bands)
@@ -357,7 +370,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     members = tables.write(_spread(banded, shared, "key").distinct(), "members")
     wanted = members.select("doc_id").distinct()
-    sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words, bands, rows).dropDuplicates(["doc_id"]), "sets")
+    sets = tables.write(_sets(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words).dropDuplicates(["doc_id"]), "sets")
 
     tested: DataFrame | None = None
     edges: DataFrame | None = None
@@ -372,7 +385,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if not last:
             pairs, copies = _pivot_pairs(further, tested, turn, percent)
         else:
-            pairs, copies = _close_pairs(still, sets, percent, bands, tables).withColumn("copy", F.lit(0)), None
+            pairs, copies = _close_pairs(still, sets, percent, bands, rows, tables).withColumn("copy", F.lit(0)), None
             known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         checked = tables.write(_confirmed(pairs, copies, sets, percent), "tested")

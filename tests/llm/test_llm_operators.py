@@ -729,7 +729,7 @@ def test_rare_shingles_miss_no_pair(spark, tmp_path, size, percent):
     data = family_rows()
     want = {(a, b) for (a, x), (b, y) in itertools.combinations([(i, shingle_set(t, size)) for i, t in data], 2) if 100 * len(x & y) >= percent * len(x | y)}
     docs = documents(spark, data).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = minhash_dedup._sets(docs, size, 24, 6)
+    sets = minhash_dedup._sets(docs, size)
     members = minhash_dedup.signature_table(docs, size, 24, 6).select("doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component"))
     parts = minhash_dedup._rare_parts(members, sets, percent, SharedTables(spark)).select("part", "doc_id", "idle").collect()
     met = {}
