@@ -367,3 +367,14 @@ def test_passing_tables_go_and_others_stay(spark):
     assert path in shared._of_session and kept not in shared._of_session
     tables.drop("u")
     assert path not in shared._of_session and not shared.exists(spark, path) and shared.exists(spark, kept)
+
+
+def test_mentions_of_different_texts_are_those_of_each_token(spark, tmp_path):
+    texts = ["Si John Ram, Town P.S", " Town Police  Station, ", "12/4 Ipc And 25(I)(A)/27 Arms Act", "2018", "", "  ", None, "DR. A B", "Under rule 4"]
+    rows = spark.createDataFrame([(i, k, t, c, 0.5) for i, t in enumerate(texts) for c in (0, 1, 2, 3, None) for k in range(2)], "image_id bigint, source_index int, text string, category_id int, score double")
+    extract.texts(rows).write.parquet(f"{tmp_path}/texts")
+    different = spark.read.parquet(f"{tmp_path}/texts")
+    assert different.count() == different.distinct().count() == 3 * len(texts)
+    extract.text_mentions(different).write.parquet(f"{tmp_path}/parsed")
+    plain = sorted(map(repr, extract.extract_mentions(rows).collect()))
+    assert plain and sorted(map(repr, extract.extract_mentions(rows, parsed=spark.read.parquet(f"{tmp_path}/parsed")).select(*extract.extract_mentions(rows).columns).collect())) == plain
