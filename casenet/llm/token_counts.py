@@ -19,7 +19,6 @@ are read. The trie and the counts are bounded and start anew when full.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 LONG = 96
 MAX_NODES, MAX_TERMINALS = 400_000, 500_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TAIL = 3
+SHORT = tuple(range(1, TAIL))
 
 
 @lru_cache(maxsize=2)
@@ -43,25 +43,50 @@ def piece_scores(path: str) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log(k + 1) - total for k, i in enumerate(ranked)}
 
 
+class _Terminals(dict):
+    """Pieces of each pre-token (UTF-8) met before; others are counted when asked for."""
+
+    def __init__(self, counter: TrieCounter):
+        self.counter = counter
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode("utf-8")
+        n = self.counter.count(text)
+        if len(text) < LONG:
+            if len(self) > MAX_TERMINALS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class TrieCounter:
     """Counts pieces of pre-tokens over one shared trie."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.scores = scores
         self.byte = min(scores.values(), default=0.0) - 10.0
+        ends: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) >= TAIL:
+                ends.setdefault(piece[-TAIL:], set()).add(len(piece))
+        self.sizes = {end: (*SHORT, *sorted(sizes)) for end, sizes in ends.items()}  # lengths that a piece with this end can have
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
-        self.terminal: dict[str, int] = {}
+        self.terminal = _Terminals(self)
 
     def _extend(self, text: str, depth: int, best: list[float], pieces: list[int]) -> tuple[float, int]:
         """Forward score of ``text[:depth]`` from those of its shorter prefixes."""
-        width = len(text[depth - 1].encode("utf-8", "surrogatepass"))
+        last = text[depth - 1]
+        width = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
         top, count = best[depth - 1] + width * self.byte, pieces[depth - 1] + width
-        for size in range(1, min(depth, self.longest) + 1):
-            score = self.scores.get(text[depth - size : depth])
+        get = self.scores.get
+        for size in self.sizes.get(text[depth - TAIL : depth], SHORT) if depth >= TAIL else SHORT:
+            if size > depth:
+                break
+            score = get(text[depth - size : depth])
             if score is not None:
                 score += best[depth - size]
                 if score > top or (score == top and pieces[depth - size] + 1 < count):
@@ -69,12 +94,9 @@ class TrieCounter:
         return top, count
 
     def count(self, word: str) -> int:
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
         text = MARK + word
         shared = len(text) <= LONG
-        if shared and (len(self.best) > MAX_NODES or len(self.terminal) > MAX_TERMINALS):
+        if shared and len(self.best) > MAX_NODES:
             self.reset()
         node, best, pieces = 0, [0.0], [0]
         for depth in range(1, len(text) + 1):
@@ -91,8 +113,6 @@ class TrieCounter:
             best.append(top)
             pieces.append(count)
             node = step or 0
-        if shared:
-            self.terminal[word] = pieces[-1]
         return pieces[-1]
 
 
@@ -108,10 +128,10 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         counter = _counter(model_path)
         for batch in batches:
             words, tokens = [], []
-            for text in batch.column("text"):
-                found = _WORD.findall(text.as_py() or "")
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                found = (text or b"").split()  # bytes are split at ASCII white space only
                 words.append(len(found))
-                tokens.append(sum(map(counter.count, found)))
+                tokens.append(sum(map(counter.terminal.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")

@@ -650,6 +650,16 @@ def test_token_counts_against_plain_dynamic_programming(messy, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_known_pre_tokens_stay_when_the_trie_starts_anew(monkeypatch):
+    scores = token_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(token_counts, "MAX_NODES", 30)
+    monkeypatch.setattr(token_counts, "MAX_TERMINALS", 40)
+    counter, words = token_counts.TrieCounter(scores), [w.encode() for w in WORD.findall(prose(1, 200))] + [b"x" * 300]
+    want = [token_counts.TrieCounter(scores).count(w.decode()) for w in words]
+    assert [counter.terminal[w] for w in words] == want and len(counter.terminal) <= 42 and words[-1] not in counter.terminal
+    assert [counter.terminal[w] for w in words] == want
+
+
 def test_a_full_trie_starts_anew(monkeypatch):
     scores = token_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
     words = sorted({w for s in range(4) for w in WORD.findall(prose(s, 80))})
