@@ -268,6 +268,57 @@ def test_fuzzy_groups(spark):
     assert {(r["name"], r["group_name"]) for r in groups.collect()} == {(n, "alexander testman") for n in ("alexander testman", "alexander testmann", "alexandor testmann")}
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_groups_against_brute_force(spark):
+    rng, rows = random.Random(11), {("N", f"unit number {k:05d}") for k in range(0, 60, 2)} | {("N", f"unit number {k:05d}") for k in range(90000, 90010)}
+    rows |= {("E", "same beginning"), ("E", "same beginning x"), ("E", "same beginning y"), ("T", "abcdefghij"), ("T", "abcdefghix"), ("T", "abcdefghijk")}
+    for _ in range(12):
+        name = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(9, 45))).strip() or "a"
+        for _ in range(7):
+            rows.add(("P", name))
+            letters = list(name)
+            for _ in range(rng.randint(1, 5)):
+                k = rng.randrange(len(letters))
+                letters[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"]) if len(letters) > 3 else "x"
+            name = "".join(letters)
+    group = {row: row for row in rows}
+    similar = [(x, y) for x in rows for y in rows if x[0] == y[0] and x < y and 1 - _edit_distance(x[1], y[1]) / max(len(x[1]), len(y[1])) > 0.90]
+    for _ in rows:
+        before = dict(group)
+        for x, y in similar:
+            group[x] = group[y] = min(group[x], group[y])
+        if group == before:
+            break
+    want = {(kind, name, group[kind, name][1]) for kind, name in {x for pair in similar for x in pair}}
+    assert len({g for _, _, g in want}) > 8
+    for hot_pairs in (crossval.HOT_PAIRS, 3):
+        got = crossval.fuzzy_groups(spark.createDataFrame(sorted(rows), "entity_type string, normalized_name string"), hot_pairs=hot_pairs).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_names_of_one_pattern_are_grouped_without_all_their_pairs(spark, monkeypatch):
+    found, near = [], crossval._near_pairs
+
+    def counted(*args):
+        pairs = near(*args)
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(crossval, "_near_pairs", counted)
+    names = spark.range(400).selectExpr("'S' as entity_type", "format_string('Supplier#%09d police station', id) as normalized_name")
+    groups = crossval.fuzzy_groups(names).select("group_name").collect()
+    assert len(groups) == 400 and {r["group_name"] for r in groups} == {"supplier#000000000 police station"}
+    assert found == [0]  # all 79,800 pairs are similar
+
+
 def test_triage(spark):
     alerts = spark.createDataFrame([(1, "OPEN", None), (2, "RESOLVED", 5), (3, "RESOLVED", 6)], "alert_id bigint, status string, resolved_at bigint")
     updates = spark.createDataFrame([(1, "ACKNOWLEDGED", 1), (1, "RESOLVED", 9), (2, "OPEN", 8)], "alert_id bigint, new_status string, at bigint")
