@@ -62,7 +62,7 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100,
 
 def traceability(provenance: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every mention down to its document, and whether entity and evidence belong to one case."""
-    rows = provenance.select("mention_key", "entity_key", "evidence_id", "raw_value").join(entities.select("entity_key", F.col("case_id").alias("entity_case")), "entity_key").join(evidence.select("evidence_id", "fir_id", F.col("case_id").alias("evidence_case")), "evidence_id")
+    rows = provenance.join(evidence.select("evidence_id", "fir_id", F.col("case_id").alias("evidence_case")), "evidence_id").join(entities.select("entity_key", F.col("case_id").alias("entity_case")), "entity_key")
     return rows.withColumn("same_case", F.col("entity_case") == F.col("evidence_case"))
 
 

@@ -162,6 +162,34 @@ def test_resolution_table(spark):
     assert len({k for k in keys if k}) == 4
 
 
+def odd_mentions(spark):
+    """Mentions with null parts, unknown types and repeated coordinates."""
+    rng = random.Random(3)
+    rows = [
+        (rng.choice([1, 2, None]), rng.choice([10, 20, None]), rng.choice([5, 6, None]), rng.randrange(40), rng.randrange(2), rng.randrange(2), rng.choice(["PERSON", "STATUTE", "OTHER", "NONE", None]), rng.choice([" John Doe", "john doe", "X "]),
+            rng.choice(["John Doe", "john doe ", " ", "x|1", "A", None]), rng.choice([0.5, 0.9, None]), rng.randrange(2), rng.randrange(2, 4)) for _ in range(400)
+    ]
+    rows = spark.createDataFrame(rows, RESOLVE + ", start_char int, end_char int")
+    return rows.withColumns({c: F.lit(None).cast("double") for c in ("ocr_confidence", "extraction_confidence", "x1", "y1", "x2", "y2")} | {c: F.lit("v") for c in ("extraction_method", "extractor_version")} | {"low_ocr_confidence": F.lit(False), "category_id": F.lit(0)})
+
+
+@pytest.mark.parametrize("merge_persons", [False, True])
+def test_keys_entities_and_links_without_resolutions(spark, merge_persons):
+    rows = odd_mentions(spark).drop_duplicates(["image_id", "source_index", "span_index"])
+    resolved = resolve.resolve(rows, merge_persons)
+    everything = lambda df, *columns: sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+    digested = F.lower(F.hex(resolve.digest(F.col("entity_key")))).alias("entity_key")
+    place = ("image_id", "source_index", "span_index")
+    assert everything(resolve.keyed(rows, merge_persons), *place, digested) == everything(resolved, *place, "entity_key")
+    columns = [c for c in resolve.entities(resolved).columns if c != "entity_key"]
+    want = everything(resolve.entities(resolved), "entity_key", *columns)
+    assert len(want) > 10 and everything(resolve.entities_of(rows, merge_persons), F.lower(F.hex("entity_key")).alias("entity_key"), *columns) == want
+    whole = resolve.provenance(resolved)
+    key = resolve.mention_key(*map(F.col, resolve.PLACE)).alias("mention_key")
+    assert whole.count() < resolved.where("entity_key is not null").count()
+    assert everything(resolve.provenance_links(rows, merge_persons), key, F.lower(F.hex("entity_key")).alias("entity_key"), *resolve.PLACE) == everything(whole, "mention_key", "entity_key", *resolve.PLACE)
+
+
 def test_resolution_does_not_depend_on_row_order_or_partitions(spark):
     plain = sorted(map(str, resolve.resolve(gold(spark)).select("image_id", "decision", "entity_key").collect()))
     assert sorted(map(str, resolve.resolve(gold(spark).repartition(5, "raw_value").orderBy(F.desc("image_id"))).select("image_id", "decision", "entity_key").collect())) == plain
