@@ -30,7 +30,6 @@ MARK = "▁"
 LONG = 96
 MAX_NODES, MAX_TERMINALS = 400_000, 500_000
 TAIL = 3
-SHORT = tuple(range(1, TAIL))
 
 
 @lru_cache(maxsize=2)
@@ -65,33 +64,29 @@ class TrieCounter:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.byte = min(scores.values(), default=0.0) - 10.0
-        ends: dict[str, set[int]] = {}
+        self.ends: dict[str, set[int]] = {}  # lengths beyond ``TAIL`` that a piece with this end has
         for piece in scores:
-            if len(piece) >= TAIL:
-                ends.setdefault(piece[-TAIL:], set()).add(len(piece))
-        self.sizes = {end: (*SHORT, *sorted(sizes)) for end, sizes in ends.items()}  # lengths that a piece with this end can have
+            if len(piece) > TAIL:
+                self.ends.setdefault(piece[-TAIL:], set()).add(len(piece))
+        self.moves: dict[str, tuple] = {}
+        self.terminal = _Terminals(self)
         self.reset()
 
     def reset(self) -> None:
+        """Start the trie anew; counts of terminals stay, as they do not depend on it."""
         self.child: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
-        self.terminal = _Terminals(self)
 
-    def _extend(self, text: str, depth: int, best: list[float], pieces: list[int]) -> tuple[float, int]:
-        """Forward score of ``text[:depth]`` from those of its shorter prefixes."""
-        last = text[depth - 1]
-        width = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
-        top, count = best[depth - 1] + width * self.byte, pieces[depth - 1] + width
-        get = self.scores.get
-        for size in self.sizes.get(text[depth - TAIL : depth], SHORT) if depth >= TAIL else SHORT:
-            if size > depth:
-                break
-            score = get(text[depth - size : depth])
-            if score is not None:
-                score += best[depth - size]
-                if score > top or (score == top and pieces[depth - size] + 1 < count):
-                    top, count = score, pieces[depth - size] + 1
-        return top, count
+    def _moves(self, end: str) -> tuple:
+        """What the last ``TAIL`` characters (at a word's beginning, all) alone say of the last piece: score and pieces of the last character, scores of two and three characters (or None), and longer lengths that come into question."""
+        if len(self.moves) > MAX_TERMINALS:
+            self.moves.clear()
+        last, get = end[-1], self.scores.get
+        width = len(last.encode("utf-8", "surrogatepass"))
+        one = get(last)
+        first = (width * self.byte, width) if one is None else (one, 1)  # any piece scores above bytes
+        found = self.moves[end] = (*first, get(end[-2:]) if len(end) > 1 else None, get(end) if len(end) == TAIL else None, tuple(sorted(self.ends.get(end, ()))))
+        return found
 
     def count(self, word: str) -> int:
         text = MARK + word
@@ -99,20 +94,46 @@ class TrieCounter:
         if shared and len(self.best) > MAX_NODES:
             self.reset()
         node, best, pieces = 0, [0.0], [0]
-        for depth in range(1, len(text) + 1):
-            key = node * 0x110000 + ord(text[depth - 1])
-            step = self.child.get(key) if shared else None
-            if step is None:
-                top, count = self._extend(text, depth, best, pieces)
-                if shared:
-                    step = self.child[key] = len(self.best)
-                    self.best.append(top)
-                    self.pieces.append(count)
-            else:
-                top, count = self.best[step], self.pieces[step]
+        all_best, all_pieces = self.best, self.pieces
+        if shared:
+            step_of = self.child.get
+            for last in text:  # prefixes that are known
+                step = step_of(node * 0x110000 + ord(last))
+                if step is None:
+                    break
+                best.append(all_best[step])
+                pieces.append(all_pieces[step])
+                node = step
+        begin, scores, moves = len(best) - 1, self.scores.get, self.moves
+        for depth in range(begin + 1, len(text) + 1):  # forward score of text[:depth] from those of its shorter prefixes
+            end = text[depth - TAIL : depth] if depth >= TAIL else text[:depth]
+            score, more, two, three, longer = moves.get(end) or self._moves(end)
+            top, count = best[-1] + score, pieces[-1] + more
+            if two is not None:
+                score = best[-2] + two
+                if score > top or (score == top and pieces[-2] + 1 < count):
+                    top, count = score, pieces[-2] + 1
+            if three is not None:
+                score = best[-3] + three
+                if score > top or (score == top and pieces[-3] + 1 < count):
+                    top, count = score, pieces[-3] + 1
+            for size in longer:
+                if size > depth:
+                    break
+                score = scores(text[depth - size : depth])
+                if score is not None:
+                    score += best[-size]
+                    if score > top or (score == top and pieces[-size] + 1 < count):
+                        top, count = score, pieces[-size] + 1
             best.append(top)
             pieces.append(count)
-            node = step or 0
+        if shared and begin < len(text):  # what is below a new node is new
+            child = self.child
+            for step, last in enumerate(text[begin:], len(all_best)):
+                child[node * 0x110000 + ord(last)] = step
+                node = step
+            all_best += best[begin + 1 :]
+            all_pieces += pieces[begin + 1 :]
         return pieces[-1]
 
 

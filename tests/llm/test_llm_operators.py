@@ -660,6 +660,17 @@ def test_known_pre_tokens_stay_when_the_trie_starts_anew(monkeypatch):
     assert [counter.terminal[w] for w in words] == want
 
 
+def test_known_pre_tokens_are_not_counted_again_after_a_new_trie(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_NODES", 30)
+    counter, words, asked = token_counts.TrieCounter(token_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))), sorted({w.encode() for w in WORD.findall(prose(1, 200))}), []
+    count = counter.count
+    monkeypatch.setattr(counter, "count", lambda word: asked.append(word) or count(word))
+    for _ in range(2):
+        for word in words:
+            assert counter.terminal[word] >= 1
+    assert sum(map(len, words)) > 90 and len(asked) == len(words)  # the trie was full several times
+
+
 def test_a_full_trie_starts_anew(monkeypatch):
     scores = token_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
     words = sorted({w for s in range(4) for w in WORD.findall(prose(s, 80))})
