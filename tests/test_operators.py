@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from casenet.functions import text
 from casenet.operators import crossval, extract, graph, layout, profile, report, resolve, validate
+from casenet.plans import case_tables
 from casenet.sources import scans, sinks
 from casenet.streaming import append_stream
 
@@ -457,3 +458,21 @@ def test_mentions_of_different_texts_are_those_of_each_token(spark, tmp_path):
     extract.text_mentions(different).write.parquet(f"{tmp_path}/parsed")
     plain = sorted(map(repr, extract.extract_mentions(rows).collect()))
     assert plain and sorted(map(repr, extract.extract_mentions(rows, parsed=spark.read.parquet(f"{tmp_path}/parsed")).select(*extract.extract_mentions(rows).columns).collect())) == plain
+
+
+def test_counted_appends_add_each_key_once(spark, tmp_path):
+    rows, path = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), (None, 2, "z")], "k string, n int, v string"), str(tmp_path / "counted")
+    assert [sinks.append_counted(rows, path, "k", "n") for _ in range(2)] == [2, 0]
+    more = rows.unionByName(spark.createDataFrame([("b", 3, "q"), ("b", 3, "p")], rows.schema))
+    assert sinks.append_counted(more, path, "k", "n") == 1
+    assert sorted(map(str, spark.read.parquet(path).select("k", "n", "v").collect())) == sorted(map(str, [r for r in more.collect() if r["v"] in ("x", "z", "p")]))
+
+
+def test_provenance_and_names_without_a_resolution(spark):
+    rows = case_tables.mentions(spark, "/root/testdata/sf0.001")
+    twice = rows.unionByName(rows.where("source_index = 0").withColumn("raw_value", F.concat("raw_value", F.lit("!"))))
+    resolved = resolve.resolve(twice)
+    columns = ["mention_key", "entity_key", *resolve.PLACE, "raw_value"]
+    assert sorted(map(str, resolve.provenance_values(twice).select(columns).collect())) == sorted(map(str, resolve.provenance(resolved).select(columns).collect()))
+    names = lambda df: sorted(map(tuple, df.select("entity_type", "normalized_name").distinct().collect()))
+    assert names(resolve.entity_names(twice)) == names(resolve.entities(resolved))
